@@ -48,3 +48,30 @@ def words(text: Column) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, learnable: Column, per_class: int, id_col: str = "doc_id", text: str = "text"
+) -> list[tuple[str, int]]:
+    """At most ``per_class`` (text, label) rows of each class 0 and 1, for fitting on the driver.
+
+    The identifiers are chosen first, by hash, from the narrow label table; whole
+    texts are then read for those alone. A label is the largest its document has;
+    null labels and null identifiers are left out. Sorted by identifier, so that
+    reruns fit the same model.
+    """
+    own = labels.where(learnable & F.col(label).isin(0, 1) & F.col(id_col).isNotNull())
+    own = own.groupBy(id_col).agg(F.max(label).cast("int").alias("label"))
+    chosen = None
+    for value in (0, 1):
+        part = own.where(F.col("label") == value).orderBy(F.xxhash64(id_col), id_col).limit(per_class)
+        chosen = part if chosen is None else chosen.unionAll(part)
+    # At most 2 * per_class narrow rows, so the broadcast has a fixed bound.
+    rows = docs.select(F.col(id_col), F.coalesce(F.col(text), F.lit("")).alias("body")).join(F.broadcast(chosen), id_col)
+    found = {row[id_col]: (row["body"], row["label"]) for row in rows.collect()}
+    return [found[key] for key in sorted(found)]
+
+
+def remainder(id_col: str, modulus: int) -> Column:
+    """crc32 of the identifier as text, modulo ``modulus``."""
+    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(modulus))
