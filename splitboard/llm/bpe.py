@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
+
 #: Pieces that a worker remembers.
 REMEMBERED = 400_000
 #: The symbol of a byte that ends a piece is this much higher.
@@ -212,6 +214,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     tokens. Whole texts are encoded, whatever their length; repeated rows alike. An
     empty table gives no rows.
     """
+    ship(docs.sparkSession)
     with open(vocabulary, encoding="utf-8") as file:
         shared = docs.sparkSession.sparkContext.broadcast(Bpe(file.read()))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,3 +77,17 @@ def labelled_sample(
 def remainder(id_col: str, modulus: int) -> Column:
     """crc32 of the identifier as text, modulo ``modulus``."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(modulus))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once for each Spark application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_splitboard_sent", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="splitboard-code-")) / "splitboard.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for file in package.rglob("*.py"):
+            out.write(file, file.relative_to(package.parent))
+    sc.addPyFile(str(target))
+    sc._splitboard_sent = True

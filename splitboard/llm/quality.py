@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample
+from .common import labelled_sample, ship
 
 #: Dimensions of hashed words and of hashed shapes, and of the latent space.
 WORDS, SHAPES, LATENT = 1024, 1024, 64
@@ -156,6 +156,7 @@ def quality(
     labels all scores are 1. Columns of ``docs`` named like the three are replaced.
     """
     model = fit(labelled_sample(docs, labels, label, ~held_out, per_class, id_col, text))
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

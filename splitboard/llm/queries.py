@@ -4,10 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .bpe import encode_documents
+from .common import remainder, table
 from .exact_dedup import content_sort
+from .fingerprint import successor_fingerprints
+from .minhash import near_duplicates
 from .mixing import mix_sources
+from .quality import quality
 from .sharding import shard_records
+from .toxicity import toxicity
+
+#: Remainders of crc32(doc_id) that are held out of learning: (modulus, remainder).
+TOXIC_HELD_OUT, QUALITY_HELD_OUT = (4, 2), (5, 0)
+
+
+def held_out(fold: tuple[int, int]):
+    return remainder("doc_id", fold[0]) == fold[1]
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out(TOXIC_HELD_OUT))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,4 +45,25 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_records(table(spark, sf_dir, "documents"))
 
 
-ALL = {f.__name__: f for f in (op2_exact_dedup, op5_mixing, op6_sharding)}
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return successor_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out(QUALITY_HELD_OUT))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode_documents(table(spark, sf_dir, "documents"), vocabulary())
+    return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+ALL = {
+    f.__name__: f
+    for f in (op1_toxicity, op2_exact_dedup, op3_minhash, op5_mixing, op6_sharding, op7_fingerprints, op8_quality, op9_bpe)
+}

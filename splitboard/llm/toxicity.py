@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample
+from .common import labelled_sample, ship
 
 #: Bytes of a window, and compression level.
 WINDOW, LEVEL = 128, 13
@@ -163,6 +163,7 @@ def toxicity(
     no rows; without labels all scores are 0.
     """
     model = fit(labelled_sample(docs, labels, label, ~held_out, per_class, id_col, text))
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
