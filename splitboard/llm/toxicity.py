@@ -28,9 +28,11 @@ WINDOW, LEVEL = 128, 13
 #: Labelled rows of each class that a model is fitted on at most.
 PER_CLASS = 3000
 #: Strings of the shared part, strings of the toxic part at most, and the likelihood ratio that those need.
-COMMON, DISTINCT, EVIDENCE = 500, 64, 30.0
+COMMON, DISTINCT, EVIDENCE = 400, 64, 15.0
 #: Lengths of the word openings that may become dictionary strings; one document counts a string so often at most.
 LENGTHS, PER_DOCUMENT = (6, 7, 8, 9, 10, 12), 4
+#: Bytes that a match costs; a string's worth is its evidence times the bytes that it saves beyond.
+MATCH = 4
 #: The score at the calibrated threshold.
 AT_THRESHOLD = 0.3
 
@@ -100,7 +102,6 @@ class ToxicModel:
             made = []
             for raw in (self.ordinary, self.toxic):
                 content = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                content.precompute_compress(level=LEVEL)
                 made.append(
                     zstandard.ZstdCompressor(
                         level=LEVEL, dict_data=content, write_checksum=False, write_content_size=False, write_dict_id=False
@@ -136,8 +137,8 @@ def fit(rows: list[tuple[str, int]]) -> ToxicModel:
         totals[label] += len(body)
     plain, toxic = counts
     evidence = {s: e for s, n in toxic.items() if n >= 5 and (e := _ratio(n, plain[s], totals[1], totals[0])) >= EVIDENCE}
-    distinct = _choose(sorted(evidence, key=lambda s: (-evidence[s], s)), DISTINCT)
-    common = _choose(sorted(plain, key=lambda s: (-plain[s] * len(s), s)), COMMON)
+    distinct = _choose(sorted(evidence, key=lambda s: (-evidence[s] * (len(s) - MATCH), s)), DISTINCT)
+    common = _choose(sorted(plain, key=lambda s: (-plain[s] * (len(s) - MATCH), s)), COMMON)
     # The best strings stand last, where offsets are short; the shared part has the same offsets in both.
     base = b"".join(reversed(common)).ljust(8)
     model = ToxicModel(base, b"".join(reversed(distinct)) + b" " + base)
