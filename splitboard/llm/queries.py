@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import encode_documents
+from .chat import rotate_perspectives
 from .common import remainder, table
 from .exact_dedup import content_sort
 from .fingerprint import successor_fingerprints
+from .licenses import scan_licenses
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .quality import quality
@@ -36,6 +39,14 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of their source and language. The table has no file names, so
+    every document that declares a licence may speak for its directory."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return scan_licenses(docs, path, licence_file=F.lit(True))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -63,7 +74,22 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotate_perspectives(table(spark, sf_dir, "conversations"))
+
+
 ALL = {
     f.__name__: f
-    for f in (op1_toxicity, op2_exact_dedup, op3_minhash, op5_mixing, op6_sharding, op7_fingerprints, op8_quality, op9_bpe)
+    for f in (
+        op1_toxicity,
+        op2_exact_dedup,
+        op3_minhash,
+        op4_licenses,
+        op5_mixing,
+        op6_sharding,
+        op7_fingerprints,
+        op8_quality,
+        op9_bpe,
+        op10_chat,
+    )
 }
