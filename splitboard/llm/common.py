@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a per-group table may be broadcast; beyond it a salted join is used.
 BROADCAST_ROWS = 50_000
+#: Rows of an Arrow batch that goes to Python.
+BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,7 +82,13 @@ def remainder(id_col: str, modulus: int) -> Column:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python, once for each Spark application."""
+    """Send this package to the executors' Python, once for each Spark application.
+
+    Texts are long, so Arrow batches of the session are held to ``BATCH_ROWS`` rows
+    unless it asks for fewer.
+    """
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_splitboard_sent", False):
         return
