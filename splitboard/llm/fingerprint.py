@@ -24,9 +24,9 @@ SCALE = 1 << 19
 SPLIT = r"[\x20\x09-\x0D]+"
 
 
-def term_draws(term: Column, k: int) -> tuple[Column, Column, Column]:
+def term_draws(term: Column, k: Column) -> tuple[Column, Column, Column]:
     """(r, ln c, b) of the term in sample k; ``term`` is a 64-bit hash."""
-    one, two = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
+    one, two = F.xxhash64(term, 2 * k), F.xxhash64(term, 2 * k + 1)
 
     def part(bits: Column, shift: int, width: int) -> Column:
         return (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << width) - 1)) + 0.5) / float(1 << width)
@@ -41,7 +41,8 @@ def sample(term: Column, log_weight: Column, draws: tuple[Column, Column, Column
     r, log_c, b = draws
     t = F.floor(log_weight / r + b)
     value = log_c - r * (t - b) - r
-    identity = F.xxhash64(term, t).bitwiseAND(F.lit(0xFFFFFFFF))
+    # The term is a hash already; an odd multiple of t tells its levels apart.
+    identity = term.bitwiseXOR(t * F.lit(0x9E3779B1)).bitwiseAND(F.lit(0xFFFFFFFF))
     bounded = F.greatest(F.lit(-4000.0), F.least(F.lit(4000.0), value))
     return F.shiftleft(F.floor(bounded * SCALE).cast("long"), 32).bitwiseOR(identity)
 
@@ -59,19 +60,28 @@ def as_text(samples: Column) -> Column:
     return F.when(F.isnull(samples), "").otherwise(F.concat(*digits))
 
 
-def _minima(term: Column, columns: dict[str, str]) -> list[Column]:
-    """For each (weight column -> name) the K least candidates; draws are shared between the weights."""
-    out = []
-    for k in range(SAMPLES):
-        draws = term_draws(term, k)
-        for weight, name in columns.items():
-            candidate = sample(term, F.log(F.col(weight)), draws)
-            out.append(F.min(F.when(F.col(weight) > 0, candidate)).alias(f"{name}{k}"))
-    return out
+def _sampled(counted: DataFrame, keys: list[str], weights: dict[str, str]) -> DataFrame:
+    """(keys, an array of K samples for each weight column, null where no term has weight).
 
-
-def _gathered(name: str) -> Column:
-    return F.when(F.col(f"{name}0").isNotNull(), F.array(*(F.col(f"{name}{k}") for k in range(SAMPLES)))).alias(name)
+    A row for each term and sample keeps the generated code small. A term's draws are
+    computed once for all weights, and a weight equal to the first has its candidate.
+    """
+    drawn = counted.select(
+        *keys,
+        F.xxhash64("word").alias("term"),
+        *weights,
+        *(F.log(F.col(w)).alias(f"log_{w}") for w in weights),
+        F.explode(F.sequence(F.lit(0), F.lit(SAMPLES - 1))).alias("k"),
+    )
+    names = ("r", "log_c", "b")
+    drawn = drawn.select("*", *(d.alias(n) for d, n in zip(term_draws(F.col("term"), F.col("k")), names)))
+    first = next(iter(weights))
+    for w in weights:
+        own = F.when(F.col(w) > 0, sample(F.col("term"), F.col(f"log_{w}"), tuple(F.col(n) for n in names)))
+        drawn = drawn.withColumn(f"sample_{w}", own if w == first else F.when(F.col(w) == F.col(first), F.col(f"sample_{first}")).otherwise(own))
+    least = drawn.groupBy(*keys, "k").agg(*(F.min(f"sample_{w}").alias(name) for w, name in weights.items()))
+    gathered = least.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", *weights.values()))).alias("all"))
+    return gathered.select(*keys, *(F.when(F.col(f"all.{n}")[0].isNotNull(), F.col(f"all.{n}")).alias(n) for n in weights.values()))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -83,10 +93,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     n = 2 * shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     rows = rows.withColumn("row", F.xxhash64(F.sha2("body", 256))).groupBy("id", "row", "body").count().repartition(n, "row", "id")
-    terms = rows.select("id", "row", "count", F.explode(F.split("body", SPLIT)).alias("word"))
+    terms = rows.select("row", "id", "count", F.explode(F.split("body", SPLIT)).alias("word"))
     counted = terms.groupBy("row", "id", "count", "word").agg(F.count(F.when(F.col("word") != "", 1)).alias("w"))
-    least = counted.withColumn("term", F.xxhash64("word")).groupBy("row", "id", "count").agg(*_minima(F.col("term"), {"w": "f"}))
-    return least.select(F.col("id").alias(id_col), as_text(_gathered("f")).alias("fingerprint"), F.explode(F.sequence(F.lit(1), F.col("count"))).alias("_")).drop("_")
+    signed = _sampled(counted, ["row", "id", "count"], {"w": "f"})
+    each = F.explode(F.sequence(F.lit(1), F.col("count")))
+    return signed.select(F.col("id").alias(id_col), as_text(F.col("f")).alias("fingerprint"), each.alias("_")).drop("_")
 
 
 def successor_fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -145,13 +156,14 @@ def _finish(ordered: DataFrame, ranged: DataFrame, n: int, id_col: str) -> DataF
     wide = wide.withColumn("edited_sha256", F.sha2("edited", 256))
     # The text's words and the edited text's, told apart; both have a row even without words.
     texts = F.array(F.struct(F.lit(0).alias("kind"), F.col("body").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))
-    keys = ["part", "place", "id", "n_chars", "edited_sha256"]
+    keys = ["part", "place"]
     terms = wide.select(*keys, F.explode(texts).alias("x")).select(*keys, F.col("x.kind").alias("kind"), F.explode(F.split("x.t", SPLIT)).alias("word"))
     own = (F.col("word") != "") & (F.col("kind") == 0)
     new = (F.col("word") != "") & (F.col("kind") == 1)
     counted = terms.groupBy(*keys, "word").agg(F.count(F.when(own, 1)).alias("w"), F.count(F.when(new, 1)).alias("v"))
-    least = counted.withColumn("term", F.xxhash64("word")).groupBy(*keys).agg(*_minima(F.col("term"), {"w": "f", "v": "e"}))
-    signed = cut(least.select(*keys, _gathered("f"), _gathered("e")))
+    # Both sides of this join lie in the partitions that the texts were dealt to.
+    signed = _sampled(counted, keys, {"w": "f", "v": "e"})
+    signed = cut(signed.join(wide.select(*keys, "id", "n_chars", "edited_sha256"), keys))
     order = Window.partitionBy("part").orderBy("place")
     linked = signed.withColumn("follows", F.lead(F.struct("f")).over(order))
     first = signed.where("place = 1").select(F.col("part").alias("after"), F.struct("f").alias("head"))
