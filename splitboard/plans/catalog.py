@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import rankings, records
+
+QUERIES = {**rankings.QUERIES, **records.QUERIES}
+ORACLES = {**rankings.ORACLES, **records.ORACLES}

@@ -23,7 +23,7 @@ def numbered_links(pages: DataFrame, key: str, html: str, kind: str, base: Colum
     """Absolute links of a kind (ResultList, StartList) with their trailing number (999 without one)."""
     number = F.coalesce(F.regexp_extract("href", r"(\d+)\.\w+$", 1).try_cast("long"), F.lit(999).cast("long"))
     absolute = F.when(F.col("href").rlike("^https?://"), F.col("href")).otherwise(F.concat(base, F.col("href")))
-    return links(pages, key, html, rf"{kind}.*\.pdf$").select(key, number.alias("number"), absolute.alias("url"), "position")
+    return links(pages, key, html, rf"{kind}.*\.pdf$").select(key, number.alias("number"), absolute.alias("link"), "position")
 
 
 def event_map(pages: DataFrame, key: str, html: str, kind: str = "ResultList") -> DataFrame:
