@@ -1,17 +1,18 @@
 """Near-duplicate grouping by b-bit MinHash.
 
-1. Every document's distinct word shingles give minima under 112 hash functions. The
-   low 4 bits of each are kept and packed (56 bytes); runs of four whole minima give
-   28 band keys. Documents of one word sequence are one node.
+1. Every document's distinct word shingles give minima under 256 hash functions. The
+   low 4 bits of each are kept and packed (128 bytes); of the first 112, runs of four
+   whole minima give 28 band keys. Documents of one word sequence are one node.
 2. Nodes that share a band key are candidates. Each is first compared with its
    bucket's least node only; a candidate goes on if sizes allow a link and its
    similarity, estimated from the packed bits by bit counts and corrected for chance
    agreement, is not far below the threshold; then both whole sets are compared.
-3. Connected nodes get their component's least identifier. In buckets that still
-   hold several components, further nodes are compared with all nodes of other
-   components: a few first (by a geometric level), eight times as many in each
-   round, until every bucket is one component or has no pair left. So a bucket of
-   copies costs one comparison a node, and no link is lost to a cap.
+3. Connected nodes get their component's least identifier. All buckets with one least
+   node form a group. In groups that still hold several components, further nodes are
+   compared with all nodes of other components: a few first (by a geometric level),
+   eight times as many in each round, until every group is one component or has no
+   pair left. So a group of copies costs one comparison a node, and no link is lost
+   to a cap.
 
 At the threshold 0.8 a pair shares no band with probability 4e-7, and an estimate is
 low by more than the margin with probability below 1e-7.
@@ -30,14 +31,16 @@ from pyspark.sql import functions as F
 
 from .common import cut, ship
 
-#: Band keys, minima in each, kept bits of a minimum.
-BANDS, ROWS, KEPT = 28, 4, 4
-HASHES = BANDS * ROWS
+#: Band keys, minima in each; all minima, and kept bits of each.
+BANDS, ROWS = 28, 4
+HASHES, KEPT = 256, 4
 LONGS = HASHES * KEPT // 64
-#: How far an estimate may lie below the threshold: 5.5 standard deviations at 0.8.
-MARGIN = 0.22
+#: How far an estimate may lie below the threshold: 5.3 standard deviations at 0.8.
+MARGIN = 0.138
 #: Shingles hashed at a time; words a worker remembers.
-CHUNK, REMEMBERED = 8192, 500_000
+CHUNK, REMEMBERED = 2048, 200_000
+#: Identifiers up to which the texts to compare are picked by a broadcast; beyond it the texts are shuffled.
+BROADCAST_IDS = 1_000_000
 #: One level in so many nodes is higher than the next.
 GROWTH = 8
 
@@ -91,7 +94,7 @@ def minima(hashes: np.ndarray) -> np.ndarray:
 
 def bands(least: np.ndarray) -> np.ndarray:
     keys = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for part in least.reshape(BANDS, ROWS).T.astype(np.uint64):
+    for part in least[: BANDS * ROWS].reshape(BANDS, ROWS).T.astype(np.uint64):
         keys = _mix(keys * np.uint64(0x9E3779B97F4A7C15) + part)
     return keys.view(np.int64)
 
@@ -197,7 +200,7 @@ def near_duplicates(
     full = cut(full.dropDuplicates(["node"]).select("node", "n", "bands", *packed))
     placed = full.select("node", F.explode("bands").alias("bucket"))
     buckets = cut(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("leader")).where("size > 1").drop("size"))
-    members = cut(placed.join(buckets, "bucket"))
+    members = cut(placed.join(buckets, "bucket").select("leader", "node").distinct())
     floor = percent / 100 - MARGIN
 
     def named(side: str) -> DataFrame:
@@ -206,15 +209,16 @@ def near_duplicates(
     fits = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (
         estimate([F.col(f"{s}_a") for s in packed], [F.col(f"{s}_b") for s in packed]) >= floor
     )
-    first = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    first = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
     first = cut(first.join(named("b"), "b").join(named("a"), "a").where(fits).select("a", "b"))
 
     linked = _linked(width, percent)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Those of the pairs whose whole sets are similar enough. Texts are read for the nodes in pairs only."""
-        wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-        texts = cut(bodies.join(wanted, "id").dropDuplicates(["id"]))
+        wanted = cut(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct())
+        few = wanted.count() <= BROADCAST_IDS
+        texts = cut(bodies.join(F.broadcast(wanted) if few else wanted, "id").dropDuplicates(["id"]))
         left = texts.select(F.col("id").alias("a"), F.col("body").alias("body_a"))
         right = texts.select(F.col("id").alias("b"), F.col("body").alias("body_b"))
         both = pairs.join(right, "b").join(left, "a")
@@ -225,8 +229,8 @@ def near_duplicates(
     labels = components(links)
     step = 0
     while True:
-        # Nodes in buckets that hold several components, with what a comparison needs.
-        known = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+        # Nodes in groups that hold several components, with what a comparison needs.
+        known = members.join(labels, "node", "left").select(F.col("leader").alias("bucket"), "node", F.coalesce("label", "node").alias("label"))
         level = F.floor(-F.log((F.pmod(F.xxhash64("node"), F.lit(1 << 40)) + 1) / F.lit(float(1 << 40))) / F.log(F.lit(float(GROWTH))))
         open_ = known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(level).alias("top"))
         open_ = open_.where((F.col("low") < F.col("high")) & (F.col("top") >= step)).select("bucket", "top")
