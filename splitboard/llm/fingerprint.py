@@ -43,8 +43,8 @@ def sample(term: Column, log_weight: Column, draws: tuple[Column, Column, Column
     value = log_c - r * (t - b) - r
     # The term is a hash already; an odd multiple of t tells its levels apart.
     identity = term.bitwiseXOR(t * F.lit(0x9E3779B1)).bitwiseAND(F.lit(0xFFFFFFFF))
-    bounded = F.greatest(F.lit(-4000.0), F.least(F.lit(4000.0), value))
-    return F.shiftleft(F.floor(bounded * SCALE).cast("long"), 32).bitwiseOR(identity)
+    # With the draws' resolution the value lies between -80 and 60.
+    return F.shiftleft(F.floor(value * SCALE), 32).bitwiseOR(identity)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -154,12 +154,19 @@ def _finish(ordered: DataFrame, ranged: DataFrame, n: int, id_col: str) -> DataF
     edited = F.concat(F.expr("left(body, char_length(body) - cast(floor(char_length(body) / 3) as int))"), F.expr("left(next, cast(floor(char_length(body) / 3) as int))"))
     wide = joined.select("part", "place", "id", n_chars.cast("long").alias("n_chars"), "body", F.when(third > 0, edited).otherwise(F.col("body")).alias("edited"))
     wide = wide.withColumn("edited_sha256", F.sha2("edited", 256))
-    # The text's words and the edited text's, told apart; both have a row even without words.
-    texts = F.array(F.struct(F.lit(0).alias("kind"), F.col("body").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))
+    # Both texts begin alike: the whole words before the edit are counted once for both.
+    stay = F.expr("left(body, char_length(body) - cast(floor(char_length(body) / 3) as int))")
+    wide = wide.withColumn("common", F.regexp_extract(stay, r"(?s)^.*[\x20\x09-\x0D]", 0))
+    rest = lambda c: F.substr(F.col(c), F.char_length("common") + 1)
+    texts = F.array(
+        F.struct(F.lit(0).alias("kind"), F.col("common").alias("t")),
+        F.struct(F.lit(1).alias("kind"), rest("body").alias("t")),
+        F.struct(F.lit(2).alias("kind"), rest("edited").alias("t")),
+    )
     keys = ["part", "place"]
     terms = wide.select(*keys, F.explode(texts).alias("x")).select(*keys, F.col("x.kind").alias("kind"), F.explode(F.split("x.t", SPLIT)).alias("word"))
-    own = (F.col("word") != "") & (F.col("kind") == 0)
-    new = (F.col("word") != "") & (F.col("kind") == 1)
+    own = (F.col("word") != "") & (F.col("kind") != 2)
+    new = (F.col("word") != "") & (F.col("kind") != 1)
     counted = terms.groupBy(*keys, "word").agg(F.count(F.when(own, 1)).alias("w"), F.count(F.when(new, 1)).alias("v"))
     # Both sides of this join lie in the partitions that the texts were dealt to.
     signed = _sampled(counted, keys, {"w": "f", "v": "e"})
