@@ -4,11 +4,11 @@
    low 4 bits of each are kept and packed (128 bytes); of the first 112, runs of four
    whole minima give 28 band keys. Documents of one word sequence are one node.
 2. Nodes that share a band key are candidates. Each is first compared with its
-   bucket's least node only; a candidate goes on if sizes allow a link and its
+   bucket's most central node only; a candidate goes on if sizes allow a link and its
    similarity, estimated from the packed bits by bit counts and corrected for chance
    agreement, is not far below the threshold; then both whole sets are compared.
-3. Connected nodes get their component's least identifier. All buckets with one least
-   node form a group. In groups that still hold several components, further nodes are
+3. Connected nodes get their component's least identifier. All buckets with one
+   leader form a group. In groups that still hold several components, further nodes are
    compared with all nodes of other components: a few first (by a geometric level),
    eight times as many in each round, until every group is one component or has no
    pair left. So a group of copies costs one comparison a node, and no link is lost
@@ -199,8 +199,14 @@ def near_duplicates(
     full = signed.join(nodes, (signed.key == nodes.key) & (signed.id == nodes.node)).drop(nodes.key)
     full = cut(full.dropDuplicates(["node"]).select("node", "n", "bands", *packed))
     placed = full.select("node", F.explode("bands").alias("bucket"))
-    buckets = cut(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("leader")).where("size > 1").drop("size"))
-    members = cut(placed.join(buckets, "bucket").select("leader", "node").distinct())
+    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = cut(placed.join(sizes, "bucket"))
+    # The more nodes share its bands, the nearer a node is to the middle of its copies:
+    # what an edited copy is most like. A bucket is led by its most central node.
+    central = shared.groupBy("node").agg(F.sum("size").alias("centre"))
+    rank = F.struct(-F.col("centre"), F.col("node"))
+    buckets = cut(shared.join(central, "node").groupBy("bucket").agg(F.min_by("node", rank).alias("leader")))
+    members = cut(shared.join(buckets, "bucket").select("leader", "node").distinct())
     floor = percent / 100 - MARGIN
 
     def named(side: str) -> DataFrame:
@@ -225,7 +231,7 @@ def near_duplicates(
         return cut(both.where(linked("body_a", "body_b")).select("a", "b"))
 
     links = confirmed(first)
-    tried = first
+    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     labels = components(links)
     step = 0
     while True:
