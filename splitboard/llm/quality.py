@@ -28,7 +28,7 @@ WORDS, SHAPES, LATENT = 1024, 1024, 64
 PER_CLASS = 2500
 NEIGHBOURS, POWER = 25, 2
 #: Documents in a block of the cosine product; words that a worker remembers.
-BLOCK, REMEMBERED = 256, 500_000
+BLOCK, REMEMBERED = 256, 100_000
 #: The score at the calibrated threshold.
 AT_THRESHOLD = 0.3
 
@@ -77,7 +77,7 @@ class Terms:
         for i, text in enumerate(texts):
             at, weight = self.of_text(text)
             rows[i] = np.bincount(at, weight, WORDS + SHAPES)
-        return np.log1p(rows)
+        return np.log1p(rows, out=rows)
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -128,8 +128,11 @@ def fit(rows: list[tuple[str, int]]) -> QualityModel:
     model = QualityModel(votes=labels)
     counts = model.terms.matrix([text for text, _ in rows])
     model.idf = np.log((1 + len(rows)) / (1 + (counts > 0).sum(0))).astype(np.float32)
-    weighted = _unit(counts * model.idf)
-    _, axes = np.linalg.eigh((weighted.T @ weighted).astype(np.float64))
+    # In place and in single precision: this runs on the driver.
+    counts *= model.idf
+    counts /= np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), 1e-9)
+    weighted = counts
+    _, axes = np.linalg.eigh(weighted.T @ weighted)
     model.axes = np.ascontiguousarray(axes[:, -LATENT:], np.float32)
     model.points = _unit(weighted @ model.axes)
     # Each labelled row is judged by the others; the threshold has the best accuracy there.
