@@ -1,7 +1,7 @@
 """Near-duplicate grouping by b-bit MinHash.
 
-1. Every document's distinct word shingles give minima under 256 hash functions. The
-   low 4 bits of each are kept and packed (128 bytes); of the first 112, runs of four
+1. Every document's distinct word shingles give minima under 400 hash functions. The
+   low 4 bits of each are kept and packed (200 bytes); of the first 112, runs of four
    whole minima give 28 band keys. Documents of one word sequence are one node.
 2. Nodes that share a band key are candidates. Each is first compared with its
    bucket's most central node only; a candidate goes on if sizes allow a link and its
@@ -33,10 +33,10 @@ from .common import cut, ship
 
 #: Band keys, minima in each; all minima, and kept bits of each.
 BANDS, ROWS = 28, 4
-HASHES, KEPT = 256, 4
+HASHES, KEPT = 400, 4
 LONGS = HASHES * KEPT // 64
 #: How far an estimate may lie below the threshold: 5.3 standard deviations at 0.8.
-MARGIN = 0.138
+MARGIN = 0.11
 #: Shingles hashed at a time; words a worker remembers.
 CHUNK, REMEMBERED = 2048, 200_000
 #: Identifiers up to which the texts to compare are picked by a broadcast; beyond it the texts are shuffled.
