@@ -3,10 +3,12 @@
 1. Every document's distinct word shingles give minima under 400 hash functions. The
    low 4 bits of each are kept and packed (200 bytes); of the first 112, runs of four
    whole minima give 28 band keys. Documents of one word sequence are one node.
-2. Nodes that share a band key are candidates. Each is first compared with its
-   bucket's most central node only; a candidate goes on if sizes allow a link and its
-   similarity, estimated from the packed bits by bit counts and corrected for chance
-   agreement, is not far below the threshold; then both whole sets are compared.
+2. Nodes that share a band key are candidates. A bucket is led by its most central
+   node. Each node is first compared with the most central of its buckets' leaders,
+   then with those of its other leaders that are in another component. A candidate
+   goes on if sizes allow a link and its similarity, estimated from the packed bits by
+   bit counts and corrected for chance agreement, is not far below the threshold; then
+   both whole sets are compared.
 3. Connected nodes get their component's least identifier. All buckets with one
    leader form a group. In groups that still hold several components, further nodes are
    compared with all nodes of other components: a few first (by a geometric level),
@@ -204,9 +206,10 @@ def near_duplicates(
     # The more nodes share its bands, the nearer a node is to the middle of its copies:
     # what an edited copy is most like. A bucket is led by its most central node.
     central = shared.groupBy("node").agg(F.sum("size").alias("centre"))
-    rank = F.struct(-F.col("centre"), F.col("node"))
-    buckets = cut(shared.join(central, "node").groupBy("bucket").agg(F.min_by("node", rank).alias("leader")))
-    members = cut(shared.join(buckets, "bucket").select("leader", "node").distinct())
+    buckets = shared.join(central, "node").groupBy("bucket").agg(F.min(F.struct(-F.col("centre"), F.col("node").alias("leader"))).alias("lead"))
+    # One row for each node with its buckets' leaders, the most central first: at most BANDS of them.
+    members = shared.join(cut(buckets), "bucket").groupBy("node").agg(F.array_sort(F.collect_set("lead"))["leader"].alias("leaders"))
+    members = cut(members)
     floor = percent / 100 - MARGIN
 
     def named(side: str) -> DataFrame:
@@ -215,11 +218,12 @@ def near_duplicates(
     fits = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (
         estimate([F.col(f"{s}_a") for s in packed], [F.col(f"{s}_b") for s in packed]) >= floor
     )
-    first = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    first = cut(first.join(named("b"), "b").join(named("a"), "a").where(fits).select("a", "b"))
-
     linked = _linked(width, percent)
 
+    def with_leader(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (leader a, node b) whose sizes and packed bits allow a link."""
+        return cut(pairs.join(named("b"), "b").join(named("a"), "a").where(fits).select("a", "b"))
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Those of the pairs whose whole sets are similar enough. Texts are read for the nodes in pairs only."""
         wanted = cut(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct())
@@ -230,17 +234,32 @@ def near_duplicates(
         both = pairs.join(right, "b").join(left, "a")
         return cut(both.where(linked("body_a", "body_b")).select("a", "b"))
 
+    level = F.floor(-F.log((F.pmod(F.xxhash64("node"), F.lit(1 << 40)) + 1) / F.lit(float(1 << 40))) / F.log(F.lit(float(GROWTH))))
+
+    def unsettled(labels: DataFrame, step: int) -> DataFrame:
+        """(bucket, node, label, level, top, lead): nodes in groups that hold several components."""
+        known = members.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.explode("leaders").alias("bucket"))
+        known = cut(known.withColumn("level", level))
+        groups = known.groupBy("bucket").agg(
+            F.min("label").alias("low"),
+            F.max("label").alias("high"),
+            F.max("level").alias("top"),
+            F.max(F.when(F.col("node") == F.col("bucket"), F.col("label"))).alias("lead"),
+        )
+        open_ = groups.where((F.col("low") < F.col("high")) & (F.col("top") >= step)).select("bucket", "top", "lead")
+        return cut(known.join(open_, "bucket"))
+
+    # Each node with its most central leader, then with its others of other components.
+    first = with_leader(members.select(F.col("leaders")[0].alias("a"), F.col("node").alias("b")).where("a <> b"))
     links = confirmed(first)
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    others = unsettled(components(links), 0).where("label <> lead").select(F.col("bucket").alias("a"), F.col("node").alias("b"))
+    others = with_leader(others.join(first, ["a", "b"], "left_anti"))
+    links = links.unionAll(confirmed(others))
+    tried = first.unionAll(others).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     labels = components(links)
     step = 0
     while True:
-        # Nodes in groups that hold several components, with what a comparison needs.
-        known = members.join(labels, "node", "left").select(F.col("leader").alias("bucket"), "node", F.coalesce("label", "node").alias("label"))
-        level = F.floor(-F.log((F.pmod(F.xxhash64("node"), F.lit(1 << 40)) + 1) / F.lit(float(1 << 40))) / F.log(F.lit(float(GROWTH))))
-        open_ = known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(level).alias("top"))
-        open_ = open_.where((F.col("low") < F.col("high")) & (F.col("top") >= step)).select("bucket", "top")
-        left_over = cut(known.join(open_, "bucket").withColumn("level", level))
+        left_over = unsettled(labels, step)
         if left_over.isEmpty():
             break
         rows = cut(left_over.join(full.drop("bands"), "node"))
