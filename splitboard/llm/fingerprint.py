@@ -19,6 +19,8 @@ from .common import cut, shuffle_partitions
 
 #: Samples of a fingerprint.
 SAMPLES = 32
+#: Samples drawn in one row; divides SAMPLES.
+TOGETHER = 4
 #: Fixed-point scale of ln values; 32 bits below hold the sample's identity.
 SCALE = 1 << 19
 SPLIT = r"[\x20\x09-\x0D]+"
@@ -63,25 +65,34 @@ def as_text(samples: Column) -> Column:
 def _sampled(counted: DataFrame, keys: list[str], weights: dict[str, str]) -> DataFrame:
     """(keys, an array of K samples for each weight column, null where no term has weight).
 
-    A row for each term and sample keeps the generated code small. A term's draws are
-    computed once for all weights, and a weight equal to the first has its candidate.
+    A row for each term and ``TOGETHER`` samples keeps the generated code small and the
+    aggregate's rows few. A term's draws are computed once for all weights, and a
+    weight equal to the first has its candidate.
     """
-    drawn = counted.select(
+    rows = counted.select(
         *keys,
         F.xxhash64("word").alias("term"),
         *weights,
         *(F.log(F.col(w)).alias(f"log_{w}") for w in weights),
-        F.explode(F.sequence(F.lit(0), F.lit(SAMPLES - 1))).alias("k"),
+        F.explode(F.sequence(F.lit(0), F.lit(SAMPLES - 1), F.lit(TOGETHER))).alias("k"),
     )
+    first, each = next(iter(weights)), range(TOGETHER)
     names = ("r", "log_c", "b")
-    drawn = drawn.select("*", *(d.alias(n) for d, n in zip(term_draws(F.col("term"), F.col("k")), names)))
-    first = next(iter(weights))
-    for w in weights:
-        own = F.when(F.col(w) > 0, sample(F.col("term"), F.col(f"log_{w}"), tuple(F.col(n) for n in names)))
-        drawn = drawn.withColumn(f"sample_{w}", own if w == first else F.when(F.col(w) == F.col(first), F.col(f"sample_{first}")).otherwise(own))
-    least = drawn.groupBy(*keys, "k").agg(*(F.min(f"sample_{w}").alias(name) for w, name in weights.items()))
-    gathered = least.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", *weights.values()))).alias("all"))
-    return gathered.select(*keys, *(F.when(F.col(f"all.{n}")[0].isNotNull(), F.col(f"all.{n}")).alias(n) for n in weights.values()))
+    drawn = rows.select("*", *(d.alias(f"{n}{j}") for j in each for d, n in zip(term_draws(F.col("term"), F.col("k") + j), names)))
+
+    def own(w: str, j: int) -> Column:
+        return F.when(F.col(w) > 0, sample(F.col("term"), F.col(f"log_{w}"), tuple(F.col(f"{n}{j}") for n in names))).alias(f"{w}_{j}")
+
+    def other(w: str, j: int) -> Column:
+        return F.when(F.col(w) == F.col(first), F.col(f"{first}_{j}")).otherwise(own(w, j)).alias(f"{w}_{j}")
+
+    drawn = drawn.select("*", *(own(first, j) for j in each))
+    drawn = drawn.select(*keys, "k", *(F.col(f"{w}_{j}") if w == first else other(w, j) for w in weights for j in each))
+    least = drawn.groupBy(*keys, "k").agg(*(F.min(f"{w}_{j}").alias(f"{name}_{j}") for w, name in weights.items() for j in each))
+    parts = least.select(*keys, "k", *(F.array(*(f"{name}_{j}" for j in each)).alias(name) for name in weights.values()))
+    gathered = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", *weights.values()))).alias("all"))
+    flat = gathered.select(*keys, *(F.flatten(f"all.{n}").alias(n) for n in weights.values()))
+    return flat.select(*keys, *(F.when(F.col(n)[0].isNotNull(), F.col(n)).alias(n) for n in weights.values()))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
