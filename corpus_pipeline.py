@@ -29,21 +29,35 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the least identifier of each group of equal texts."""
-    kept = content_sort(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """The row with the least identifier of each group of equal texts.
+
+    One row of each text stays: of repeated rows one, and a row without identifier
+    only if no equal text has one. Rows are found again by the digest of the text and
+    a tag from the identifier, so a large group of copies is spread.
+    """
+    tag = F.xxhash64("doc_id").alias("_tag")
+    kept = content_sort(docs).where("kept").select(F.col("text_sha256").alias("_digest"), tag)
+    rows = docs.select(*COLUMNS, F.sha2(F.coalesce("text", F.lit("")), 256).alias("_digest"), tag)
+    return rows.join(kept, ["_digest", "_tag"], "left_semi").dropDuplicates(["_digest", "_tag"]).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by 0.8 of their five-word shingles."""
-    kept = near_duplicates(docs, width=5, percent=80).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """One document of each group linked by 0.8 of their five-word shingles.
+
+    Rows that share an identifier are one document; those without one stay together
+    if any of them is its own component.
+    """
+    kept = near_duplicates(docs, width=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
-    copies = mix_sources(docs).where("copies > 0").select("doc_id", "copies")
-    joined = docs.join(copies, "doc_id")
+    """Each document as often as the mix of sources takes it.
+
+    Rows of one source that share an identifier, or have none, share a decision.
+    """
+    copies = mix_sources(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "copies").distinct()
+    joined = docs.select(*COLUMNS).join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
     return joined.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 

@@ -98,6 +98,26 @@ def test_pipeline(spark, sf):
         before = after
 
 
+def test_pipeline_odd_rows(spark, sf, odd, empty):
+    """Null identifiers stay, repeated rows are not multiplied, clashing columns go."""
+    stages = dict(corpus_pipeline.STAGES)
+    once = stages["exact_dedup"](spark, odd, sf)
+    rows = Counter((r.doc_id, r.text) for r in once.collect())
+    assert set(rows.values()) == {1}
+    want = {}
+    for r in odd.collect():
+        want.setdefault(r.text or "", []).append(r.doc_id)
+    least = {t: min((d for d in ids if d is not None), default=None) for t, ids in want.items()}
+    assert {t or "": d for d, t in rows} == least
+    lone = spark.createDataFrame([(None, "no identifier here at all", "en", None, 1)] * 2 + [(1, "other words than those there", "en", "a", 1)] * 2, once.schema)
+    assert stages["exact_dedup"](spark, lone, sf).count() == 2
+    assert stages["near_dedup"](spark, lone, sf).count() == 4
+    mixed = Counter((r.doc_id, r.source) for r in stages["mixing"](spark, lone, sf).collect())
+    assert mixed and all(n in (2, 4, 6) for n in mixed.values())
+    for stage in stages.values():
+        assert stage(spark, empty, sf).count() == 0
+
+
 def test_pipeline_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
