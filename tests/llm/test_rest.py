@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 from pyspark.sql import functions as F
-from splitboard.llm import licenses
+from splitboard.llm import license_texts, licenses
 from splitboard.llm.chat import BLOCK, rotate_perspectives
 from splitboard.llm.licenses import scan_licenses
 
@@ -68,6 +68,26 @@ def test_license_prefilter_is_exact(spark, sf):
     assert all(scanner.best(t)[0] for _, t in licenses.TEMPLATES)
 
 
+MIT_BODY = dict(license_texts.TEXTS)["MIT"]
+WHOLE = [
+    ("m/LICENSE", f"MIT License\n\nCopyright (c) 2020 A. Person\n\n{MIT_BODY}\n"), ("m/src/x.py", "import os\n"),
+    ("n/LICENSE", f"Copyright (c) 2021 Some Company\n\n{MIT_BODY}"), ("n/x.c", "/*\n * Licensed under the Apache License,\n * Version 2.0.\n */\nint main;\n"),
+    ("o/x.py", "#!/usr/bin/env python\n# SPDX-License-Identifier: BSD-2-Clause\nimport os\n"), ("o/y.txt", "GNU General Public License, version 2"),
+    ("o/COPYING", "GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991\n"), ("o/z.txt", "the version of a text that the authors permit in no event"),
+    ("p/x.py", "".join(f"# {line}\n" for line in ("Copyright 2019 B. Person", "", *MIT_BODY.splitlines())) + "import os\n" * 500),
+    *((f"t{i}/COPYING", text) for i, (_, text) in enumerate(license_texts.TEXTS)),
+]
+
+
+def test_whole_licences(spark):
+    """Licence files, header blocks and tags, not only single lines."""
+    df = spark.createDataFrame([(i, *f) for i, f in enumerate(WHOLE)], "doc_id long, file string, text string")
+    want = ["MIT", "MIT", "MIT", "Apache-2.0", "BSD-2-Clause", "GPL-2.0", "GPL-2.0", "GPL-2.0", "MIT", *(name for name, _ in license_texts.TEXTS)]
+    rows = {r.doc_id: r for r in scan_licenses(df, F.col("file")).collect()}
+    assert [rows[i].licence for i in range(len(WHOLE))] == want
+    assert rows[1].inherited_from == "m" and rows[7].inherited_from == "o"
+
+
 def test_pipeline(spark, sf):
     """Each stage on what the stage before kept."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
