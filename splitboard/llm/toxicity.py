@@ -4,9 +4,11 @@ Two zstandard dictionaries are trained from labelled text. The ordinary one hold
 the strings that cover ordinary text best. The toxic one holds the same and, before
 them, the strings that toxic text repeats and ordinary text does not, found by a
 likelihood ratio. Each window of a document is compressed with either; it counts by
-the bytes that the toxic dictionary saves. A document's saving, over the square root
-of its windows (so that chance savings of long texts weigh no more), is compared
-with a threshold calibrated on the labelled texts.
+the bytes that the toxic dictionary saves. The run of windows that saves most decides,
+so that a toxic passage in a long text is not diluted by the rest: its saving, over the
+square root of its windows (so that chance savings of long runs weigh no more) and a
+share of the doublings from it to the whole document (as a long text has more runs to
+save in by chance), is compared with a threshold calibrated on the labelled texts.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -25,6 +28,8 @@ from .common import labelled_sample, ship
 
 #: Bytes of a window, and compression level.
 WINDOW, LEVEL = 128, 13
+#: Windows of the shortest run (longer ones double, up to the whole document), and what a doubling from a run to the document weighs.
+RUN, DOUBLING = 8, 0.5
 #: Labelled rows of each class that a model is fitted on at most.
 PER_CLASS = 3000
 #: Strings of the shared part, strings of the toxic part at most, and the likelihood ratio that those need.
@@ -111,13 +116,19 @@ class ToxicModel:
         return self._made
 
     def saving(self, text: str) -> float:
-        """Bytes that the toxic dictionary saves over all windows, over the root of their number."""
+        """The most that the toxic dictionary saves over a run of windows or all of them, over the root of their number and what the document's length adds."""
         plain, toxic = self._compressors()
-        total = n = 0
-        for w in windows(text.lower().encode("utf-8", "replace")):
-            total += max(0, len(plain(w)) - len(toxic(w)))
-            n += 1
-        return total / math.sqrt(n) if n else 0.0
+        saved = np.array([max(0, len(plain(w)) - len(toxic(w))) for w in windows(text.lower().encode("utf-8", "replace"))], np.int64)
+        n = len(saved)
+        if not saved.any():
+            return 0.0
+        sums = np.concatenate(([0], np.cumsum(saved)))
+        best, length = float(sums[-1]) / math.sqrt(n), RUN
+        while length < n:
+            most = float((sums[length:] - sums[:-length]).max())
+            best = max(best, most / (math.sqrt(length) + DOUBLING * math.log2(n / length)))
+            length *= 2
+        return best
 
     def score(self, text: str) -> float:
         if self.constant is not None:

@@ -17,7 +17,7 @@ from splitboard.llm.bpe import Bpe, encode_documents
 from splitboard.llm.common import table
 from splitboard.llm.minhash import near_duplicates
 from splitboard.llm.quality import quality
-from splitboard.llm.toxicity import toxicity, windows
+from splitboard.llm.toxicity import fit, toxicity, windows
 
 MID = "/root/testdata/sf0.01"
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -40,6 +40,19 @@ def test_toxicity_held_out(spark):
     assert sum(caught) / len(caught) > 0.5 and sum(clean) / len(clean) < 0.1
 
 
+def test_toxic_passage_in_a_long_text():
+    """A passage counts by itself, wherever it stands; the document's ordinary windows dilute it little."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    plain = [" ".join(word() for _ in range(150)) for _ in range(200)]
+    toxic = [" ".join("scoundrelly" if i % every == 5 else word() for i in range(150)) for every in [12, 24] * 100]
+    model = fit([(t, 0) for t in plain] + [(t, 1) for t in toxic])
+    long = [word() for _ in range(18_000)]
+    assert model.score(" ".join(long)) < 0.3
+    for at in (0, 9_000, 18_000):
+        assert model.score(" ".join([*long[:at], *toxic[0].split(), *long[at:]])) >= 0.3
+
+
 def test_quality_held_out(spark):
     rows = queries.op8_quality(spark, MID).collect()
     seen = _held_out(spark, rows, "quality", 5, 0)
