@@ -69,6 +69,73 @@ def fuzzy_pairs(rows: DataFrame, block: str, text: str, id_col: str, limit: int)
     return left.join(right, block).where((F.col("a") < F.col("b")) & (near >= 0)).withColumn("edits", near.cast("long"))
 
 
+def deletions(text: Column) -> Column:
+    """The text and what is left of it after one or two deletions: texts within two edits share one."""
+    drop = lambda t: F.when(
+        F.char_length(t) > 0, F.transform(F.sequence(F.lit(1), F.char_length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.char_length(t))))
+    ).otherwise(F.array().cast("array<string>"))
+    once = F.array_distinct(drop(text))
+    return F.array_distinct(F.concat(F.array(text), once, F.flatten(F.transform(once, drop))))
+
+
+def similar_names(rows: DataFrame, name: str, norm: Column, order: str, event: Sequence[str], carried: Sequence[str]) -> DataFrame:
+    """Pairs of names that may be one person: ``name1``, ``name2``, ``edits``, ``shared_events``, ``likely_same`` and the carried columns of both.
+
+    A name is its normalised form without spaces. Pairs are, in this order, each
+    once: of equal surnames (last words) within 3 edits; spaced otherwise (one pair
+    for each name, without shared events); of surnames within 2 edits and names
+    within 3. Surnames are found by shared deletions, so not all are compared. Rows
+    stand for their name by arrival (``order``, unique): the first, in the third pass
+    the last. Names without a common event are likely the same.
+    """
+    keyed = rows.withColumn("_norm", norm).withColumn("_ns", F.replace("_norm", F.lit(" "), F.lit(""))).withColumn("_sn", F.element_at(F.split("_norm", " "), -1))
+    row = F.struct(F.col(order).alias("at"), F.col(name).alias("name"), *carried)
+    named = keyed.where("_sn <> ''").groupBy("_sn", "_ns").agg(F.min_by(row, order).alias("first"), F.max_by(row, order).alias("last"))
+    seen = named.groupBy("_sn").agg(F.min("first.at").alias("seen"))
+    named = named.join(seen, "_sn")
+    side = lambda df, n, r: df.select(F.col("_sn").alias(f"sn{n}"), F.col("seen").alias(f"seen{n}"), F.col("_ns").alias(f"ns{n}"), F.col("first.at").alias(f"at{n}"), F.col(r).alias(f"r{n}"))
+    cols = ["rank", "ns1", "ns2", "r1", "r2", "edits"]
+
+    def near(pairs: DataFrame, step: int) -> DataFrame:
+        found = pairs.where("ns1 <> ns2").withColumn("edits", F.levenshtein("ns1", "ns2", 3).cast("long")).where("edits >= 0")
+        return found.withColumn("rank", F.struct(F.lit(step).alias("step"), "seen1", "seen2", "at1", "at2")).select(cols)
+
+    a, b = side(named, 1, "first"), side(named, 2, "first")
+    same = near(a.join(b, F.col("sn1") == F.col("sn2")).where("at1 < at2"), 1)
+    surnames = seen.select("_sn", "seen", F.explode(deletions(F.col("_sn"))).alias("part"))
+    left, right = (surnames.select(F.col("_sn").alias(f"sn{n}"), F.col("seen").alias(f"seen{n}"), "part") for n in (1, 2))
+    close = left.join(right, "part").where("seen1 < seen2").select("sn1", "sn2").distinct().where(F.levenshtein("sn1", "sn2", 2) >= 0)
+    other = near(close.join(side(named, 1, "last"), "sn1").join(side(named, 2, "last"), "sn2"), 3)
+    pair = [F.least("ns1", "ns2").alias("ns1"), F.greatest("ns1", "ns2").alias("ns2")]
+    best = same.unionAll(other).groupBy(*pair).agg(F.min_by(F.struct("r1", "r2", "edits", F.col("ns1").alias("n1"), F.col("ns2").alias("n2")), "rank").alias("_p")).select("_p.*")
+    events = keyed.groupBy(F.col("_ns")).agg(F.collect_set(F.struct(*event)).alias("events"))
+    one, two = (events.select(F.col("_ns").alias(f"n{i}"), F.col("events").alias(f"events{i}")) for i in (1, 2))
+    shared = F.array_sort(F.array_intersect("events1", "events2")).alias("shared_events")
+    best = best.join(one, "n1").join(two, "n2").select("r1", "r2", "edits", shared)
+    # The first row of a name, and the first that is spaced otherwise.
+    spaced = keyed.groupBy("_ns", "_norm").agg(F.min_by(row, order).alias("r"))
+    spaced = spaced.groupBy("_ns").agg(F.array_sort(F.collect_list("r")).alias("r")).where(F.size("r") > 1)
+    none = F.array().cast(best.schema["shared_events"].dataType).alias("shared_events")
+    spaced = spaced.select(F.col("r")[0].alias("r1"), F.col("r")[1].alias("r2"), F.lit(0).cast("long").alias("edits"), none)
+    extra = [F.col(f"r{n}.{c}").alias(f"{c}{n}") for c in carried for n in (1, 2)]
+    likely = (F.size("shared_events") == 0).alias("likely_same")
+    return best.unionAll(spaced).select(F.col("r1.name").alias("name1"), F.col("r2.name").alias("name2"), "edits", "shared_events", likely, *extra)
+
+
+def abbreviation_report(rows: DataFrame, name: str, raw: str, norm, club: str, year: str, order: str) -> DataFrame:
+    """Every pair of an abbreviated and a full name of one surname and initial, once for each pair of raw names, with ``year_match``. ``norm`` makes a column's lookup form."""
+    words = F.split(F.trim(F.regexp_replace(name, r"\s+", " ")), " ")
+    first = words[0]
+    short = first.rlike(r"^[A-ZÇĞİÖŞÜa-zçğışöüÀ-ÿ]{1,2}\.$")
+    initial = F.when(short, norm(F.regexp_replace(first, r"\.+$", ""))).otherwise(norm(F.substring(first, 1, 1)))
+    keyed = rows.where(F.size(words) >= 2).select(short.alias("short"), norm(F.element_at(words, -1)).alias("_sn"), initial.alias("_initial"), F.struct(F.col(order).alias("at"), F.col(raw).alias("raw"), F.col(club).alias("club"), F.col(year).alias("year")).alias("r"))
+    once = keyed.groupBy("short", "_sn", "_initial", "r.raw").agg(F.min_by("r", "r.at").alias("r"))
+    a = once.where("short").select("_sn", "_initial", F.col("r").alias("a"))
+    b = once.where("NOT short").select("_sn", "_initial", F.col("r").alias("b"))
+    pairs = a.join(b, ["_sn", "_initial"]).groupBy(F.col("a.raw").alias("abbrev_name"), F.col("b.raw").alias("full_name")).agg(F.min_by(F.struct("a", "b"), F.struct("a.at", "b.at")).alias("_p"))
+    return pairs.select("abbrev_name", "full_name", F.col("_p.a.club").alias("abbrev_club"), F.col("_p.b.club").alias("full_club"), F.col("_p.a.year").eqNullSafe(F.col("_p.b.year")).alias("year_match"))
+
+
 def abbreviation_pairs(rows: DataFrame, last: str, first: str, by: Sequence[str], id_col: str) -> DataFrame:
     """A row whose first name is an initial, with the full name (the last to arrive) of the same surname and group that begins with it."""
     initial = rows.where(F.col(first).rlike(r"^\p{L}\.?$"))

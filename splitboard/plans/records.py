@@ -95,6 +95,19 @@ def fuzzy_pairs(spark, sf_dir):
     return pairs.select(F.split_part("block", F.lit("|"), F.lit(1)).alias("p_type"), "a", "b", "edits")
 
 
+@query()
+def similar_names(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    return resolve.similar_names(part, "p_name", text.normalize_for_lookup(F.col("p_name")), "p_partkey", ["p_type"], ["p_brand"])
+
+
+@query()
+def abbreviation_report(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    seen = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.substring("p_name", 1, 1), F.lit(". "), F.split_part("p_name", F.lit(" "), F.lit(-1)))).otherwise(F.col("p_name"))
+    return resolve.abbreviation_report(part.withColumn("seen", seen), "seen", "seen", text.normalize_for_lookup, "p_brand", "p_size", "p_partkey")
+
+
 @query()
 def abbreviation_pairs(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.split_part("p_name", F.lit(" "), F.lit(1)).alias("first"), F.col("p_brand").alias("last"))

@@ -148,3 +148,66 @@ def test_carry_forward_seed(spark):
     df = spark.createDataFrame([("d", 1, None), ("d", 2, "h"), ("d", 3, None)], "doc string, n int, h string")
     out = report.carry_forward(df, ["doc"], ["n"], F.col("h"), "x", F.lit("seed"))
     assert [r.x for r in out.orderBy("n").collect()] == ["seed", "h", "h"]
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def test_similar_names(spark):
+    """All three passes against comparing all pairs in order of arrival."""
+    rng = random.Random(4)
+    names = ["ada civvelek", "ada civelek", "melek caliskan", "melekcaliskan", "mel ekcaliskan", "danil yabanci", "danl yabanci", "x", "ab", "", "a b", "kaya"]
+    names += [" ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 3))) for _ in range(60)]
+    rows = [(i, rng.choice(names), rng.choice("PQRSTUVW"), f"club{i}") for i in range(150)]
+    first, last, groups, events = {}, {}, {}, {}
+    want, done = [], set()
+    for i, n, e, c in rows:
+        ns, sn = n.replace(" ", ""), n.split(" ")[-1]
+        events.setdefault(ns, set()).add(e)
+        if sn:
+            groups.setdefault(sn, [])
+            if ns not in groups[sn]:
+                groups[sn].append(ns)
+            first.setdefault((sn, ns), (n, c))
+            last[sn, ns] = (n, c)
+
+    def add(a, b, r1, r2, edits, shared):
+        if frozenset((a, b)) not in done:
+            done.add(frozenset((a, b)))
+            want.append((r1[0], r2[0], edits, tuple(sorted(shared)), not shared, r1[1], r2[1]))
+
+    for sn, own in groups.items():
+        for i, a in enumerate(own):
+            for b in own[i + 1 :]:
+                if _edits(a, b) <= 3:
+                    add(a, b, first[sn, a], first[sn, b], _edits(a, b), events[a] & events[b])
+    whole = {}
+    for _, n, _, c in rows:
+        one = whole.setdefault(n.replace(" ", ""), (n, c))
+        if one[0] != n:
+            add(n.replace(" ", ""), n.replace(" ", "") + "_dup", one, (n, c), 0, set())
+    order = list(groups)
+    for i, s in enumerate(order):
+        for t in order[i + 1 :]:
+            if _edits(s, t) <= 2:
+                for a in groups[s]:
+                    for b in groups[t]:
+                        if a != b and _edits(a, b) <= 3:
+                            add(a, b, last[s, a], last[t, b], _edits(a, b), events[a] & events[b])
+    df = spark.createDataFrame(rows, "i long, name string, event string, club string")
+    got = resolve.similar_names(df, "name", F.col("name"), "i", ["event"], ["club"]).collect()
+    assert sorted((r.name1, r.name2, r.edits, tuple(e.event for e in r.shared_events), r.likely_same, r.club1, r.club2) for r in got) == sorted(want)
+    assert {w[2] for w in want} == {0, 1, 2, 3}
+
+
+def test_abbreviation_report(spark):
+    rows = [(1, "R. Kara", "A", 2010), (2, "Rafet Kara", "B", 2010), (3, "Rana  KARA", "C", None), (4, "R. Kara", "D", None), (5, "Ali Kara", "E", 2010), (6, "R. Kaya", "F", None), (7, "Rıza Kaya", "G", None), (8, "R.", "H", 1)]
+    df = spark.createDataFrame(rows, "i long, name string, club string, year int")
+    got = {tuple(r) for r in resolve.abbreviation_report(df, "name", "name", text.normalize_for_lookup, "club", "year", "i").collect()}
+    assert got == {("R. Kara", "Rafet Kara", "A", "B", True), ("R. Kara", "Rana  KARA", "A", "C", False), ("R. Kaya", "Rıza Kaya", "F", "G", True)}
