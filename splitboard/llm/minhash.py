@@ -9,7 +9,8 @@
    goes on if sizes allow a link and its similarity, estimated from the packed bits by
    bit counts and corrected for chance agreement, is not far below the threshold; then
    both whole sets are compared.
-3. Connected nodes get their component's least identifier. All buckets with one
+3. Nodes are named by a hash of their words; those that share an identifier are linked
+   too. Connected nodes get their component's least identifier. All buckets with one
    leader form a group. In groups that still hold several components, further nodes are
    compared with all nodes of other components: a few first (by a geometric level),
    eight times as many in each round, until every group is one component or has no
@@ -41,6 +42,8 @@ LONGS = HASHES * KEPT // 64
 MARGIN = 0.11
 #: Shingles hashed at a time; words a worker remembers.
 CHUNK, REMEMBERED = 2048, 200_000
+#: Columns with a text's two hashes, by which it is found again.
+HASHED = ("h1", "h2")
 #: Identifiers up to which the texts to compare are picked by a broadcast; beyond it the texts are shuffled.
 BROADCAST_IDS = 1_000_000
 #: One level in so many nodes is higher than the next.
@@ -135,7 +138,8 @@ def _signed(width: int):
                 else:
                     rows.append((b"", 0, [], *[0] * LONGS))
             out = pd.DataFrame(rows, columns=["key", "n", "bands", *(f"s{i}" for i in range(LONGS))])
-            out.insert(0, "id", batch["id"].values)
+            for i, name in enumerate(("id", *HASHED)):
+                out.insert(i, name, batch[name].values)
             yield out
 
     return sign
@@ -184,22 +188,41 @@ def near_duplicates(
 
     Documents whose shingle sets have 100 * intersection >= ``percent`` * union are
     linked; a component has its least identifier. A text without words (null, empty)
-    is linked with nothing. Documents of one word sequence are linked. Rows that
-    share an identifier are one document to the links; a null identifier takes part
-    only through documents of the same words, and is its own component (null) if
-    there are none. ``kept`` marks rows that are their component. An empty table
+    is linked with nothing. Documents of one word sequence are linked, and so are the
+    texts of rows that share an identifier. Rows without identifier link as others do;
+    a component without any identifier is null. ``kept`` marks rows that are their component. An empty table
     gives no rows; other columns are not read.
     """
     ship(docs.sparkSession)
     bodies = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    bodies = bodies.select("id", F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(1), "body").alias("h2"), "body")
     kind = dict(bodies.dtypes)["id"]
     packed = [f"s{i}" for i in range(LONGS)]
-    schema = f"id {kind}, key binary, n long, bands array<long>, " + ", ".join(f"{s} long" for s in packed)
+    schema = f"id {kind}, h1 long, h2 long, key binary, n long, bands array<long>, " + ", ".join(f"{s} long" for s in packed)
     signed = cut(bodies.mapInPandas(_signed(width), schema))
-    # A node for each word sequence, named by its least identifier.
-    nodes = cut(signed.where("n > 0").groupBy("key").agg(F.min("id").alias("node")))
-    full = signed.join(nodes, (signed.key == nodes.key) & (signed.id == nodes.node)).drop(nodes.key)
+    # A node for each word sequence, and the row that stands for it: of its least identifier, null if it has none.
+    row = F.struct(F.col("id").isNull().alias("none"), "id", *HASHED)
+    kept = cut(signed.where("n > 0").groupBy("key").agg(F.min(row).alias("r")).select("key", "r.id", *(f"r.{h}" for h in HASHED)))
+    # Names are hashes of the words, the first that are all different.
+    seed = 0
+    while True:
+        nodes = kept.withColumn("node", F.xxhash64(F.lit(seed), "key"))
+        if nodes.groupBy("node").count().where("count > 1").isEmpty():
+            break
+        seed += 1
+    nodes = cut(nodes)
+    stands = nodes.select(F.col("key").alias("_key"), F.col("id").alias("_id"), *(F.col(h).alias(f"_{h}") for h in HASHED), "node")
+    same = F.col("id").eqNullSafe(F.col("_id"))
+    for h in HASHED:
+        same = same & (F.col(h) == F.col(f"_{h}"))
+    full = signed.join(stands, (F.col("key") == F.col("_key")) & same)
     full = cut(full.dropDuplicates(["node"]).select("node", "n", "bands", *packed))
+    # Texts that share an identifier: the least node with each other one.
+    used = cut(signed.where("n > 0 AND id IS NOT NULL").select("id", "key").distinct())
+    several = used.groupBy("id").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("id")
+    twice = cut(used.join(several, "id").join(nodes.select("key", "node"), "key").select("id", "node"))
+    least = twice.groupBy("id").agg(F.min("node").alias("a"))
+    shared_ids = cut(twice.join(least, "id").where("a <> node").select("a", F.col("node").alias("b")).distinct())
     placed = full.select("node", F.explode("bands").alias("bucket"))
     sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = cut(placed.join(sizes, "bucket"))
@@ -226,11 +249,12 @@ def near_duplicates(
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Those of the pairs whose whole sets are similar enough. Texts are read for the nodes in pairs only."""
-        wanted = cut(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct())
+        wanted = cut(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct())
         few = wanted.count() <= BROADCAST_IDS
-        texts = cut(bodies.join(F.broadcast(wanted) if few else wanted, "id").dropDuplicates(["id"]))
-        left = texts.select(F.col("id").alias("a"), F.col("body").alias("body_a"))
-        right = texts.select(F.col("id").alias("b"), F.col("body").alias("body_b"))
+        rows = stands.drop("_key").join(wanted, "node")
+        texts = cut(bodies.join(F.broadcast(rows) if few else rows, same).dropDuplicates(["node"]).select("node", "body"))
+        left = texts.select(F.col("node").alias("a"), F.col("body").alias("body_a"))
+        right = texts.select(F.col("node").alias("b"), F.col("body").alias("body_b"))
         both = pairs.join(right, "b").join(left, "a")
         return cut(both.where(linked("body_a", "body_b")).select("a", "b"))
 
@@ -251,7 +275,7 @@ def near_duplicates(
 
     # Each node with its most central leader, then with its others of other components.
     first = with_leader(members.select(F.col("leaders")[0].alias("a"), F.col("node").alias("b")).where("a <> b"))
-    links = confirmed(first)
+    links = shared_ids.unionAll(confirmed(first))
     others = unsettled(components(links), 0).where("label <> lead").select(F.col("bucket").alias("a"), F.col("node").alias("b"))
     others = with_leader(others.join(first, ["a", "b"], "left_anti"))
     links = links.unionAll(confirmed(others))
@@ -280,7 +304,10 @@ def near_duplicates(
             links = links.unionAll(more)
             labels = components(links)
 
-    named_nodes = nodes.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("component"))
+    # A component's least identifier, for linked nodes; the others have their own.
+    least = labels.join(nodes.select("node", "id"), "node").groupBy("label").agg(F.min("id").alias("component"))
+    linked_nodes = labels.join(least, "label").select("node", "component", F.lit(True).alias("linked"))
+    named_nodes = nodes.join(linked_nodes, "node", "left").select("key", F.when(F.col("linked"), F.col("component")).otherwise(F.col("id")).alias("component"))
     return (
         signed.select("id", "key", "n")
         .join(named_nodes, "key", "left")

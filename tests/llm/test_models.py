@@ -10,6 +10,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from splitboard.llm import minhash, queries
@@ -131,6 +132,27 @@ def test_near_duplicates_chain(spark):
     assert got == _exact(rows, 2, 80)
 
 
+def test_near_duplicates_shared_identifiers(spark):
+    """Different texts under one identifier, and texts without one, keep their links."""
+    rng = random.Random(9)
+    texts = []
+    for _ in range(40):
+        words = [f"w{rng.randrange(10_000)}" for _ in range(150)]
+        texts.append((" ".join(words), " ".join([*words[:70], "new", *words[71:]])))
+    rows = [(7, a) for a, _ in texts[:20]] + [(100 + i, b) for i, (_, b) in enumerate(texts[:20])]
+    rows += [(None, a) for a, _ in texts[20:30]] + [(200 + i, b) for i, (_, b) in enumerate(texts[20:30])]
+    rows += [(None, a) for a, _ in texts[30:35]] + [(None, b) for _, b in texts[30:35]] + [(300 + i, a) for i, (a, _) in enumerate(texts[35:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_duplicates(df.withColumn("t", F.col("text")), width=2).collect()
+    assert len(got) == len(rows)
+    by_id = defaultdict(list)
+    for r in got:
+        by_id[r.doc_id].append(r.component_id)
+    assert by_id[7] == [7] * 20 and all(by_id[100 + i] == [7] for i in range(20))
+    assert all(by_id[200 + i] == [200 + i] for i in range(10)) and all(by_id[300 + i] == [300 + i] for i in range(5))
+    assert sorted(by_id[None], key=str) == sorted([*range(200, 210), *[None] * 10], key=str)
+
+
 def test_near_duplicates_odd(odd, empty):
     rows = near_duplicates(odd, width=2).collect()
     assert len(rows) == odd.count()
