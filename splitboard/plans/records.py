@@ -120,7 +120,7 @@ def best_fuzzy(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     rows = part.where("p_partkey % 10 = 0").select("p_partkey", "p_brand", "p_size", F.col("p_name").alias("seen"))
     names = part.where("p_partkey % 10 <> 0").select("p_brand", "p_size", F.col("p_name").alias("known"))
-    return resolve.best_fuzzy(rows, names, ["p_brand", "p_size"], "seen", "known", text.token_sort_ratio, 60.0)
+    return resolve.best_fuzzy(rows, names, ["p_brand", "p_size"], "seen", "known", text.token_sort_ratio, 82.0)
 
 
 @query("""SELECT o_custkey, o_orderpriority, cents, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY cents, o_orderkey) AS n

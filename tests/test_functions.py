@@ -211,3 +211,26 @@ def test_abbreviation_report(spark):
     df = spark.createDataFrame(rows, "i long, name string, club string, year int")
     got = {tuple(r) for r in resolve.abbreviation_report(df, "name", "name", text.normalize_for_lookup, "club", "year", "i").collect()}
     assert got == {("R. Kara", "Rafet Kara", "A", "B", True), ("R. Kara", "Rana  KARA", "A", "C", False), ("R. Kaya", "Rıza Kaya", "F", "G", True)}
+
+
+def test_token_sort_ratio(spark):
+    """The indel ratio against the table of common subsequences, and the reference's cutoff."""
+    rng = random.Random(8)
+    pairs = [("abcd", "abcde"), ("", "abc"), ("", "")] + [tuple("".join(rng.choice("def") for _ in range(rng.randint(0, 80))) for _ in "xy") for _ in range(40)]
+
+    def want(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return 200 * row[-1] / (len(a) + len(b)) if a or b else 0.0
+
+    both = spark.createDataFrame(pairs, "a string, b string")
+    assert all(abs(r.r - want(r.a, r.b)) < 1e-9 for r in both.select("a", "b", text.token_sort_ratio(F.col("a"), F.col("b")).alias("r")).collect())
+    df = spark.createDataFrame([(1, "x", "ada civlek"), (2, "x", "mehmet oz")], "i long, block string, seen string")
+    names = spark.createDataFrame([("x", "civelek ada"), ("x", "ali kaya")], "block string, known string")
+    got = resolve.best_fuzzy(df, names, ["block"], "seen", "known", text.token_sort_ratio, 82.0).collect()
+    assert [(r.i, r.known, round(r.similarity, 4)) for r in got] == [(1, "civelek ada", round(200 * 10 / 21, 4))]
+    one = spark.createDataFrame([("abcd", "abcde")], "a string, b string").select(text.token_sort_ratio(F.col("a"), F.col("b"))).first()[0]
+    assert abs(one - 88.8889) < 0.001
