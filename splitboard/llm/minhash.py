@@ -2,20 +2,22 @@
 
 1. Every document's distinct word shingles give minima under 400 hash functions. The
    low 4 bits of each are kept and packed (200 bytes); of the first 112, runs of four
-   whole minima give 28 band keys. Documents of one word sequence are one node.
+   whole minima give 28 band keys. Documents of one word sequence are one node, named
+   by a hash of its words.
 2. Nodes that share a band key are candidates. A bucket is led by its most central
-   node. Each node is first compared with the most central of its buckets' leaders,
-   then with those of its other leaders that are in another component. A candidate
-   goes on if sizes allow a link and its similarity, estimated from the packed bits by
-   bit counts and corrected for chance agreement, is not far below the threshold; then
-   both whole sets are compared.
-3. Nodes are named by a hash of their words; those that share an identifier are linked
-   too. Connected nodes get their component's least identifier. All buckets with one
-   leader form a group. In groups that still hold several components, further nodes are
-   compared with all nodes of other components: a few first (by a geometric level),
-   eight times as many in each round, until every group is one component or has no
-   pair left. So a group of copies costs one comparison a node, and no link is lost
-   to a cap.
+   node, and each node is first compared with the most central of its buckets'
+   leaders. A candidate goes on if sizes allow a link and its similarity, estimated
+   from the packed bits by bit counts and corrected for chance agreement, is not far
+   below the threshold; then both whole sets are compared. Nodes that share an
+   identifier are linked too.
+3. Buckets that still hold several components are looked at again. In a small one all
+   pairs between components are candidates. In a large one every node is compared with
+   the leader whole, which leaves the few shingles in which it differs from the leader.
+   Two nodes that are not in one component yet can only be linked if they share such a
+   difference (see ``_postings``), so the differences are an inverted index, and pairs
+   come from its lists. A list that is long itself becomes a group with a leader of its
+   own, until none is left. So a group of copies costs a few rows a node, and no link is
+   lost to a cap.
 
 At the threshold 0.8 a pair shares no band with probability 4e-7, and an estimate is
 low by more than the margin with probability below 1e-7.
@@ -29,10 +31,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import Scratch, ship
 
 #: Band keys, minima in each; all minima, and kept bits of each.
 BANDS, ROWS = 28, 4
@@ -40,14 +42,16 @@ HASHES, KEPT = 400, 4
 LONGS = HASHES * KEPT // 64
 #: How far an estimate may lie below the threshold: 5.3 standard deviations at 0.8.
 MARGIN = 0.11
-#: Shingles hashed at a time; words a worker remembers.
-CHUNK, REMEMBERED = 2048, 200_000
-#: Columns with a text's two hashes, by which it is found again.
-HASHED = ("h1", "h2")
-#: Identifiers up to which the texts to compare are picked by a broadcast; beyond it the texts are shuffled.
+#: Shingles hashed at a time; words a worker remembers, and their bytes at most.
+CHUNK, REMEMBERED, WORD = 2048, 200_000, 64
+#: Columns with hashes of a row's identifier and text, by which it is found again.
+HASHED = ("h0", "h1", "h2")
+#: Rows up to which the texts to compare are picked by a broadcast; beyond it the texts are shuffled.
 BROADCAST_IDS = 1_000_000
-#: One level in so many nodes is higher than the next.
-GROWTH = 8
+#: Nodes of a bucket whose pairs are taken directly, and of a posting list; larger ones get a leader.
+SMALL, POSTED = 16, 8192
+#: Pairs of one leader that come with one copy of its text.
+TOGETHER = 64
 
 _seeds = np.random.RandomState(20240229)
 _A = (_seeds.randint(0, 1 << 31, HASHES, np.int64).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -62,9 +66,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= WORD:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -145,24 +151,31 @@ def _signed(width: int):
     return sign
 
 
-def _linked(width: int, percent: int):
-    @F.pandas_udf("boolean")
-    def linked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def _compared(width: int, percent: int):
+    """linked; with ``whole`` also p (shingles in common) and b's shingles outside a (extra) and a's outside b (missing)."""
+
+    @F.pandas_udf("linked boolean, p long, extra array<long>, missing array<long>")
+    def compared(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         last, held = None, None
-        for left, right in batches:
+        for left, right, whole in batches:
             out = []
-            for a, b in zip(left, right):
+            for a, b, all_ in zip(left, right, whole):
                 if a != last:  # the rows of one leader mostly come together
                     last, held = a, shingles(tokens(a), width)
                 other = shingles(tokens(b), width)
-                both = len(np.intersect1d(held, other, assume_unique=True))
-                out.append(100 * both >= percent * (len(held) + len(other) - both) and both > 0)
-            yield pd.Series(out, dtype=bool)
+                both = np.intersect1d(held, other, assume_unique=True)
+                linked = 100 * len(both) >= percent * (len(held) + len(other) - len(both)) and len(both) > 0
+                if all_:
+                    differ = (np.setdiff1d(x, both, assume_unique=True).view(np.int64) for x in (other, held))
+                    out.append((linked, len(both), *differ))
+                else:
+                    out.append((linked, None, None, None))
+            yield pd.DataFrame(out, columns=["linked", "p", "extra", "missing"]).astype({"linked": bool, "p": "Int64"})
 
-    return linked
+    return compared
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, cut: Scratch) -> DataFrame:
     """(node, label) of all nodes in links (a, b): the least node that each reaches.
 
     Each round takes the least label among neighbours, then the label's own label,
@@ -174,13 +187,30 @@ def components(links: DataFrame) -> DataFrame:
         near = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
         moved = labels.join(near, labels.node == near.a, "left").select("node", "label", F.least("label", "near").alias("next"))
         up = labels.select(F.col("node").alias("via"), F.col("label").alias("beyond"))
-        jumped = moved.join(up, moved.next == up.via, "left").select("node", "label", F.least("next", "beyond").alias("next"))
-        jumped = cut(jumped)
-        labels = jumped.select("node", F.col("next").alias("label"))
-        if jumped.where("next < label").isEmpty():
+        jumped = moved.join(up, moved.next == up.via, "left").select("node", F.least("next", "beyond").alias("label"), (F.least("next", "beyond") < F.col("label")).alias("less"))
+        labels, told = cut.told(jumped, moved=F.count_if("less"))
+        labels = labels.drop("less")
+        if not told["moved"]:
             return labels
 
 
+def _label(rows: DataFrame, labels: DataFrame, node: str = "node", out: str = "label") -> DataFrame:
+    """``rows`` with the label of a node; a node without links is its own."""
+    known = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
+    return rows.join(known, F.col(node) == F.col("_node"), "left").withColumn(out, F.coalesce("_label", node)).drop("_node", "_label")
+
+
+def _merged(labels: DataFrame, links: DataFrame, cut: Scratch) -> DataFrame:
+    """The labels after further links: components of the links between labels, which are few."""
+    ends = _label(_label(links, labels, "a", "la"), labels, "b", "lb").where("la <> lb")
+    between, told = cut.told(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")), n=F.count(F.lit(1)))
+    if not told["n"]:
+        return labels
+    roots = components(between, cut)
+    moved = _label(labels.withColumnRenamed("label", "old"), roots, "old").select("node", "label")
+    return cut(moved.unionAll(roots.join(labels, "node", "left_anti")))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -190,127 +220,120 @@ def near_duplicates(
     linked; a component has its least identifier. A text without words (null, empty)
     is linked with nothing. Documents of one word sequence are linked, and so are the
     texts of rows that share an identifier. Rows without identifier link as others do;
-    a component without any identifier is null. ``kept`` marks rows that are their component. An empty table
-    gives no rows; other columns are not read.
+    a component without any identifier is null. ``kept`` marks rows that are their
+    component. Very long texts are taken whole. An empty table gives no rows; other
+    columns, whatever their names, are not read.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
+    with Scratch(spark) as cut:
+        return _grouped(docs, id_col, text, width, percent, cut)
+
+
+def _grouped(docs: DataFrame, id_col: str, text: str, width: int, percent: int, cut: Scratch) -> DataFrame:
     bodies = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    bodies = bodies.select("id", F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(1), "body").alias("h2"), "body")
+    bodies = bodies.select("id", F.xxhash64("id").alias("h0"), F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(1), "body").alias("h2"), "body")
     kind = dict(bodies.dtypes)["id"]
     packed = [f"s{i}" for i in range(LONGS)]
-    schema = f"id {kind}, h1 long, h2 long, key binary, n long, bands array<long>, " + ", ".join(f"{s} long" for s in packed)
-    signed = cut(bodies.mapInPandas(_signed(width), schema))
+    schema = f"id {kind}, h0 long, h1 long, h2 long, key binary, n long, bands array<long>, " + ", ".join(f"{s} long" for s in packed)
+    signed = cut.keep(bodies.mapInPandas(_signed(width), schema))
     # A node for each word sequence, and the row that stands for it: of its least identifier, null if it has none.
     row = F.struct(F.col("id").isNull().alias("none"), "id", *HASHED)
-    kept = cut(signed.where("n > 0").groupBy("key").agg(F.min(row).alias("r")).select("key", "r.id", *(f"r.{h}" for h in HASHED)))
+    worded = signed.where("n > 0")
     # Names are hashes of the words, the first that are all different.
     seed = 0
     while True:
-        nodes = kept.withColumn("node", F.xxhash64(F.lit(seed), "key"))
-        if nodes.groupBy("node").count().where("count > 1").isEmpty():
+        name = F.xxhash64(F.lit(seed), "key")
+        same = worded.groupBy("key").agg(F.min(row).alias("r"), F.first("n").alias("n"), F.first("bands").alias("bands"), *(F.first(s).alias(s) for s in packed))
+        full = cut.keep(same.select(name.alias("node"), "r.id", *(f"r.{h}" for h in HASHED), "n", "bands", *packed))
+        if full.groupBy("node").count().where("count > 1").isEmpty():
             break
         seed += 1
-    nodes = cut(nodes)
-    stands = nodes.select(F.col("key").alias("_key"), F.col("id").alias("_id"), *(F.col(h).alias(f"_{h}") for h in HASHED), "node")
-    same = F.col("id").eqNullSafe(F.col("_id"))
-    for h in HASHED:
-        same = same & (F.col(h) == F.col(f"_{h}"))
-    full = signed.join(stands, (F.col("key") == F.col("_key")) & same)
-    full = cut(full.dropDuplicates(["node"]).select("node", "n", "bands", *packed))
+    signed, worded = signed.withColumn("node", name), worded.withColumn("node", name)
     # Texts that share an identifier: the least node with each other one.
-    used = cut(signed.where("n > 0 AND id IS NOT NULL").select("id", "key").distinct())
-    several = used.groupBy("id").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("id")
-    twice = cut(used.join(several, "id").join(nodes.select("key", "node"), "key").select("id", "node"))
-    least = twice.groupBy("id").agg(F.min("node").alias("a"))
-    shared_ids = cut(twice.join(least, "id").where("a <> node").select("a", F.col("node").alias("b")).distinct())
+    several = worded.where("id IS NOT NULL").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("id", "a")
+    shared_ids = worded.select("id", "node").join(several, "id").where("a <> node").select("a", F.col("node").alias("b")).distinct()
     placed = full.select("node", F.explode("bands").alias("bucket"))
     sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = cut(placed.join(sizes, "bucket"))
     # The more nodes share its bands, the nearer a node is to the middle of its copies:
     # what an edited copy is most like. A bucket is led by its most central node.
-    central = shared.groupBy("node").agg(F.sum("size").alias("centre"))
-    buckets = shared.join(central, "node").groupBy("bucket").agg(F.min(F.struct(-F.col("centre"), F.col("node").alias("leader"))).alias("lead"))
-    # One row for each node with its buckets' leaders, the most central first: at most BANDS of them.
-    members = shared.join(cut(buckets), "bucket").groupBy("node").agg(F.array_sort(F.collect_set("lead"))["leader"].alias("leaders"))
-    members = cut(members)
+    central = cut(shared.groupBy("node").agg(F.sum("size").alias("centre")))
+    leads = shared.join(central, "node").groupBy("bucket").agg(F.min(F.struct(-F.col("centre"), F.col("node").alias("leader"))).alias("lead"))
+    members = cut(shared.join(leads, "bucket"))
     floor = percent / 100 - MARGIN
 
     def named(side: str) -> DataFrame:
         return full.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), *(F.col(s).alias(f"{s}_{side}") for s in packed))
 
-    fits = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (
-        estimate([F.col(f"{s}_a") for s in packed], [F.col(f"{s}_b") for s in packed]) >= floor
-    )
-    linked = _linked(width, percent)
-
-    def with_leader(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (leader a, node b) whose sizes and packed bits allow a link."""
-        return cut(pairs.join(named("b"), "b").join(named("a"), "a").where(fits).select("a", "b"))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs whose whole sets are similar enough. Texts are read for the nodes in pairs only."""
-        wanted = cut(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct())
-        few = wanted.count() <= BROADCAST_IDS
-        rows = stands.drop("_key").join(wanted, "node")
-        texts = cut(bodies.join(F.broadcast(rows) if few else rows, same).dropDuplicates(["node"]).select("node", "body"))
-        left = texts.select(F.col("node").alias("a"), F.col("body").alias("body_a"))
-        right = texts.select(F.col("node").alias("b"), F.col("body").alias("body_b"))
-        both = pairs.join(right, "b").join(left, "a")
-        return cut(both.where(linked("body_a", "body_b")).select("a", "b"))
-
-    level = F.floor(-F.log((F.pmod(F.xxhash64("node"), F.lit(1 << 40)) + 1) / F.lit(float(1 << 40))) / F.log(F.lit(float(GROWTH))))
-
-    def unsettled(labels: DataFrame, step: int) -> DataFrame:
-        """(bucket, node, label, level, top, lead): nodes in groups that hold several components."""
-        known = members.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.explode("leaders").alias("bucket"))
-        known = cut(known.withColumn("level", level))
-        groups = known.groupBy("bucket").agg(
-            F.min("label").alias("low"),
-            F.max("label").alias("high"),
-            F.max("level").alias("top"),
-            F.max(F.when(F.col("node") == F.col("bucket"), F.col("label"))).alias("lead"),
-        )
-        open_ = groups.where((F.col("low") < F.col("high")) & (F.col("top") >= step)).select("bucket", "top", "lead")
-        return cut(known.join(open_, "bucket"))
-
-    # Each node with its most central leader, then with its others of other components.
-    first = with_leader(members.select(F.col("leaders")[0].alias("a"), F.col("node").alias("b")).where("a <> b"))
-    links = shared_ids.unionAll(confirmed(first))
-    others = unsettled(components(links), 0).where("label <> lead").select(F.col("bucket").alias("a"), F.col("node").alias("b"))
-    others = with_leader(others.join(first, ["a", "b"], "left_anti"))
-    links = links.unionAll(confirmed(others))
-    tried = first.unionAll(others).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    labels = components(links)
-    step = 0
+    sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    fits = sized & (estimate([F.col(f"{s}_a") for s in packed], [F.col(f"{s}_b") for s in packed]) >= floor)
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs whose sizes and packed bits allow a link."""
+        return pairs.join(named("b"), "b").join(named("a"), "a").where(fits).select("a", "b")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """(a, b, linked, p, extra, missing) from the whole sets of pairs (a, b, whole), see ``_compared``."""
+        pairs, told = cut.told(pairs, n=F.count(F.lit(1)))
+        wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+        rows = full.select("node", *HASHED).join(wanted, "node")
+        # Five longs a row, at most two rows a pair.
+        rows = F.broadcast(rows) if 2 * told["n"] <= BROADCAST_IDS else rows
+        texts = cut(bodies.drop("id").join(rows, list(HASHED)).dropDuplicates(["node"]).select("node", "body"))
+        # The pairs of one leader come in parts, each with one copy of the leader's text.
+        parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("parts"))
+        dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))).drop("parts")
+        left = dealt.select("a", "part").distinct().join(texts.select(F.col("node").alias("a"), F.col("body").alias("body_a")), "a")
+        both = dealt.join(texts.select(F.col("node").alias("b"), F.col("body").alias("body_b")), "b").join(left, ["a", "part"])
+        return cut(both.select("a", "b", _compared(width, percent)("body_a", "body_b", "whole").alias("r")).select("a", "b", "r.*"))
+
+    # Each node with its most central leader.
+    first = members.groupBy(F.col("node").alias("b")).agg(F.min("lead").alias("lead")).select(F.col("lead.leader").alias("a"), "b").where("a <> b")
+    first = compared(likely(first).withColumn("whole", F.lit(False))).select("a", "b", "linked")
+    labels = components(shared_ids.unionAll(first.where("linked").select("a", "b")), cut)
+
+    # Buckets that still hold several components: in small ones, all pairs that were not compared yet.
+    known = _label(members.select("bucket", "node", "size", F.col("lead.leader").alias("leader")), labels)
+    open_ = known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
+    known = cut(known.join(open_, "bucket"))
+    little = known.where(F.col("size") <= SMALL)
+    a = little.select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a"))
+    b = little.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"))
+    pairs = a.join(b, "bucket").where("a < b AND label_a <> label_b").select("a", "b").distinct()
+    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = likely(pairs.join(tried, ["a", "b"], "left_anti")).withColumn("whole", F.lit(False))
+    # In large ones, every node with the leader, whole; then what its set differs in says which others it can be linked with.
+    groups = known.where(F.col("size") > SMALL).select(F.col("leader").alias("g"), F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    groups = cut(groups.where("a <> b"))
     while True:
-        left_over = unsettled(labels, step)
-        if left_over.isEmpty():
+        found = compared(pairs.unionAll(groups.select("a", "b").distinct().withColumn("whole", F.lit(True))))
+        labels = _merged(labels, found.where("linked").select("a", "b"), cut)
+        rows = groups.join(found.where("p IS NOT NULL"), ["a", "b"]).join(full.select(F.col("node").alias("b"), "n").join(central.withColumnRenamed("node", "b"), "b"), "b")
+        rows = cut(_label(_label(rows, labels, "b", "label"), labels, "a", "lead_label"))
+        posted, told = cut.told(_postings(rows, percent), small=F.count_if(F.col("size") <= POSTED), large=F.count_if(F.col("size") > POSTED))
+        if told["small"]:
+            links = _posted_links(posted.where(F.col("size") <= POSTED), rows, full, percent)
+            labels = _merged(labels, cut(links), cut)
+        if not told["large"]:
             break
-        rows = cut(left_over.join(full.drop("bands"), "node"))
-        lead = rows.where(F.col("level") == F.col("top") - step)
-        a = lead.select("bucket", F.col("label").alias("label_a"), F.col("level").alias("level_a"), F.col("node").alias("a"), F.col("n").alias("n_a"), *(F.col(s).alias(f"{s}_a") for s in packed))
-        b = rows.select("bucket", F.col("label").alias("label_b"), F.col("level").alias("level_b"), F.col("node").alias("b"), F.col("n").alias("n_b"), *(F.col(s).alias(f"{s}_b") for s in packed))
-        # Those of higher levels have been compared in earlier rounds.
-        order = (F.col("level_b") < F.col("level_a")) | ((F.col("level_b") == F.col("level_a")) & (F.col("a") < F.col("b")))
-        pairs = a.join(b, "bucket").where((F.col("label_a") != F.col("label_b")) & order & fits)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        fresh = cut(pairs.join(tried, ["a", "b"], "left_anti"))
-        step += 1
-        if fresh.isEmpty():
-            continue
-        more = confirmed(fresh)
-        tried = tried.unionAll(fresh)
-        if not more.isEmpty():
-            links = links.unionAll(more)
-            labels = components(links)
+        # A difference that many nodes share makes a group of its own, led by its most central node.
+        # Such groups of one group with one leader are one, as a passage has many shingles.
+        large = posted.where(F.col("size") > POSTED)
+        leads = large.groupBy("g", "missing", "term").agg(F.max(F.struct("centre", "b")).alias("lead")).select("g", "missing", "term", F.col("lead.b").alias("a"))
+        groups = large.select("g", "missing", "term", "b").join(leads, ["g", "missing", "term"]).where("a <> b")
+        groups = cut(groups.select(F.xxhash64("g", "a").alias("g"), "a", "b").distinct())
+        pairs = pairs.limit(0)
 
     # A component's least identifier, for linked nodes; the others have their own.
-    least = labels.join(nodes.select("node", "id"), "node").groupBy("label").agg(F.min("id").alias("component"))
-    linked_nodes = labels.join(least, "label").select("node", "component", F.lit(True).alias("linked"))
-    named_nodes = nodes.join(linked_nodes, "node", "left").select("key", F.when(F.col("linked"), F.col("component")).otherwise(F.col("id")).alias("component"))
+    labels = cut.keep(labels)
+    linked = labels.join(full.select("node", "id"), "node")
+    least = linked.groupBy("label").agg(F.min("id").alias("component"))
+    linked = labels.join(least, "label").select("node", "component", F.lit(True).alias("linked"))
+    own = full.select("node", "id").join(linked, "node", "left").select("node", F.when(F.col("linked"), F.col("component")).otherwise(F.col("id")).alias("component"))
     return (
-        signed.select("id", "key", "n")
-        .join(named_nodes, "key", "left")
+        signed.select("id", "node", "n")
+        .join(own, "node", "left")
         .select(
             F.col("id").alias(id_col),
             F.col("n").alias("n_shingles"),
@@ -318,3 +341,73 @@ def near_duplicates(
         )
         .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
     )
+
+
+def _postings(rows: DataFrame, percent: int) -> DataFrame:
+    """The nodes of each group under their differences (missing, term) from the leader, where a link is still possible.
+
+    Let a group's leader have the set L and a node n shingles, p of them in L. Two nodes
+    b and c that are linked share at least t (n_b + n_c) shingles, t = percent / (100 +
+    percent), and at most min(p_b, p_c) of them in L, so at least
+    e = t (n_b + n_c) - min(p_b, p_c) outside. As sizes may differ by ``percent`` only,
+    e >= percent / 100 n_b - p_b for either node, and it is enough to post the first
+    n_b - p_b - max(1, that) + 1 of its shingles outside L, the rarest in the group first. If e <= 0
+    and they share no shingle outside, then one of them, that is not linked with the
+    leader, shares with the other a shingle of L that both lack; those are posted by
+    the few nodes whose sizes allow it. Nothing is posted where all have one label.
+    """
+    t = F.lit(percent / (100.0 + percent))
+    # Two nodes can do without a shared shingle outside L if n_c <= reach_b and n_b <= reach_c.
+    rows = rows.withColumn("reach", F.floor(F.col("p") / t + 1e-6) - F.col("n"))
+    apart = F.col("label") != F.col("lead_label")
+    bounds = rows.groupBy("g").agg(
+        F.min(F.least("label", "lead_label")).alias("low"),
+        F.max(F.greatest("label", "lead_label")).alias("high"),
+        F.min("n").alias("least_n"),
+        F.min(F.when(apart, F.col("n"))).alias("apart_n"),
+        F.max(F.when(apart, F.col("reach"))).alias("apart_reach"),
+    )
+    rows = rows.join(bounds.where("low < high").drop("low", "high"), "g")
+    need = F.greatest(F.lit(1).cast("long"), F.ceil(F.lit(percent / 100) * F.col("n") - F.col("p") - 1e-6))
+    eligible = (apart & (F.col("reach") >= F.col("least_n"))) | ((F.col("n") <= F.col("apart_reach")) & (F.col("reach") >= F.col("apart_n")))
+    inside = F.when(eligible, F.col("missing")).otherwise(F.array().cast("array<long>"))
+    outside = F.when(F.size("extra") >= need, F.col("extra")).otherwise(F.array().cast("array<long>"))
+    terms = F.concat(
+        F.transform(outside, lambda x: F.struct(F.lit(False).alias("missing"), x.alias("term"))),
+        F.transform(inside, lambda x: F.struct(F.lit(True).alias("missing"), x.alias("term"))),
+    )
+    each = rows.select("g", "b", "n", "p", "reach", "label", "centre", need.alias("need"), F.size("extra").alias("x"), F.explode(terms).alias("t"))
+    each = each.select("g", "t.missing", "t.term", "b", "n", "p", "reach", "label", "centre", "need", "x")
+    key = ["g", "missing", "term"]
+    common = each.groupBy(*key).agg(F.count(F.lit(1)).alias("common"), F.min("n").alias("smallest"))
+    rarest = Window.partitionBy("g", "b").orderBy("missing", "common", "term")
+    each = each.join(common, key).withColumn("place", F.row_number().over(rarest))
+    # From its place on a node has x - place + 1 shingles to share, and must share e with any node of the list.
+    least = F.ceil(t * (F.col("n") + F.greatest(F.col("smallest"), F.lit(percent / 100) * F.col("n"))) - F.col("p") - 1e-6)
+    posted = each.where(F.col("missing") | (F.col("x") - F.col("place") + 1 >= F.greatest("need", least))).drop("common", "smallest", "need")
+    sizes = posted.groupBy(*key).agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
+    return posted.join(sizes.where("low < high").drop("low", "high"), key)
+
+
+def _posted_links(posted: DataFrame, rows: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among nodes that are posted under one difference, exactly: both sets' differences from the leader give their overlap."""
+    sides = [
+        posted.select("g", "missing", "term", F.col("b").alias(s), F.col("n").alias(f"n_{s}"), F.col("p").alias(f"p_{s}"), F.col("reach").alias(f"reach_{s}"), F.col("label").alias(f"label_{s}"), (F.col("x") - F.col("place") + 1).alias(f"left_{s}"))
+        for s in ("x", "y")
+    ]
+    sized = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
+    # A pair is made by the first shingle that it shares, from which on it must share enough.
+    enough = F.least("left_x", "left_y") >= F.lit(percent / (100.0 + percent)) * (F.col("n_x") + F.col("n_y")) - F.least("p_x", "p_y") - 1e-6
+    reached = (F.col("n_x") <= F.col("reach_y")) & (F.col("n_y") <= F.col("reach_x"))
+    allowed = F.when(F.col("missing"), reached).otherwise(enough)
+    pairs = sides[0].join(sides[1], ["g", "missing", "term"]).where((F.col("x") < F.col("y")) & (F.col("label_x") != F.col("label_y")) & sized & allowed)
+    pairs = pairs.select("g", "x", "y").distinct()
+
+    def differences(s: str) -> DataFrame:
+        return rows.select("g", "a", F.col("b").alias(s), F.col("n").alias(f"n_{s}"), F.col("p").alias(f"p_{s}"), F.col("extra").alias(f"extra_{s}"), F.col("missing").alias(f"missing_{s}"))
+
+    both = pairs.join(differences("x"), ["g", "x"]).join(differences("y").drop("a"), ["g", "y"])
+    leader = F.col("p_x") + F.size("missing_x")
+    overlap = F.col("p_x") + F.col("p_y") - leader + F.size(F.array_intersect("missing_x", "missing_y")) + F.size(F.array_intersect("extra_x", "extra_y"))
+    linked = (100 * overlap >= percent * (F.col("n_x") + F.col("n_y") - overlap)) & (overlap > 0)
+    return both.where(linked).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
