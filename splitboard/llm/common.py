@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a per-group table may be broadcast; beyond it a salted join is used.
 BROADCAST_ROWS = 50_000
 #: Rows of an Arrow batch that goes to Python.
 BATCH_ROWS = 500
+#: Bytes of an Arrow batch that goes to Python: a batch ends with the row that reaches them.
+BATCH_BYTES = 64 << 20
+#: Bytes of labelled text that a class is learned from: a class ends with the text that reaches them.
+SAMPLE_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,15 +42,52 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+class Scratch:
+    """Tables written once to the shared folder and read back.
 
-    The lineage ends at the written files, so a lost executor costs only the
-    stage that was running, and later passes read narrow columns instead of texts.
+    The lineage ends at the written files, so a lost executor costs only the stage
+    that was running, and later passes read narrow columns instead of texts. What was
+    not written by ``keep`` is deleted when the block ends; the rest, which results are
+    read from, when the application does.
     """
-    path = f"{shared_dir(df.sparkSession)}/splitboard-{uuid.uuid4().hex}"
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.passing = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.passing:
+            _folder(self.spark, path, lambda fs, p: fs.delete(p, True))
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        return cut(df)
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return cut(df, self.passing)
+
+    def told(self, df: DataFrame, **figures: Column) -> tuple[DataFrame, dict]:
+        """The table, and figures of it that the same pass gathers."""
+        seen = Observation()
+        return self(df.observe(seen, *(c.alias(name) for name, c in figures.items()))), seen.get
+
+
+def _folder(spark: SparkSession, path: str, do) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    do(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at)
+
+
+def cut(df: DataFrame, passing: list[str] | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back, see ``Scratch``."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/splitboard-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if passing is None:
+        _folder(spark, path, lambda fs, p: fs.deleteOnExit(p))
+    else:
+        passing.append(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def words(text: Column) -> Column:
@@ -54,15 +99,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, learnable: Column, per_class: int, id_col: str = "doc_id", text: str = "text"
-) -> list[tuple[str, int]]:
-    """At most ``per_class`` (text, label) rows of each class 0 and 1, for fitting on the driver.
+def fitted(
+    docs: DataFrame, labels: DataFrame, label: str, learnable: Column, per_class: int, fit: Callable[[list[tuple[str, int]]], Any], id_col: str = "doc_id", text: str = "text"
+) -> Any:
+    """``fit`` of at most ``per_class`` (text, label) rows of each class 0 and 1, run in one task.
 
     The identifiers are chosen first, by hash, from the narrow label table; whole
-    texts are then read for those alone. A label is the largest its document has;
-    null labels and null identifiers are left out. Sorted by identifier, so that
-    reruns fit the same model.
+    texts are then read for those alone. A label is the largest its document has, and
+    of several texts under one identifier the least counts; null labels and null
+    identifiers are left out. A class's texts are taken in the order of the hash until
+    ``SAMPLE_BYTES`` are reached, so the task is bounded, and reruns fit the same model.
+    Only the model comes to the driver. ``fit`` is a function of this package.
     """
     own = labels.where(learnable & F.col(label).isin(0, 1) & F.col(id_col).isNotNull())
     own = own.groupBy(id_col).agg(F.max(label).cast("int").alias("label"))
@@ -70,10 +117,23 @@ def labelled_sample(
     for value in (0, 1):
         part = own.where(F.col("label") == value).orderBy(F.xxhash64(id_col), id_col).limit(per_class)
         chosen = part if chosen is None else chosen.unionAll(part)
+    chosen = chosen.select(F.col(id_col).alias("id"), "label")
     # At most 2 * per_class narrow rows, so the broadcast has a fixed bound.
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text), F.lit("")).alias("body")).join(F.broadcast(chosen), id_col)
-    found = {row[id_col]: (row["body"], row["label"]) for row in rows.collect()}
-    return [found[key] for key in sorted(found)]
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body")).join(F.broadcast(chosen), "id")
+    rows = rows.groupBy("id", "label").agg(F.min("body").alias("body")).repartition(1).sortWithinPartitions(F.xxhash64("id"), "id")
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sample, held = [], [0, 0]
+        for batch in batches:
+            for body, value in zip(batch["body"], batch["label"]):
+                if held[value] < SAMPLE_BYTES:
+                    held[value] += len(body.encode("utf-8", "replace"))
+                    sample.append((body, int(value)))
+        yield pd.DataFrame({"model": [pickle.dumps(fit(sample))]})
+
+    ship(docs.sparkSession)
+    found = rows.select("body", "label").mapInPandas(learn, "model binary").first()
+    return pickle.loads(found["model"]) if found else fit([])
 
 
 def remainder(id_col: str, modulus: int) -> Column:
@@ -85,8 +145,9 @@ def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python, once for each Spark application.
 
     Texts are long, so Arrow batches of the session are held to ``BATCH_ROWS`` rows
-    unless it asks for fewer.
+    (unless it asks for fewer) and to ``BATCH_BYTES`` bytes.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     sc = spark.sparkContext

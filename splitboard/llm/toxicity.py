@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, ship
+from .common import fitted
 
 #: Bytes of a window, and compression level.
 WINDOW, LEVEL = 128, 13
@@ -174,8 +174,7 @@ def toxicity(
     texts score 0 (nothing is saved). Repeated rows score alike. An empty table gives
     no rows; without labels all scores are 0.
     """
-    model = fit(labelled_sample(docs, labels, label, ~held_out, per_class, id_col, text))
-    ship(docs.sparkSession)
+    model = fitted(docs, labels, label, ~held_out, per_class, fit, id_col, text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
