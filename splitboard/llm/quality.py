@@ -20,15 +20,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, ship
+from .common import fitted
 
 #: Dimensions of hashed words and of hashed shapes, and of the latent space.
 WORDS, SHAPES, LATENT = 1024, 1024, 64
 #: Labelled rows of each class that a model is fitted on at most.
 PER_CLASS = 2500
 NEIGHBOURS, POWER = 25, 2
-#: Documents in a block of the cosine product; words that a worker remembers.
-BLOCK, REMEMBERED = 256, 100_000
+#: Documents in a block of the cosine product; words that a worker remembers, and their letters at most.
+BLOCK, REMEMBERED, LONG = 256, 100_000, 64
 #: The score at the calibrated threshold.
 AT_THRESHOLD = 0.3
 
@@ -44,15 +44,17 @@ class Terms:
         self.known: dict[str, tuple[int, int]] = {}
 
     def of_word(self, word: str) -> tuple[int, int]:
-        runs: list[str] = []
-        for ch in word[:16]:
+        # The hash goes on from run to run, so that a word of any length is taken whole.
+        shape, last = 0, ""
+        for ch in word:
             kind = "U" if ch.isupper() else "l" if ch.isalpha() else "9" if ch.isdigit() else ch
-            if not runs or runs[-1] != kind:
-                runs.append(kind)
-        pair = (_hash(word.strip(".,;:!?").lower(), WORDS), WORDS + _hash("".join(runs), SHAPES))
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        self.known[word] = pair
+            if kind != last:
+                shape, last = zlib.crc32(kind.encode("utf-8", "replace"), shape), kind
+        pair = (_hash(word.strip(".,;:!?").lower(), WORDS), WORDS + shape % SHAPES)
+        if len(word) <= LONG:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[word] = pair
         return pair
 
     def of_text(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +130,7 @@ def fit(rows: list[tuple[str, int]]) -> QualityModel:
     model = QualityModel(votes=labels)
     counts = model.terms.matrix([text for text, _ in rows])
     model.idf = np.log((1 + len(rows)) / (1 + (counts > 0).sum(0))).astype(np.float32)
-    # In place and in single precision: this runs on the driver.
+    # In place and in single precision: this runs in one task.
     counts *= model.idf
     counts /= np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), 1e-9)
     weighted = counts
@@ -158,8 +160,7 @@ def quality(
     least weight. Repeated rows score alike. An empty table gives no rows; without
     labels all scores are 1. Columns of ``docs`` named like the three are replaced.
     """
-    model = fit(labelled_sample(docs, labels, label, ~held_out, per_class, id_col, text))
-    ship(docs.sparkSession)
+    model = fitted(docs, labels, label, ~held_out, per_class, fit, id_col, text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
