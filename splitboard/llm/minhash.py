@@ -289,7 +289,8 @@ def _grouped(docs: DataFrame, id_col: str, text: str, width: int, percent: int,
         return cut(both.select("a", "b", _compared(width, percent)("body_a", "body_b", "whole").alias("r")).select("a", "b", "r.*"))
 
     # Each node with its most central leader.
-    first = members.groupBy(F.col("node").alias("b")).agg(F.min("lead").alias("lead")).select(F.col("lead.leader").alias("a"), "b").where("a <> b")
+    tops = cut(members.groupBy("node").agg(F.min("lead").alias("lead")).select("node", F.col("lead.leader").alias("top")))
+    first = tops.select(F.col("top").alias("a"), F.col("node").alias("b")).where("a <> b")
     first = compared(likely(first).withColumn("whole", F.lit(False))).select("a", "b", "linked")
     labels = components(shared_ids.unionAll(first.where("linked").select("a", "b")), cut)
 
@@ -304,14 +305,16 @@ def _grouped(docs: DataFrame, id_col: str, text: str, width: int, percent: int,
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = likely(pairs.join(tried, ["a", "b"], "left_anti")).withColumn("whole", F.lit(False))
     # In large ones, every node with the leader, whole; then what its set differs in says which others it can be linked with.
-    groups = known.where(F.col("size") > SMALL).select(F.col("leader").alias("g"), F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    # Any node will do as leader of all nodes of a bucket: taking the most central leader of the leader makes few groups of many.
+    groups = known.where(F.col("size") > SMALL).select(F.col("leader").alias("of"), F.col("node").alias("b")).distinct()
+    groups = groups.join(tops.withColumnRenamed("node", "of"), "of").select(F.col("top").alias("g"), F.col("top").alias("a"), "b").distinct()
     groups = cut(groups.where("a <> b"))
     while True:
         found = compared(pairs.unionAll(groups.select("a", "b").distinct().withColumn("whole", F.lit(True))))
         labels = _merged(labels, found.where("linked").select("a", "b"), cut)
         rows = groups.join(found.where("p IS NOT NULL"), ["a", "b"]).join(full.select(F.col("node").alias("b"), "n").join(central.withColumnRenamed("node", "b"), "b"), "b")
         rows = cut(_label(_label(rows, labels, "b", "label"), labels, "a", "lead_label"))
-        posted, told = cut.told(_postings(rows, percent), small=F.count_if(F.col("size") <= POSTED), large=F.count_if(F.col("size") > POSTED))
+        posted, told = cut.told(_postings(rows, percent, cut), small=F.count_if(F.col("size") <= POSTED), large=F.count_if(F.col("size") > POSTED))
         if told["small"]:
             links = _posted_links(posted.where(F.col("size") <= POSTED), rows, full, percent)
             labels = _merged(labels, cut(links), cut)
@@ -343,7 +346,7 @@ def _grouped(docs: DataFrame, id_col: str, text: str, width: int, percent: int,
     )
 
 
-def _postings(rows: DataFrame, percent: int) -> DataFrame:
+def _postings(rows: DataFrame, percent: int, cut: Scratch) -> DataFrame:
     """The nodes of each group under their differences (missing, term) from the leader, where a link is still possible.
 
     Let a group's leader have the set L and a node n shingles, p of them in L. Two nodes
@@ -379,12 +382,15 @@ def _postings(rows: DataFrame, percent: int) -> DataFrame:
     each = rows.select("g", "b", "n", "p", "reach", "label", "centre", need.alias("need"), F.size("extra").alias("x"), F.explode(terms).alias("t"))
     each = each.select("g", "t.missing", "t.term", "b", "n", "p", "reach", "label", "centre", "need", "x")
     key = ["g", "missing", "term"]
-    common = each.groupBy(*key).agg(F.count(F.lit(1)).alias("common"), F.min("n").alias("smallest"))
-    rarest = Window.partitionBy("g", "b").orderBy("missing", "common", "term")
-    each = each.join(common, key).withColumn("place", F.row_number().over(rarest))
+    each = cut(each)
+    # Those that one node alone has come first in the order and make no pair.
+    common = each.groupBy(*key).agg(F.count(F.lit(1)).alias("common"), F.min("n").alias("smallest")).where("common > 1")
+    own = Window.partitionBy("g", "b", "missing")
+    place = F.row_number().over(own.orderBy("common", "term")) + F.col("x") - F.count(F.lit(1)).over(own)
+    each = each.join(common, key).withColumn("place", place)
     # From its place on a node has x - place + 1 shingles to share, and must share e with any node of the list.
     least = F.ceil(t * (F.col("n") + F.greatest(F.col("smallest"), F.lit(percent / 100) * F.col("n"))) - F.col("p") - 1e-6)
-    posted = each.where(F.col("missing") | (F.col("x") - F.col("place") + 1 >= F.greatest("need", least))).drop("common", "smallest", "need")
+    posted = cut(each.where(F.col("missing") | (F.col("x") - F.col("place") + 1 >= F.greatest("need", least))).drop("common", "smallest", "need"))
     sizes = posted.groupBy(*key).agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
     return posted.join(sizes.where("low < high").drop("low", "high"), key)
 
