@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,16 +15,26 @@ from ..functions.times import lenex_time, parse_birthdate, race_date
 
 
 def archive_text(content: pd.Series) -> pd.Series:
-    """XML text of each archive (its first .lef or .xml member) or of plain XML; null if it is neither."""
+    """XML text of each archive (its first .lef or .xml member) or of plain XML; null if it is neither.
+
+    A real parser reads the document in its own encoding; it is written out again in one
+    form (double quotes, entities resolved, no namespaces or comments), from which the
+    expressions below take elements and attributes.
+    """
 
     def one(raw: bytes | None) -> str | None:
         try:
             if raw and raw[:2] == b"PK":
                 with zipfile.ZipFile(io.BytesIO(raw)) as z:
                     name = next((n for n in z.namelist() if n.lower().endswith((".lef", ".xml"))), None)
-                    return z.read(name).decode("utf-8", "replace") if name else None
-            return raw.decode("utf-8", "replace") if raw and raw.lstrip()[:1] == b"<" else None
-        except (zipfile.BadZipFile, KeyError):
+                    raw = z.read(name) if name else None
+            if not raw:
+                return None
+            root = ElementTree.fromstring(raw)
+            for element in root.iter():
+                element.tag = element.tag.rpartition("}")[2]
+            return ElementTree.tostring(root, encoding="unicode")
+        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, LookupError, ValueError):
             return None
 
     return content.map(one)
@@ -45,7 +56,7 @@ def _open(element: Column) -> Column:
 
 def _attribute(element: Column, name: str) -> Column:
     value = F.regexp_extract(_open(element), rf'\b{name}="([^"]*)"', 1)
-    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#09;", " "), ("&#10;", " "), ("&#13;", " "), ("&amp;", "&")):
         value = F.replace(value, F.lit(entity), F.lit(sign))
     return value
 

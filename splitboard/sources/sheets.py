@@ -5,8 +5,10 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,16 +37,17 @@ def sheet_rows(raw: bytes, sheet: int = 1) -> list[dict[str, str]]:
 
 
 def read_sheet(spark: SparkSession, path: str, columns: dict[str, str], first_row: int = 2, sheet: int = 1) -> DataFrame:
-    """Columns (letter -> name) of a sheet from ``first_row`` on, as strings, with ``path`` and ``row_no``. One row a file goes to Python."""
-    schema = "array<struct<row_no: int, " + ", ".join(f"`{n}`: string" for n in columns.values()) + ">>"
+    """Columns (letter -> name) of a sheet from ``first_row`` on, as strings, with ``path`` and ``row_no``. Whole files go to Python by Arrow."""
+    schema = "path string, row_no int, " + ", ".join(f"`{n}` string" for n in columns.values())
 
-    @F.udf(schema)
-    def rows(raw: bytes):
-        found = sheet_rows(bytes(raw), sheet)
-        return [(i, *(r.get(c) for c in columns)) for i, r in enumerate(found, 1) if i >= first_row]
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at, raw in zip(batch["path"], batch["content"]):
+                found = [(at, i, *(r.get(c) for c in columns)) for i, r in enumerate(sheet_rows(raw, sheet), 1) if i >= first_row]
+                yield pd.DataFrame(found, columns=["path", "row_no", *columns.values()])
 
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.inline(rows("content")))
+    return files.select("path", "content").mapInPandas(rows, schema)
 
 
 def club_mapping(sheet: DataFrame, norm) -> DataFrame:

@@ -17,13 +17,26 @@ def landing(spark: SparkSession, path: str, schema: StructType, fmt: str = "parq
     return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files).load(path)
 
 
+def _files(spark: SparkSession, path: str, do):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return do(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    return _files(spark, path, lambda fs, at: fs.exists(at))
+
+
 def upsert_stream(stream: DataFrame, target: str, key: Sequence[str], time: str, order: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
     """Keep the least time for each key in versions of a Parquet table under ``target``.
 
     Each batch reduces its own rows first, writes the next version and is idempotent:
-    a replayed batch overwrites its version with the same rows. Without an interval
-    what has arrived is processed and the query ends.
+    a replayed batch overwrites its version with the same rows. Of older versions the
+    one before is kept, which a replay starts from. A target that has versions is refused
+    with a checkpoint that has none of its progress, as its batches would count from 0
+    again. Without an interval what has arrived is processed and the query ends.
     """
+    if _exists(stream.sparkSession, target) and not _exists(stream.sparkSession, f"{checkpoint}/offsets"):
+        raise ValueError(f"{target} has versions, but {checkpoint} is not their checkpoint")
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -32,6 +45,8 @@ def upsert_stream(stream: DataFrame, target: str, key: Sequence[str], time: str,
         else:
             old = spark.createDataFrame([], batch.schema)
         upsert_min(old, batch, key, time, order).write.mode("overwrite").parquet(f"{target}/v={number}")
+        if number > 1:
+            _files(spark, f"{target}/v={number - 2}", lambda fs, at: fs.delete(at, True))
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()

@@ -43,6 +43,13 @@ def test_normalize_for_lookup(spark, raw, want):
         (lambda: text.parse_gender(F.lit("Erkekler")), "M"),
         (lambda: text.parse_stroke(F.lit("200m KURBAĞALAMA")), "Kurbağalama"),
         (lambda: text.parse_distance(F.lit("Yarış 10, 1500m Serbest")), 1500),
+        (lambda: text.parse_distance(F.lit("Yarış 100, Erkekler, 50m Serbest")), 50),
+        (lambda: text.parse_distance(F.lit("Yarış 50, Kızlar, 200m Serbest")), 200),
+        (lambda: text.parse_distance(F.lit("500m")), None),
+        (lambda: text.parse_distance(F.lit("1000 m")), None),
+        (lambda: text.normalize_for_lookup(F.lit("Kovač Žilina Ālija ﬁn Ｘ Ắ ǆ")), "kovac zilina alija fin x a dz"),
+        (lambda: text.clean_punctuation(F.lit("S.K. a.b 1.5 x. y .z (q)-r_s 3. a..b")), "SK ab 1.5 x y z q r s 3. a b"),
+        (lambda: text.parse_gender(F.lit("Ali Kızıltan")), "M"),
         (lambda: text.is_relay(F.lit("4 x 100m Serbest")), True),
         (lambda: text.label(F.lit("TR"), {"TR": "Türkiye"}), "Türkiye"),
         (lambda: text.label(F.lit("?"), {"TR": "Türkiye"}), "?"),
