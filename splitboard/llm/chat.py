@@ -21,15 +21,22 @@ from pyspark.sql import functions as F
 #: Turns of a block.
 BLOCK = 256
 END = "<|end|>\n"
-#: The name of a null speaker.
-NOBODY = "unknown"
+#: What stands before a name inside this module, so that no name is the empty one of a null speaker.
+NAMED = "="
+
+
+def escaped(text: Column) -> Column:
+    """The text with a backslash more in every opening of a mark, escaped or not, so that it holds no mark and can be had back."""
+    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
 
 
 def _header(speaker: Column, perspective: Column, narrators: Sequence[str]) -> Column:
+    name = F.regexp_replace(escaped(F.substr(speaker, F.lit(len(NAMED) + 1))), r"[\r\n]", " ")
     return (
         F.when(speaker == perspective, "<|assistant|>\n")
-        .when(speaker.isin(*narrators), F.concat(F.lit("<|"), speaker, F.lit("|>\n")))
-        .otherwise(F.concat(F.lit("<|user name="), speaker, F.lit("|>\n")))
+        .when(speaker == "", "<|user|>\n")
+        .when(speaker.isin(*(NAMED + n for n in narrators)), F.concat(F.lit("<|"), name, F.lit("|>\n")))
+        .otherwise(F.concat(F.lit("<|user name="), name, F.lit("|>\n")))
     )
 
 
@@ -44,22 +51,24 @@ def rotate_perspectives(
     """One row per (dialogue, participant, turn): ``conv``, ``perspective``, ``position``, ``turn``, ``speaker``, ``rendered``, ``start``, ``stop``, ``mask_start``, ``mask_stop``.
 
     ``start`` and ``stop`` are code points of the rendered dialogue; the mask is null
-    where nothing is learned. Turns go by number (null first), then speaker, then
-    text; repeated rows all stay. A null speaker is called "unknown", a null text is
-    empty, rows with a null dialogue form one dialogue. A dialogue of narrators alone
-    has no participant and no rows. An empty table gives none; other columns are not
-    read.
+    where nothing is learned. Turns go by number (null first), then speaker (null
+    first), then text; repeated rows all stay. A null speaker is a participant of its
+    own, without name; a null text is empty, rows with a null dialogue form one
+    dialogue. Whatever opens a mark in a text or a name is escaped (see ``escaped``), and
+    places count the escaped text; very long texts are whole. A dialogue of narrators
+    alone has no participant and no rows. An empty table gives none; other columns are
+    not read. By design there is a row for each participant and turn.
     """
     rows = turns.select(
         F.col(conv).alias("conv"),
         F.col(turn).alias("turn"),
-        F.coalesce(F.col(speaker).cast("string"), F.lit(NOBODY)).alias("speaker"),
-        F.coalesce(F.col(text), F.lit("")).alias("text"),
+        F.coalesce(F.concat(F.lit(NAMED), F.col(speaker).cast("string")), F.lit("")).alias("speaker"),
+        escaped(F.coalesce(F.col(text), F.lit(""))).alias("text"),
     ).withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))))
     counts = rows.groupBy("conv", "block", "speaker").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text") + len(END)).alias("chars")
     )
-    people = counts.where(~F.col("speaker").isin(*narrators)).select(F.col("conv").alias("of"), F.col("speaker").alias("perspective")).distinct()
+    people = counts.where(~F.col("speaker").isin(*(NAMED + n for n in narrators))).select(F.col("conv").alias("of"), F.col("speaker").alias("perspective")).distinct()
     header = F.char_length(_header(F.col("speaker"), F.col("perspective"), narrators))
     blocks = (
         counts.join(people, counts.conv.eqNullSafe(people.of))
@@ -81,12 +90,16 @@ def rotate_perspectives(
     stop = F.col("chars_before") + F.sum(F.char_length("rendered")).over(inside.rowsBetween(Window.unboundedPreceding, 0))
     out = placed.withColumns({"position": F.col("turns_before") + F.row_number().over(inside) - 1, "stop": stop})
     learned = F.col("speaker") == F.col("perspective")
+
+    def name(column: str) -> Column:
+        return F.when(F.col(column) != "", F.substr(F.col(column), F.lit(len(NAMED) + 1)))
+
     return out.select(
         F.col("conv").alias(conv),
-        "perspective",
+        name("perspective").alias("perspective"),
         "position",
         F.col("turn").alias(turn),
-        F.col("speaker").alias(speaker),
+        name("speaker").alias(speaker),
         "rendered",
         (F.col("stop") - F.char_length("rendered")).alias("start"),
         "stop",

@@ -37,22 +37,25 @@ FROM run
 
 OP10 = """
 WITH said AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
+  SELECT conv_id, turn, role, regexp_replace(coalesce(text, ''), '<(\\\\*)\\|', '<\\\\\\1|', 'g') AS text,
+         regexp_replace(regexp_replace(role, '<(\\\\*)\\|', '<\\\\\\1|', 'g'), '[\\r\\n]', ' ', 'g') AS name
+  FROM conversations
 ), people AS (
-  SELECT DISTINCT conv_id, role AS perspective FROM said WHERE role <> 'system'
+  SELECT DISTINCT conv_id, role AS perspective FROM said WHERE role IS DISTINCT FROM 'system'
 ), rendered AS (
   SELECT s.*, p.perspective,
-         CASE WHEN role = perspective THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>' ELSE '<|user name=' || role || '|>' END
+         CASE WHEN role IS NOT DISTINCT FROM perspective THEN '<|assistant|>' WHEN role IS NULL THEN '<|user|>'
+              WHEN role = 'system' THEN '<|system|>' ELSE '<|user name=' || name || '|>' END
          || chr(10) || text || '<|end|>' || chr(10) AS rendered
   FROM said s JOIN people p ON s.conv_id IS NOT DISTINCT FROM p.conv_id
 ), placed AS (
   SELECT *, row_number() OVER w - 1 AS position,
          CAST(sum(length(rendered)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS stop
-  FROM rendered WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, role, text)
+  FROM rendered WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, role NULLS FIRST, text)
 )
 SELECT conv_id, perspective, position, turn, role, rendered, stop - length(rendered) AS start, stop,
-       CASE WHEN role = perspective THEN stop - length(text) - 8 END AS mask_start,
-       CASE WHEN role = perspective THEN stop END AS mask_stop
+       CASE WHEN role IS NOT DISTINCT FROM perspective THEN stop - length(text) - 8 END AS mask_start,
+       CASE WHEN role IS NOT DISTINCT FROM perspective THEN stop END AS mask_stop
 FROM placed
 """
 
