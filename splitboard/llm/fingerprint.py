@@ -135,7 +135,8 @@ def successor_fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str =
     # Range 0 has the largest identifiers and the last one the null ones.
     part = (len(splits) + 1) - F.size(F.filter(F.array(*map(F.lit, splits)), lambda s: s < F.col("id"))) if splits else F.lit(1)
     ranged = rows.withColumn("part", F.when(F.col("id").isNull(), len(splits) + 2).otherwise(part).cast("int"))
-    dealt = ranged.repartition(n, "part")
+    # Each range is a partition of its own, by its number.
+    dealt = ranged.repartitionById(n, F.col("part"))
     order = Window.partitionBy("part").orderBy(F.desc_nulls_last("id"), "body")
     ordered = dealt.select("part", F.row_number().over(order).alias("place"), "id", "body", F.lead("body").over(order).alias("follows"))
     return _finish(ordered, ranged, n, id_col)
