@@ -41,10 +41,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of their source and language. The table has no file names, so
-    every document that declares a licence may speak for its directory."""
+    none is a licence file that speaks for its directory: a document has the licence that
+    it declares itself."""
     docs = table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
-    return scan_licenses(docs, path, licence_file=F.lit(True))
+    return scan_licenses(docs, F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
