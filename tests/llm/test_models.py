@@ -13,12 +13,13 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from splitboard.llm import minhash, queries
+from splitboard.llm import common, minhash, queries
 from splitboard.llm.bpe import Bpe, encode_documents
 from splitboard.llm.common import table
 from splitboard.llm.minhash import near_duplicates
-from splitboard.llm.quality import quality
-from splitboard.llm.toxicity import fit, toxicity, windows
+from splitboard.llm.quality import Terms, quality
+from splitboard.llm.quality import fit as fit_quality
+from splitboard.llm.toxicity import DOUBLING, RUN, fit, toxicity, windows
 
 MID = "/root/testdata/sf0.01"
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -65,6 +66,54 @@ def test_windows_hold_the_whole_text():
         assert b"".join(windows(body)) == body and all(windows(body))
 
 
+def test_vote_against_a_sort_of_all_cosines():
+    rng = random.Random(2)
+    words = [[f"{c}{rng.randrange(60)}" for c in "ab" for _ in range(20)] for _ in range(120)]
+    model = fit_quality([(" ".join(w if i % 2 else [x + "!?" for x in w]), i % 2) for i, w in enumerate(words)])
+    vectors = model.vectors([" ".join(w[::-1]) for w in words[:30]])
+    for vector, got in zip(vectors, model.vote(vectors)):
+        near = sorted(((float(vector @ p), float(v)) for p, v in zip(model.points, model.votes)), reverse=True)[:25]
+        weights = [max(c, 1e-6) ** 2 for c, _ in near]
+        assert abs(got - sum(w * v for w, (_, v) in zip(weights, near)) / sum(weights)) < 1e-4
+
+
+def test_shape_of_a_long_word():
+    """The whole word counts, however long it is."""
+    terms = Terms()
+    assert terms.of_word("a" * 40 + "9")[1] != terms.of_word("a" * 40)[1] == terms.of_word("b" * 400)[1]
+    assert terms.of_word("x" * 100_000 + "Z9")[1] == terms.of_word("xZ9")[1]
+
+
+def test_saving_against_a_plain_loop():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = [(" ".join("scoundrelly" if k and i % 9 == 0 else word() for i in range(90)), k) for k in (0, 1) * 60]
+    model = fit(rows)
+    plain, toxic = model._compressors()
+    for text, _ in rows[:20] + [(" ".join(t for t, _ in rows[:30]), 0), ("", 0)]:
+        saved = [max(0, len(plain(w)) - len(toxic(w))) for w in windows(text.lower().encode())]
+        best = sum(saved) / len(saved) ** 0.5 if saved else 0.0
+        length = RUN
+        while length < len(saved):
+            for i in range(len(saved) - length + 1):
+                best = max(best, sum(saved[i : i + length]) / (length**0.5 + DOUBLING * np.log2(len(saved) / length)))
+            length *= 2
+        assert abs(model.saving(text) - best) < 1e-9
+
+
+def test_sample_is_bounded_and_chosen_by_rule(spark, monkeypatch):
+    """Of several texts under one identifier the least is learned from; a class ends where its bytes do."""
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (3, "d" * 50), (4, "e" * 50), (None, "f"), (5, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (2, 0), (3, 0), (4, 0), (None, 1), (5, 1), (9, 1)], "doc_id long, toxic int")
+    learn = lambda rows: sorted(rows)
+    for df in (docs, docs.orderBy(F.desc("text"))):
+        got = common.fitted(df, labels, "toxic", F.lit(True), 10, learn)
+        assert got == [("", 1), ("a", 0), ("c", 1), ("d" * 50, 0), ("e" * 50, 0)]
+    monkeypatch.setattr(common, "SAMPLE_BYTES", 1)
+    assert len([1 for _, k in common.fitted(docs, labels, "toxic", F.lit(True), 10, learn) if k == 0]) in (1, 2)
+    assert common.fitted(docs.limit(0), labels, "toxic", F.lit(True), 10, learn) == []
+
+
 @pytest.mark.parametrize("operator", [toxicity, quality])
 def test_classifiers_odd(spark, odd, empty, operator):
     label = operator.__name__.replace("toxicity", "toxic")
@@ -116,8 +165,11 @@ def test_near_duplicates(spark, width):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
-def test_near_duplicates_chain(spark):
-    """A large group of near copies, many of them linked only through others."""
+@pytest.mark.parametrize(("small", "posted"), [(16, 8192), (2, 8192), (2, 4)])
+def test_near_duplicates_chain(spark, monkeypatch, small, posted):
+    """A large group of near copies, many of them linked only through others; also with groups and lists that are large from a few nodes on."""
+    monkeypatch.setattr(minhash, "SMALL", small)
+    monkeypatch.setattr(minhash, "POSTED", posted)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(120)]
     rows = []
@@ -132,6 +184,34 @@ def test_near_duplicates_chain(spark):
     assert got == _exact(rows, 2, 80)
 
 
+def test_near_duplicates_cut_and_common_passages(spark, monkeypatch):
+    """Shortened copies of shortened copies, and texts that share half of their words, in large groups."""
+    monkeypatch.setattr(minhash, "SMALL", 2)
+    rng = random.Random(11)
+    base, passage, rows = [f"w{i}" for i in range(150)], [f"p{i}" for i in range(60)], []
+    for i in range(150):
+        words = base[rng.randint(0, 15) : 150 - rng.randint(0, 25)]
+        for _ in range(rng.randint(0, 6)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10_000)}"
+        rows.append((i, " ".join(words)))
+    for i in range(150):
+        rest = [f"r{rng.randrange(40)}_{j}" for j in range(rng.randint(8, 50))]
+        rows.append((1000 + i, " ".join([*passage, *rest])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df, width=2).collect()}
+    assert got == _exact(rows, 2, 80)
+
+
+@pytest.mark.parametrize("order", range(3))
+def test_one_identifier_with_two_texts(spark, order):
+    """Both texts keep their links, whatever the order of the rows."""
+    a, b = (" ".join(f"{c}{i}" for i in range(50)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " z"), (3, b + " z")]
+    rows = [rows[(i * (order + 1) + order) % 4] for i in range(4)] if order != 1 else rows[::-1]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in near_duplicates(df, width=2).collect()} == {(1, 1), (2, 1), (3, 1)}
+
+
 def test_near_duplicates_shared_identifiers(spark):
     """Different texts under one identifier, and texts without one, keep their links."""
     rng = random.Random(9)

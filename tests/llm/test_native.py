@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import pytest
 
-from splitboard.llm import oracle, queries
+import xxhash
+
+from splitboard.llm import exact_dedup, oracle, queries
+from splitboard.llm.common import cut
 from splitboard.llm.exact_dedup import content_sort
 from splitboard.llm.fingerprint import fingerprints, successor_fingerprints
 from splitboard.llm.mixing import mix_sources
@@ -54,6 +58,22 @@ def test_content_sort_normalised(spark):
     assert [rows[i].keep_id for i in (1, 2, 3)] == [1, 1, 3] and [rows[i].kept for i in (1, 2, 3)] == [True, False, True]
 
 
+def test_copies_are_decided_by_neighbours(spark, monkeypatch):
+    """At 64 partitions every group of copies is one run of the sort; only a very frequent text is dealt over several."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    tables = []
+    monkeypatch.setattr(exact_dedup, "cut", lambda df: tables.append(cut(df)) or tables[-1])
+    for frequent, bound in ((0, 0), (400, 1)):
+        extra = spark.range(frequent).selectExpr("id + 1000000 as doc_id", "'one and the same' as text")
+        df = docs.select("doc_id", "text").unionAll(extra)
+        groups = Counter(r.text or "" for r in df.collect())
+        rows = content_sort(df, partitions=64).collect()
+        runs = Counter(r.digest for r in tables[-1].where("place = 1").collect())
+        assert len(runs) == len(groups) and sum(n > 1 for n in runs.values()) == bound
+        assert {r.text_sha256: r.group_size for r in rows} == {hashlib.sha256(t.encode()).hexdigest(): n for t, n in groups.items()}
+        assert sum(r.kept for r in rows) == len(groups)
+
+
 def test_mixing(odd, empty):
     rows = mix_sources(odd).collect()
     assert len(rows) == odd.count()
@@ -108,6 +128,23 @@ def test_sharding(spark, odd, empty, sf):
     assert shard_records(empty).count() == 0
 
 
+def test_sharding_winner(spark):
+    """The winning shard, computed apart; a run with nine shards is what was said of growing."""
+
+    def winner(doc: int, shards: int) -> int:
+        costs = []
+        for k in range(shards):
+            first = xxhash.xxh64(doc.to_bytes(8, "little", signed=True), 42).intdigest()
+            u = ((xxhash.xxh64(f"shard:{k}", first).intdigest() >> 12) + 0.5) / (1 << 52)
+            costs.append((-math.log(u), k))
+        return min(costs)[1]
+
+    df = spark.range(-500, 3000).selectExpr("id as doc_id", "'x' as text")
+    rows = {r.doc_id: (r.shard, r.grown_shard) for r in shard_records(df).collect()}
+    assert rows == {d: (winner(d, 8), winner(d, 9)) for d in range(-500, 3000)}
+    assert {r.doc_id: r.shard for r in shard_records(df, weights=(1.0,) * 9).collect()} == {d: g for d, (_, g) in rows.items()}
+
+
 def test_sharding_weights(spark):
     df = spark.range(20_000).selectExpr("id as doc_id", "'x' as text")
     rows = shard_records(df, weights=(1.0, 3.0, 0.0)).groupBy("shard").count().collect()
