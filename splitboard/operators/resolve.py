@@ -144,9 +144,9 @@ def abbreviation_pairs(rows: DataFrame, last: str, first: str, by: Sequence[str]
     return joined.where(F.upper(F.substring("full_first", 1, 1)) == F.upper(F.substring(first, 1, 1)))
 
 
-def best_fuzzy(rows: DataFrame, names: DataFrame, block: Sequence[str], text: str, candidate: str, ratio, cutoff: float) -> DataFrame:
-    """The candidate of the block with the highest similarity, if it reaches the cutoff."""
-    pairs = rows.join(names, list(block)).withColumn("similarity", ratio(F.col(text), F.col(candidate))).where(F.col("similarity") >= cutoff)
+def best_fuzzy(rows: DataFrame, names: DataFrame, block: Sequence[str], text: str, candidate: str, ratio, cutoff: float, allowed: Column | None = None) -> DataFrame:
+    """The candidate of the block with the highest similarity, if it reaches the cutoff; ``allowed`` says which pairs may be taken."""
+    pairs = rows.join(names, list(block)).where(F.lit(True) if allowed is None else allowed).withColumn("similarity", ratio(F.col(text), F.col(candidate))).where(F.col("similarity") >= cutoff)
     best = pairs.groupBy(*rows.columns).agg(F.max_by(F.struct(candidate, "similarity"), F.struct("similarity", F.col(candidate))).alias("_b"))
     return best.select(*rows.columns, "_b.*")
 

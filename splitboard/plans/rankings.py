@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import rank, report, score
@@ -125,15 +126,31 @@ def region_rank(spark, sf_dir):
     return rank.ranked(b.keyed(spark, sf_dir).where("k3 >= 7"), ["grp", "region"], "athlete").select("athlete", "grp", "region", "place")
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS n FROM keyed WHERE false")
+def _rising(order: str) -> str:
+    keys = "row(k3, k4, k5, k6)"
+    return f"SELECT grp, {keys} > lag({keys}) OVER (PARTITION BY grp ORDER BY {order}) AS bad FROM keyed"
+
+
+@query(f"""SELECT grp, ranked, CAST(count(*) FILTER (bad) AS BIGINT) AS n FROM (
+SELECT *, 'keys' AS ranked FROM ({_rising("k3 DESC, k4 DESC, k5 DESC, k6 DESC, athlete")}) UNION ALL SELECT *, 'athlete' FROM ({_rising("athlete")})) GROUP BY ALL HAVING n > 0""")
 def monotonic_check(spark, sf_dir):
-    placed = rank.ranked(b.keyed(spark, sf_dir), ["grp"], "athlete")
-    return rank.violations(placed, ["grp"]).agg(F.count(F.lit(1)).alias("n"))
+    """Violations of the ranking by keys (none) and of one by athlete (many)."""
+    keyed = b.keyed(spark, sf_dir)
+    by_athlete = keyed.withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy("athlete")))
+    found = [rank.violations(rows, ["grp"]).select("grp", F.lit(name).alias("ranked")) for name, rows in (("keys", rank.ranked(keyed, ["grp"], "athlete")), ("athlete", by_athlete))]
+    return found[0].unionAll(found[1]).groupBy("grp", "ranked").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f""", s AS (SELECT *, row(k3, k4, k5, k6) AS key FROM keyed),
+g AS (SELECT grp, region, max(key) FILTER (athlete % 3 = 1 AND k3 >= {LEAST}) AS l, min(key) FILTER (athlete % 3 = 0) AS t FROM s GROUP BY 1, 2)
+SELECT grp, region, l[1] AS left_k3, l[2] AS left_k4, t[1] AS taken_k3, t[2] AS taken_k4 FROM g WHERE l > t""")
 def passed_over(spark, sf_dir):
-    return rank.passed_over(flagship_selection(spark, sf_dir), ["grp"], "region", LEAST)
+    """Of a selection by identifier, which passes better athletes over."""
+    by_id = F.col("athlete") % 3
+    rows = b.keyed(spark, sf_dir).withColumn("selected", F.when(by_id == 0, "BÖLGE").when(by_id == 1, "-").otherwise("TÜRKİYE"))
+    found = rank.passed_over(rows, ["grp"], "region", LEAST)
+    sides = (("left", "best_left"), ("taken", "worst_taken"))
+    return found.select("grp", "region", *(F.col(f"{c}.{k}").alias(f"{n}_{k}") for n, c in sides for k in ("k3", "k4")))
 
 
 @query("""SELECT CASE WHEN grouping(grp) = 1 THEN NULL ELSE grp END AS grp, leg, CAST(grouping(grp) AS BIGINT) AS overall,
@@ -217,7 +234,8 @@ def winners_join(spark, sf_dir):
     return won.join(people, "winner", "left")
 
 
-@query()
+@query(""", p AS (SELECT grp, region, athlete, list({'event': event, 'points': points} ORDER BY points DESC, event) AS events FROM best JOIN (SELECT DISTINCT athlete AS a FROM keyed) ON a = athlete GROUP BY 1, 2, 3)
+SELECT grp, region, CAST(to_json(list({'athlete': athlete, 'events': events} ORDER BY athlete)) AS VARCHAR) AS athletes FROM p GROUP BY 1, 2""")
 def nested_json(spark, sf_dir):
     from ..sinks.files import nested
 

@@ -38,7 +38,7 @@ def fallback_lookup(spark, sf_dir):
     return resolve.fallback_lookup(rows, [("key", first, "p_brand"), ("key", last, "k"), ("key", kind, "p_type")])
 
 
-@query("SELECT DISTINCT 'none' AS key FROM part WHERE p_partkey % 4 = 3")
+@query(f"SELECT DISTINCT key FROM ({ORACLES['fallback_lookup']}) WHERE stage IS NULL")
 def missing_keys(spark, sf_dir):
     return resolve.misses(fallback_lookup(spark, sf_dir), "key")
 
@@ -108,7 +108,9 @@ def abbreviation_report(spark, sf_dir):
     return resolve.abbreviation_report(part.withColumn("seen", seen), "seen", "seen", text.normalize_for_lookup, "p_brand", "p_size", "p_partkey")
 
 
-@query()
+@query(r"""WITH r AS (SELECT p_partkey, p_size, CASE WHEN p_partkey % 5 = 0 THEN p_name[1] || '.' ELSE split_part(p_name, ' ', 1) END AS first, p_brand AS last FROM part),
+f AS (SELECT last, p_size, arg_max(first, p_partkey) AS full_first, max(p_partkey) AS full_id FROM r WHERE NOT regexp_matches(first, '^[a-z]\.?$') GROUP BY 1, 2)
+SELECT p_partkey, p_size, first, last, full_first, full_id FROM r JOIN f USING (last, p_size) WHERE regexp_matches(first, '^[a-z]\.?$') AND upper(full_first[1]) = upper(first[1])""")
 def abbreviation_pairs(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.split_part("p_name", F.lit(" "), F.lit(1)).alias("first"), F.col("p_brand").alias("last"))
     rows = part.withColumn("first", F.when(F.col("p_partkey") % 5 == 0, F.concat(F.substring("first", 1, 1), F.lit("."))).otherwise(F.col("first")))
@@ -117,10 +119,11 @@ def abbreviation_pairs(spark, sf_dir):
 
 @query()
 def best_fuzzy(spark, sf_dir):
+    """Every part with the most similar other name of its brand and size."""
     part = table(spark, sf_dir, "part")
-    rows = part.where("p_partkey % 10 = 0").select("p_partkey", "p_brand", "p_size", F.col("p_name").alias("seen"))
-    names = part.where("p_partkey % 10 <> 0").select("p_brand", "p_size", F.col("p_name").alias("known"))
-    return resolve.best_fuzzy(rows, names, ["p_brand", "p_size"], "seen", "known", text.token_sort_ratio, 82.0)
+    rows = part.select("p_partkey", "p_brand", "p_size", F.col("p_name").alias("seen"))
+    names = part.select("p_brand", "p_size", F.col("p_name").alias("known")).distinct()
+    return resolve.best_fuzzy(rows, names, ["p_brand", "p_size"], "seen", "known", text.token_sort_ratio, 82.0, F.col("seen") != F.col("known"))
 
 
 @query("""SELECT o_custkey, o_orderpriority, cents, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY cents, o_orderkey) AS n
@@ -180,14 +183,20 @@ def dup_names(spark, sf_dir):
     return out.select("norm", "identities")
 
 
-@query()
+@query("""WITH r AS (SELECT *, replace(p_name, ' ', '') AS key, CASE WHEN p_partkey % 2 = 0 THEN replace(p_name, ' ', '') ELSE p_name END AS shown FROM part),
+g AS (SELECT *, contains(shown, ' ') OR length(shown) < 8 AS good, row_number() OVER (PARTITION BY key, p_size ORDER BY p_retailprice NULLS LAST, p_partkey) AS n FROM r),
+l AS (SELECT key, p_size, arg_min(shown, p_partkey) FILTER (good) AS ls, arg_min(p_brand, p_partkey) FILTER (good) AS lb FROM g GROUP BY 1, 2),
+w AS (SELECT key, shown AS ws, p_brand AS wb FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY len(string_split(shown, ' ')) DESC, p_partkey) AS m FROM g) WHERE m = 1)
+SELECT p_partkey, key, p_size, CASE WHEN good THEN shown ELSE coalesce(ls, ws) END AS shown, CASE WHEN good THEN p_brand WHEN ls IS NOT NULL THEN lb ELSE wb END AS p_brand
+FROM g JOIN l USING (key, p_size) JOIN w USING (key) WHERE n = 1""")
 def name_donor(spark, sf_dir):
     part = table(spark, sf_dir, "part").withColumn("shown", F.when(F.col("p_partkey") % 2 == 0, F.replace("p_name", F.lit(" "), F.lit(""))).otherwise(F.col("p_name")))
     rows = part.withColumn("key", F.replace("p_name", F.lit(" "), F.lit("")))
     return resolve.donor_names(rows, ["key"], ["p_size"], "shown", "p_retailprice", "p_partkey", ["p_brand"]).select("p_partkey", "key", "p_size", "shown", "p_brand")
 
 
-@query()
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'X' ELSE p_brand END AS club, CASE WHEN p_partkey % 3 <> 0 THEN p_type END AS city,
+CASE WHEN p_partkey % 3 = 0 THEN 'X' END AS o_club, CAST(NULL AS VARCHAR) AS o_city, p_partkey % 3 = 0 OR p_brand IS NOT NULL OR p_type IS NOT NULL AS found FROM part""")
 def enrich(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     rows = part.select("p_partkey", F.col("p_brand").alias("club"), F.col("p_type").alias("city"), F.when(F.col("p_partkey") % 3 == 0, "X").alias("o_club"), F.lit(None).cast("string").alias("o_city"))
@@ -211,9 +220,10 @@ def dq_flags(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.is_fused_name(body).alias("fused"), text.has_digit(body).alias("digit"))
 
 
-@query()
+@query("""SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: CASE w WHEN 'small' THEN 'Ufak' WHEN 'bolt' THEN 'Cıvata' ELSE w END), ' ') AS shown,
+upper(p_brand[1]) || lower(substr(p_brand, 2)) AS club FROM part""")
 def dict_restore(spark, sf_dir):
-    words = {"ismail": "İsmail", "celik": "Çelik"}
+    words = {"small": "Ufak", "bolt": "Cıvata"}
     return table(spark, sf_dir, "part").select("p_partkey", text.restore_display(F.col("p_name"), words).alias("shown"), text.restore_club(F.col("p_brand"), words).alias("club"))
 
 
@@ -313,12 +323,12 @@ def stream_tumbling(spark, sf_dir):
 
 @query("SELECT user_id, event_type, cents, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY cents, event_id) AS n FROM (SELECT *, CAST(round(value * 100) AS BIGINT) AS cents FROM events)) WHERE n = 1")
 def stream_upsert(spark, sf_dir):
-    import tempfile
     import uuid
 
+    from ..session import shared_dir
     from ..streaming import live
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    root = shared_dir(spark)
     target = f"{root}/live-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
     rows = stream.select("user_id", "event_type", F.round(F.col("value") * 100).cast("long").alias("cents"), "event_id")
