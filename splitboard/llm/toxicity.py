@@ -8,12 +8,14 @@ the bytes that the toxic dictionary saves. The run of windows that saves most de
 so that a toxic passage in a long text is not diluted by the rest: its saving, over the
 square root of its windows (so that chance savings of long runs weigh no more) and a
 share of the doublings from it to the whole document (as a long text has more runs to
-save in by chance), is compared with a threshold calibrated on the labelled texts.
+save in by chance), is compared with a threshold calibrated on labelled texts that
+trained neither dictionary.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -38,6 +40,8 @@ COMMON, DISTINCT, EVIDENCE = 400, 64, 15.0
 LENGTHS, PER_DOCUMENT = (6, 7, 8, 9, 10, 12), 4
 #: Bytes that a match costs; a string's worth is its evidence times the bytes that it saves beyond.
 MATCH = 4
+#: Parts that the labelled rows are dealt to for calibration.
+FOLDS = 4
 #: The score at the calibrated threshold.
 AT_THRESHOLD = 0.3
 
@@ -136,11 +140,8 @@ class ToxicModel:
         return 1.0 - (1.0 - AT_THRESHOLD) ** (self.saving(text) / self.threshold)
 
 
-def fit(rows: list[tuple[str, int]]) -> ToxicModel:
-    """A model of (text, label) rows. With one class or none: that class's label, or 0, as constant score."""
-    classes = {label for _, label in rows}
-    if len(classes) < 2:
-        return ToxicModel(constant=float(max(classes, default=0)))
+def train(rows: list[tuple[str, int]]) -> ToxicModel:
+    """Both dictionaries of (text, label) rows; the threshold is not set."""
     counts, totals = (Counter(), Counter()), [0, 0]
     for text, label in rows:
         body = text.lower().encode("utf-8", "replace")
@@ -152,9 +153,30 @@ def fit(rows: list[tuple[str, int]]) -> ToxicModel:
     common = _choose(sorted(plain, key=lambda s: (-plain[s] * (len(s) - MATCH), s)), COMMON)
     # The best strings stand last, where offsets are short; the shared part has the same offsets in both.
     base = b"".join(reversed(common)).ljust(8)
-    model = ToxicModel(base, b"".join(reversed(distinct)) + b" " + base)
-    scored = sorted(((model.saving(text), label) for text, label in rows), reverse=True)
-    best, hits, wanted = (0.0, 1.0), 0, sum(label for _, label in rows)
+    return ToxicModel(base, b"".join(reversed(distinct)) + b" " + base)
+
+
+def fit(rows: list[tuple[str, int]]) -> ToxicModel:
+    """A model of (text, label) rows. With one class or none: that class's label, or 0, as constant score.
+
+    The threshold is calibrated on texts that trained neither dictionary: rows are dealt
+    to ``FOLDS`` by their text, each fold's savings come from dictionaries of the others,
+    and the threshold has the best F1 over all of them. The model has all rows' dictionaries.
+    """
+    classes = {label for _, label in rows}
+    if len(classes) < 2:
+        return ToxicModel(constant=float(max(classes, default=0)))
+    fold = [zlib.crc32(text.encode("utf-8", "replace")) % FOLDS for text, _ in rows]
+    scored = []
+    for k in range(FOLDS):
+        others = [row for row, own in zip(rows, fold) if own != k]
+        if len({label for _, label in others}) == 2:
+            part = train(others)
+            scored += [(part.saving(text), label) for (text, label), own in zip(rows, fold) if own == k]
+    model = train(rows)
+    # Too few rows to leave any out.
+    scored = sorted(scored or [(model.saving(text), label) for text, label in rows], reverse=True)
+    best, hits, wanted = (0.0, 1.0), 0, sum(label for _, label in scored)
     for i, (saving, label) in enumerate(scored):
         hits += label
         if saving > 0 and (i + 1 == len(scored) or scored[i + 1][0] < saving):
