@@ -74,7 +74,7 @@ STAGES = [
     ("tokens", encode),
 ]
 
-#: Nearest neighbours and BPE are beyond SQL; tests hold each stage against a brute-force version.
+#: Nearest neighbours and BPE are beyond SQL. Tests hold the duplicate and mixing stages against brute force, quality against labels and tokens by their lengths.
 ORACLE_SQL = None
 
 
