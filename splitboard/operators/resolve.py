@@ -180,7 +180,7 @@ def donor_names(rows: DataFrame, keys: Sequence[str], event: Sequence[str], name
     own = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, *event).orderBy(F.asc_nulls_last(time), F.asc(order))))
     local = rows.groupBy(*keys, *event).agg(F.min_by(F.when(good, what), F.when(good, F.col(order))).alias("_local"))
     words = F.size(F.split(name, " "))
-    wide = rows.groupBy(*keys).agg(F.max_by(what, F.struct(words, -F.col(order))).alias("_wide"))
+    wide = rows.groupBy(*keys).agg(F.min_by(what, F.struct(-words, F.col(order))).alias("_wide"))
     best = own.where("_n = 1").drop("_n").join(local, [*keys, *event]).join(wide, list(keys))
     donor = F.when(good, what).otherwise(F.coalesce("_local", "_wide"))
     out = {c: F.coalesce(donor[c], F.col(c)) for c in (name, *carried)}

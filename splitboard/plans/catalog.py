@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import rankings, records
+from . import meets, rankings, records
 
-QUERIES = {**rankings.QUERIES, **records.QUERIES}
-ORACLES = {**rankings.ORACLES, **records.ORACLES}
+QUERIES = {**rankings.QUERIES, **records.QUERIES, **meets.QUERIES}
+ORACLES = {**rankings.ORACLES, **records.ORACLES, **meets.ORACLES}
