@@ -36,13 +36,15 @@ def quota_with_ties(rows: DataFrame, by: Sequence[str], quota: Column, name: str
 
 
 def select_group(
-    athletes: DataFrame, by: Sequence[str], region: str, name: str, national: int, first_region: int, other_region: int, least: int, excluded: Column
-) -> DataFrame:
+    athletes: DataFrame, by: Sequence[str], region: str, name: str, national: int | Column, first_region: int | Column, other_region: int | Column,
+    least: int | Column, excluded: Column,
+) -> DataFrame:
     """Nested selection: excluded rows (place 0), national quota, then regional quotas among the qualified rest.
 
     Adds ``place``, ``selected`` (MULTINATIONS, TR, BÖLGE, BARAJ_YOK or -), ``tied``,
     ``slot`` and ``region_place``. The national quota asks for points above 0, the
     regional ones for ``least``; region 1 has its own quota, a null or 0 region none.
+    Quotas are numbers, or columns of the group as ``with_quotas`` adds them.
     """
     marked = athletes.withColumn("_x", F.coalesce(excluded, F.lit(False))).withColumn(region, F.coalesce(region, F.lit(0)))
     placed = ranked(marked, [*by, "_x"], name).withColumn("place", F.when(F.col("_x"), F.lit(0).cast("long")).otherwise(F.col("place")))
@@ -62,6 +64,13 @@ def select_group(
     ).drop("_x", "_tr", "_tr_tied", "_tr_slot", "_q", "chosen")
 
 
+def with_quotas(rows: DataFrame, quotas: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Add each group's quotas (``tr``, ``region_1``, ``region_other``, ``min_points``); a group without any selects nobody."""
+    names = ("tr", "region_1", "region_other", "min_points")
+    joined = rows.join(quotas.select(*on, *names), list(on), "left")
+    return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in names[:3]}).withColumn("min_points", F.coalesce("min_points", F.lit(2**31 - 1)))
+
+
 def violations(rows: DataFrame, by: Sequence[str], place: str = "place") -> DataFrame:
     """Rows whose keys rise against the row before them in rank."""
     w = Window.partitionBy(*by).orderBy(place)
@@ -77,3 +86,80 @@ def passed_over(rows: DataFrame, by: Sequence[str], region: str, least: int) ->
         F.min(F.when(F.col("selected") == "BÖLGE", key)).alias("worst_taken"),
     )
     return grouped.where("best_left > worst_taken")
+
+
+def validate(
+    rows: DataFrame, by: Sequence[str], region: str, name: str, least: int, sequences: DataFrame, keys: Sequence[str], restricted, place: str = "place"
+) -> DataFrame:
+    """Faults of a ranking: (by..., ``fault``, ``name``, ``place``), one row for each row and kind of fault.
+
+    ``order``: the keys rise against the row one place before. ``total``: k3 rises
+    against the row before it. ``restricted``: of the first six events in ``sequences``
+    (keys, events) more than one is restricted. ``limit``: selected below ``least``
+    points. ``passed``: selected by region though a qualified, unselected row of that
+    region is better. Rows without a place (0) are listed, not ranked: only the last
+    three kinds look at them.
+    """
+    w = Window.partitionBy(*by).orderBy(place)
+    own = F.struct(*KEYS)
+    seen = rows.where(F.col(place) > 0).withColumns({
+        "order": (F.lag(place).over(w) == F.col(place) - 1) & (own > F.lag(own).over(w)),
+        "total": F.col("k3") > F.lag("k3").over(w),
+    })
+    seen = seen.unionByName(rows.where(F.col(place) == 0), allowMissingColumns=True)
+    taken = F.col("selected").isin("TR", "BÖLGE")
+    left = rows.where((F.col("selected") == "-") & (F.col("k3") >= least)).groupBy(*by, F.coalesce(region, F.lit(0)).alias("_region")).agg(F.max(own).alias("_left"))
+    seen = seen.withColumn("_region", F.coalesce(region, F.lit(0))).join(left, [*by, "_region"], "left").join(sequences, list(keys), "left")
+    checks = {
+        "order": F.col("order"), "total": F.col("total"), "restricted": F.size(F.filter(F.slice("events", 1, 6), restricted)) > 1,
+        "limit": taken & (F.col("k3") < least), "passed": (F.col("selected") == "BÖLGE") & (F.col("_left") > own),
+    }
+    faults = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in checks.items())))
+    return seen.select(*by, F.explode(faults).alias("fault"), F.col(name).alias("name"), place)
+
+
+def shown_events(best: DataFrame, keys: Sequence[str], event: str, points: str, restricted: Column, out: str) -> DataFrame:
+    """(keys, out): all events by falling points, each with whether it is restricted and whether it counts among the first three."""
+    from .score import in_top
+
+    flagged = in_top(best, keys, event, points, restricted).withColumn("_r", restricted)
+    each = F.struct((-F.col(points)).alias("o"), F.col(event).alias("event"), F.col(points).alias("points"), F.col("_r").alias("restricted"), F.col("in_top").alias("in_top3"))
+    shown = F.transform(F.array_sort(F.collect_list(each)), lambda e: e.dropFields("o"))
+    return flagged.groupBy(*keys).agg(shown.alias(out))
+
+
+def output_rows(
+    ranked: DataFrame, best: DataFrame, legs: dict[str, DataFrame], winners: DataFrame, pending: DataFrame, keys: Sequence[str], gender: str, name: str,
+    event: str, points: str, restricted: Column, labels: dict[str, str], least: int | Column,
+) -> DataFrame:
+    """One published row for each ranked person.
+
+    ``ranked`` comes from ``select_group`` with ``seq``; ``best`` and each of ``legs``
+    have the best points by keys and event; ``winners`` (leg, gender, event, winner) and
+    ``pending`` (keys, event, entry) what was won and what is still to come. Adds
+    ``top3``, ``seq_display``, ``selected_label`` (itself if unknown), ``qualifies``,
+    ``first_place``, ``events``, ``events_<leg>``, ``top3_<leg>`` and ``pending_events``;
+    who has none gets empty arrays and 0.
+    """
+    from .score import sequence_display, sequences, top_sum
+
+    table = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
+    out = ranked.withColumns({
+        "top3": F.col("k3"), "seq_display": sequence_display(F.col("seq")), "selected_label": F.coalesce(table[F.col("selected")], F.col("selected")),
+        "qualifies": (F.col("k3") >= least) | (F.col("selected") == "MULTINATIONS"),
+    })
+    lists = [(shown_events(best, keys, event, points, restricted, "events"), "events")]
+    for leg, rows in legs.items():
+        lists.append((shown_events(rows, keys, event, points, restricted, f"events_{leg}"), f"events_{leg}"))
+        totals = sequences(rows, keys, points, restricted).select(*keys, top_sum(F.col("seq"), 3).alias(f"top3_{leg}"))
+        out = out.join(totals, list(keys), "left").withColumn(f"top3_{leg}", F.coalesce(f"top3_{leg}", F.lit(0).cast("long")))
+    won = winners.groupBy(F.col(gender), F.col("winner").alias(name)).agg(F.array_sort(F.collect_list(F.struct("leg", event))).alias("first_place"))
+    open_ = pending.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(event, "entry"))).alias("pending_events"))
+    for rows, column in lists:
+        out = _with_list(out, rows, keys, column)
+    return _with_list(_with_list(out, won, [gender, name], "first_place"), open_, keys, "pending_events")
+
+
+def _with_list(rows: DataFrame, lists: DataFrame, on: Sequence[str], column: str) -> DataFrame:
+    empty = F.array().cast(lists.schema[column].dataType)
+    return rows.join(lists, list(on), "left").withColumn(column, F.coalesce(column, empty))

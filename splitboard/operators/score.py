@@ -78,3 +78,18 @@ def in_top(best: DataFrame, keys: Sequence[str], event: str, points: str, restri
     usable = flagged.withColumn("_u", ~F.col("_r") | (F.row_number().over(only) == 1))
     place = Window.partitionBy(*keys).orderBy(F.desc("_u"), F.desc(points), F.asc("_r"), F.asc(event))
     return usable.withColumn("in_top", F.col("_u") & (F.row_number().over(place) <= n)).drop("_r", "_u")
+
+
+def event_sequence(best: DataFrame, keys: Sequence[str], event: str, points: str, restricted: Column) -> DataFrame:
+    """(keys, events): the events whose points make up the sequence, in its order, without the filling 0.
+
+    Among equal points free events come before the restricted one, greater events before
+    smaller ones; of restricted events the greatest of the most points counts.
+    """
+    one = F.struct(F.col(points), F.lit(False).alias("free"), F.col(event).alias("event"))
+    free = F.struct(F.col(points), F.lit(True).alias("free"), F.col(event).alias("event"))
+    paid = best.where(F.col(points) > 0).groupBy(*keys).agg(
+        F.collect_list(F.when(~restricted, free)).alias("_free"), F.max(F.when(restricted, one)).alias("_one")
+    )
+    merged = F.sort_array(F.array_compact(F.array_append("_free", F.col("_one"))), asc=False)
+    return paid.select(*keys, F.transform(merged, lambda x: x["event"]).alias("events"))

@@ -240,3 +240,78 @@ def nested_json(spark, sf_dir):
     from ..sinks.files import nested
 
     return nested(b.best(spark, sf_dir), ["grp", "region"], ["athlete"], ["event", "points"], -F.col("points"))
+
+
+@query("""SELECT athlete, string_agg(event, ',' ORDER BY points DESC, event = '1-URGENT', event DESC) AS events FROM placed GROUP BY athlete""")
+def counted_events(spark, sf_dir):
+    out = score.event_sequence(b.best(spark, sf_dir), ["athlete"], "event", "points", b.restricted())
+    return out.select("athlete", F.array_join("events", ",").alias("events"))
+
+
+_QUOTAS = (("AUTOMOBILE", 5, 2, 1, 7), ("BUILDING", 10, 4, 2, 7), ("FURNITURE", 20, 6, 3, 9), ("HOUSEHOLD", 0, 6, 3, 12))
+
+
+@query(f"""
+, q AS (SELECT * FROM (VALUES {", ".join(map(str, _QUOTAS))}) t(grp, tr, region_1, region_other, min_points)),
+r AS (SELECT k.*, coalesce(tr, 0) AS tr, coalesce(region_1, 0) AS region_1, coalesce(region_other, 0) AS region_other, coalesce(min_points, 2147483647) AS least,
+  rank() OVER (PARTITION BY grp, k3 > 0 ORDER BY k3 DESC, k4 DESC, k5 DESC, k6 DESC) AS n FROM keyed k LEFT JOIN q USING (grp)),
+c AS (SELECT *, k3 > 0 AND n <= tr AS top FROM r), d AS (SELECT *, NOT top AND k3 >= least AS ok FROM c),
+e AS (SELECT *, CASE WHEN region = 1 THEN region_1 WHEN region > 1 THEN region_other ELSE 0 END AS quota,
+  rank() OVER (PARTITION BY grp, region, ok ORDER BY k3 DESC, k4 DESC, k5 DESC, k6 DESC) AS m FROM d)
+SELECT athlete, grp, CASE WHEN top THEN 'TR' WHEN ok AND m <= quota THEN 'BÖLGE' WHEN NOT ok THEN 'BARAJ_YOK' ELSE '-' END AS selected FROM e""")
+def selection_by_quota(spark, sf_dir):
+    """Quotas from a table; a group that it lacks selects nobody."""
+    quotas = spark.createDataFrame(list(_QUOTAS), "grp string, tr int, region_1 int, region_other int, min_points int")
+    rows = rank.with_quotas(b.keyed(spark, sf_dir), quotas, ["grp"])
+    limits = (F.col(c) for c in ("tr", "region_1", "region_other", "min_points"))
+    return rank.select_group(rows, ["grp"], "region", "athlete", *limits, F.lit(False)).select("athlete", "grp", "selected")
+
+
+# A ranking by identifier with selections by parity, so that there is every kind of fault; two events count as restricted.
+@query(f"""
+, r AS (SELECT *, row(k3, k4, k5, k6) AS own, row_number() OVER (PARTITION BY grp ORDER BY athlete) AS place,
+  CASE WHEN region = 0 THEN 'TR' WHEN athlete % 2 = 0 THEN 'BÖLGE' ELSE '-' END AS selected FROM keyed),
+s AS (SELECT athlete, list(event ORDER BY points DESC, event = '1-URGENT', event DESC)[1:6] AS events FROM placed GROUP BY athlete),
+l AS (SELECT grp, region, max(own) AS best_left FROM r WHERE selected = '-' AND k3 >= {LEAST} GROUP BY 1, 2),
+x AS (SELECT *, lag(own) OVER w AS before FROM r WINDOW w AS (PARTITION BY grp ORDER BY place)),
+y AS (SELECT x.*, events, best_left FROM x LEFT JOIN s USING (athlete) LEFT JOIN l ON l.grp = x.grp AND l.region = x.region)
+SELECT grp, 'order' AS fault, athlete AS name, place FROM y WHERE own > before
+UNION ALL SELECT grp, 'total', athlete, place FROM y WHERE k3 > before[1]
+UNION ALL SELECT grp, 'restricted', athlete, place FROM y WHERE len(list_filter(events, lambda e: e IN ('1-URGENT', '2-HIGH'))) > 1
+UNION ALL SELECT grp, 'limit', athlete, place FROM y WHERE selected <> '-' AND k3 < {LEAST}
+UNION ALL SELECT grp, 'passed', athlete, place FROM y WHERE selected = 'BÖLGE' AND best_left > own""")
+def ranking_faults(spark, sf_dir):
+    w = Window.partitionBy("grp").orderBy("athlete")
+    chosen = F.when(F.col("region") == 0, "TR").when(F.col("athlete") % 2 == 0, "BÖLGE").otherwise("-")
+    rows = b.keyed(spark, sf_dir).withColumns({"place": F.row_number().over(w).cast("long"), "selected": chosen})
+    events = score.event_sequence(b.best(spark, sf_dir), ["athlete"], "event", "points", b.restricted())
+    return rank.validate(rows, ["grp"], "region", "athlete", LEAST, events, ["athlete"], lambda e: e.isin("1-URGENT", "2-HIGH"))
+
+
+def _list_sql(leg: str | None) -> str:
+    rows = f"SELECT athlete, event, max(points) AS points FROM scored WHERE points > 0 {f"AND leg = '{leg}'" if leg else ''} GROUP BY 1, 2"
+    return f"""(SELECT athlete, string_agg(event || ':' || points || ':' || (event = '1-URGENT') || ':' || (u AND rp <= 3), ',' ORDER BY points DESC, event) AS events,
+  sum(CASE WHEN u AND rp <= 3 THEN points ELSE 0 END) AS top3 FROM (SELECT *, true AS u, row_number() OVER (PARTITION BY athlete ORDER BY points DESC, event = '1-URGENT', event) AS rp FROM ({rows})) GROUP BY 1)"""
+
+
+@query(f"""
+SELECT f.athlete, f.grp, f.place, f.selected, coalesce(CASE f.selected WHEN 'TR' THEN 'TR Kadro' WHEN 'BÖLGE' THEN 'Bölge' END, f.selected) AS selected_label, f.k3 AS top3, f.k3 >= {LEAST} OR f.selected = 'MULTINATIONS' AS qualifies,
+  f.tied, e.events, coalesce(lf.events, '') AS events_f, coalesce(lo.events, '') AS events_o, CAST(coalesce(lf.top3, 0) AS BIGINT) AS top3_f, CAST(coalesce(lo.top3, 0) AS BIGINT) AS top3_o, coalesce(w.won, '') AS first_place, coalesce(p.open, '') AS pending_events
+FROM ({ORACLES["flagship_selection"]}) f LEFT JOIN {_list_sql(None)} e USING (athlete) LEFT JOIN {_list_sql("F")} lf USING (athlete) LEFT JOIN {_list_sql("O")} lo USING (athlete)
+LEFT JOIN (SELECT winner AS athlete, grp, string_agg(leg || ':' || event, ',' ORDER BY leg, event) AS won FROM ({ORACLES["event_winners"]}) GROUP BY 1, 2) w ON w.athlete = f.athlete AND w.grp = f.grp
+LEFT JOIN (SELECT athlete, string_agg(event || ':' || cents, ',' ORDER BY event, cents) AS open FROM marks WHERE leg = 'P' GROUP BY 1) p ON p.athlete = f.athlete""")
+def output_rows(spark, sf_dir):
+    """The published rows, their lists shown as text."""
+    ranked = rank.select_group(b.keyed(spark, sf_dir), ["grp"], "region", "athlete", NATIONAL, FIRST_REGION, OTHER_REGION, LEAST, F.col("athlete") % LISTED == 0)
+    paid = b.scored(spark, sf_dir).where("points > 0")
+    legs = {leg.lower(): paid.where(F.col("leg") == leg).groupBy("athlete", "event").agg(F.max("points").alias("points")) for leg in ("F", "O")}
+    pending = b.marks(spark, sf_dir).where("leg = 'P'").select("athlete", "event", F.col("cents").alias("entry"))
+    best = b.best(spark, sf_dir).select("athlete", "event", "points")
+    out = rank.output_rows(
+        ranked, best, legs, event_winners(spark, sf_dir), pending, ["athlete"], "grp", "athlete", "event", "points", b.restricted(), {"TR": "TR Kadro", "BÖLGE": "Bölge"}, LEAST
+    )
+    shown = lambda c, *parts: F.array_join(F.transform(c, lambda e: F.concat_ws(":", *(e[p].cast("string") for p in parts))), ",").alias(c)
+    lists = [shown(c, "event", "points", "restricted", "in_top3") for c in ("events", "events_f", "events_o")]
+    return out.select(
+        "athlete", "grp", "place", "selected", "selected_label", "top3", "qualifies", "tied", *lists, "top3_f", "top3_o", shown("first_place", "leg", "event"), shown("pending_events", "event", "entry")
+    )
