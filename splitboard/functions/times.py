@@ -52,6 +52,11 @@ def age(year: Column) -> Column:
     return F.lit(SEASON) - year
 
 
+def age_category(years: Column) -> Column:
+    """The age as text; null without one."""
+    return years.cast("string")
+
+
 def parse_birthdate(text: Column) -> Column:
     """The year before the first dash, 1900 to the season, else null."""
     year = F.split_part(text, F.lit("-"), F.lit(1)).try_cast("int")

@@ -10,29 +10,58 @@ from pyspark.sql import functions as F
 KEYS = ("k3", "k4", "k5", "k6")
 
 
+def _by_cells(rows: DataFrame, cell: Sequence[str], decide) -> DataFrame:
+    """Add what ``decide`` adds to the cells of the rows: one row for each value of the ``cell`` columns, with their number ``_size``.
+
+    Ranks and quotas depend on the keys alone, so they are found over the few distinct
+    keys, not by sorting rows.
+    """
+    cells = decide(rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_size")))
+    named = cells.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(cell)), *(c for c in cells.columns if c not in (*cell, "_size")))
+    return rows.join(named, [F.col(c).eqNullSafe(F.col(f"_c{i}")) for i, c in enumerate(cell)]).drop(*(f"_c{i}" for i in range(len(cell))))
+
+
+def _first(by: Sequence[str]) -> Column:
+    """A cell's rank: one more than the rows of better keys."""
+    w = Window.partitionBy(*by).orderBy(*(F.desc(k) for k in KEYS))
+    # Equal keys (of other regions, say) are peers: all of them are counted, then taken off.
+    return F.sum("_size").over(w) - _peers(by) + 1
+
+
+def _peers(by: Sequence[str]) -> Column:
+    return F.sum("_size").over(Window.partitionBy(*by, *KEYS))
+
+
+def _number(by: Sequence[str], name: str, only: Column | None = None) -> Column:
+    """The row's number among its peers by name, from 0. Rows outside ``only`` are spread, as their number is not used."""
+    spread = [] if only is None else [F.when(only, F.lit(0)).otherwise(F.xxhash64(name))]
+    return F.row_number().over(Window.partitionBy(*by, *KEYS, *spread).orderBy(name)) - 1
+
+
 def ranked(rows: DataFrame, by: Sequence[str], name: str, out: str = "place") -> DataFrame:
-    """Add the place in each group by the cumulative keys, then name."""
-    w = Window.partitionBy(*by).orderBy(*(F.desc(k) for k in KEYS), F.asc(name))
-    return rows.withColumn(out, F.row_number().over(w).cast("long"))
+    """Add the place in each group by the cumulative keys, then name. Only equal keys are sorted together."""
+    placed = _by_cells(rows, [*by, *KEYS], lambda cells: cells.withColumn("_rank", _first(by)))
+    return placed.withColumn(out, (F.col("_rank") + _number(by, name)).cast("long")).drop("_rank")
 
 
 def quota_with_ties(rows: DataFrame, by: Sequence[str], quota: Column, name: str, eligible: Column | None = None) -> DataFrame:
     """Add ``chosen``, ``tied`` and ``slot`` among eligible rows.
 
     The first ``quota`` rows are chosen and with them all that equal the last of
-    them; those are tied if some equal lies outside the quota.
+    them; those are tied if some equal lies outside the quota. The quota is one of the
+    group. Only chosen rows are numbered.
     """
-    usable = rows.withColumn("_e", F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False)))
-    order = Window.partitionBy(*by, "_e").orderBy(*(F.desc(k) for k in KEYS))
-    peers = Window.partitionBy(*by, "_e", *KEYS)
-    slots = Window.partitionBy(*by, "_e").orderBy(*(F.desc(k) for k in KEYS), F.asc(name))
-    chosen = F.col("_e") & (F.rank().over(order) <= quota)
-    numbered = usable.withColumns(
-        {"chosen": chosen, "_last": F.rank().over(order) + F.count(F.lit(1)).over(peers) - 1, "_slot": F.row_number().over(slots).cast("long")}
-    )
-    return numbered.withColumns(
-        {"tied": F.col("chosen") & (F.col("_last") > quota), "slot": F.when(F.col("chosen"), F.col("_slot"))}
-    ).drop("_e", "_last", "_slot")
+    usable = rows.withColumns({"_e": F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False)), "_quota": quota})
+    group = [*by, "_e"]
+
+    def decide(cells: DataFrame) -> DataFrame:
+        placed = cells.withColumns({"_rank": _first(group), "_n": _peers(group)})
+        chosen = F.col("_e") & (F.col("_rank") <= F.col("_quota"))
+        return placed.withColumns({"chosen": F.coalesce(chosen, F.lit(False)), "tied": F.coalesce(chosen & (F.col("_rank") + F.col("_n") - 1 > F.col("_quota")), F.lit(False))}).drop("_n")
+
+    out = _by_cells(usable, [*by, "_e", "_quota", *KEYS], decide)
+    slot = F.when(F.col("chosen"), (F.col("_rank") + _number(group, name, F.col("chosen"))).cast("long"))
+    return out.withColumn("slot", slot).drop("_e", "_quota", "_rank")
 
 
 def select_group(
@@ -44,24 +73,34 @@ def select_group(
     Adds ``place``, ``selected`` (MULTINATIONS, TR, BÖLGE, BARAJ_YOK or -), ``tied``,
     ``slot`` and ``region_place``. The national quota asks for points above 0, the
     regional ones for ``least``; region 1 has its own quota, a null or 0 region none.
-    Quotas are numbers, or columns of the group as ``with_quotas`` adds them.
+    Quotas are numbers, or columns of the group as ``with_quotas`` adds them. All is
+    decided over distinct keys; rows are only numbered among their equals.
     """
+    r = F.col(region)
     marked = athletes.withColumn("_x", F.coalesce(excluded, F.lit(False))).withColumn(region, F.coalesce(region, F.lit(0)))
-    placed = ranked(marked, [*by, "_x"], name).withColumn("place", F.when(F.col("_x"), F.lit(0).cast("long")).otherwise(F.col("place")))
-    top = quota_with_ties(placed, by, F.lit(national), name, ~F.col("_x") & (F.col("k3") > 0))
-    top = top.withColumnsRenamed({"chosen": "_tr", "tied": "_tr_tied", "slot": "_tr_slot"})
-    rest = ~F.col("_x") & ~F.col("_tr") & (F.col("k3") >= least)
-    top = top.withColumn("_q", rest)
-    by_region = Window.partitionBy(*by, region, "_q").orderBy(*(F.desc(k) for k in KEYS), F.asc(name))
-    top = top.withColumn("region_place", F.when(rest, F.row_number().over(by_region).cast("long")))
-    quota = F.when(F.col(region) == 1, first_region).when(F.col(region) > 1, other_region).otherwise(0)
-    both = quota_with_ties(top, [*by, region], quota, name, F.col("_q"))
-    status = (
-        F.when(F.col("_x"), "MULTINATIONS").when(F.col("_tr"), "TR").when(F.col("chosen"), "BÖLGE").when(~F.col("_q"), "BARAJ_YOK").otherwise("-")
-    )
-    return both.withColumns(
-        {"selected": status, "tied": F.col("_tr_tied") | F.col("tied"), "slot": F.coalesce("_tr_slot", "slot")}
-    ).drop("_x", "_tr", "_tr_tied", "_tr_slot", "_q", "chosen")
+    marked = marked.withColumns({
+        "_national": F.lit(national), "_least": F.lit(least), "_regional": F.when(r == 1, F.lit(first_region)).when(r > 1, F.lit(other_region)).otherwise(F.lit(0)),
+    })
+    whole, local = [*by, "_x"], [*by, region, "_rest"]
+
+    def decide(cells: DataFrame) -> DataFrame:
+        cells = cells.withColumns({"_rank": _first(whole), "_n": _peers(whole)})
+        cells = cells.withColumn("_tr", ~F.col("_x") & (F.col("k3") > 0) & (F.col("_rank") <= F.col("_national")))
+        cells = cells.withColumn("_rest", ~F.col("_x") & ~F.col("_tr") & (F.col("k3") >= F.col("_least")))
+        cells = cells.withColumns({"_place": _first(local), "_m": _peers(local)})
+        taken = F.col("_rest") & (F.col("_place") <= F.col("_regional"))
+        status = F.when(F.col("_x"), "MULTINATIONS").when(F.col("_tr"), "TR").when(taken, "BÖLGE").when(~F.col("_rest"), "BARAJ_YOK").otherwise("-")
+        beyond = lambda first, n, quota: F.col(first) + F.col(n) - 1 > F.col(quota)
+        tied = (F.col("_tr") & beyond("_rank", "_n", "_national")) | (taken & beyond("_place", "_m", "_regional"))
+        return cells.withColumns({"selected": status, "tied": tied}).drop("_n", "_m")
+
+    out = _by_cells(marked, [*by, region, "_x", "_national", "_least", "_regional", *KEYS], decide)
+    out = out.withColumns({
+        "place": F.when(F.col("_x"), F.lit(0).cast("long")).otherwise((F.col("_rank") + _number(whole, name)).cast("long")),
+        "region_place": F.when(F.col("_rest"), (F.col("_place") + _number(local, name, F.col("_rest"))).cast("long")),
+    })
+    slot = F.when(F.col("selected") == "TR", F.col("place")).when(F.col("selected") == "BÖLGE", F.col("region_place"))
+    return out.withColumn("slot", slot).drop("_x", "_national", "_least", "_regional", "_rank", "_tr", "_rest", "_place")
 
 
 def with_quotas(rows: DataFrame, quotas: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -36,13 +36,16 @@ def unpivot(rows: DataFrame, keys: Sequence[str], columns: dict[str, str], event
 def neighbour_anomalies(rows: DataFrame, by: Sequence[str], time: str, order: Sequence[str], ratio: float = 1.45, low: float = 0.6, high: float = 3.0) -> DataFrame:
     """Times far from the mean of both neighbours or from the group's median; groups of three at least."""
     timed = rows.where(F.col(time) > 0)
-    w, whole = Window.partitionBy(*by).orderBy(*order), Window.partitionBy(*by)
+    w = Window.partitionBy(*by).orderBy(*order)
     near = (F.lag(time).over(w) + F.lead(time).over(w)) / 2
     t = F.col(time)
-    seen = timed.withColumns({"_near": near, "_median": F.median(time).over(whole), "_n": F.count(F.lit(1)).over(whole)})
+    # One row for each group; a percentile's partial states hold distinct times, not rows.
+    whole = timed.groupBy(*(F.col(c).alias(f"_b{i}") for i, c in enumerate(by))).agg(F.median(time).alias("_median"), F.count(F.lit(1)).alias("_n"))
+    same = [F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(by)]
+    seen = timed.withColumn("_near", near).join(whole.where("_n >= 3"), same)
     odd = F.coalesce((t < F.col("_near") / ratio) | (t > F.col("_near") * ratio), F.lit(False))
     far = (t < low * F.col("_median")) | (t > high * F.col("_median"))
-    return seen.where((F.col("_n") >= 3) & (odd | far)).drop("_near", "_median", "_n")
+    return seen.where(odd | far).select(*rows.columns)
 
 
 def outliers(rows: DataFrame, event: str, time: str, limits: DataFrame, default: tuple[int, int]) -> DataFrame:
@@ -92,3 +95,59 @@ def before_gap(rows: DataFrame, number: str, filled: Column, most: int) -> DataF
     run = rows.withColumn("_e", (~filled).cast("int")).withColumn("_s", F.sum("_e").over(w.rowsBetween(-(most - 1), 0)))
     stop = run.where(F.col("_s") >= most).agg(F.min(number).alias("_stop"))
     return run.crossJoin(stop).where(F.col("_stop").isNull() | (F.col(number) <= F.col("_stop") - most)).drop("_e", "_s", "_stop")  # one row
+
+
+def event_map(rows: DataFrame, keys: Sequence[str], event: Sequence[str], points: str, meta: Sequence[str]) -> DataFrame:
+    """(keys, meta..., scores): a map from event to its most points, above 0; meta of the row with the least event."""
+    at = F.struct(*event)
+    best = rows.where(F.col(points) > 0).groupBy(*keys, *event).agg(F.max(points).alias(points), F.min(F.struct(*meta)).alias("_m"))
+    grouped = best.groupBy(*keys).agg(F.min_by("_m", at).alias("_m"), F.map_from_entries(F.collect_list(F.struct(at, F.col(points)))).alias("scores"))
+    return grouped.select(*keys, "_m.*", "scores")
+
+
+def leg_map(rows: DataFrame, keys: Sequence[str], event: Sequence[str], leg: str, legs: Sequence[str], points: str, order: str, first: Sequence[str], last: Sequence[str]) -> DataFrame:
+    """Most points by keys and event in each leg and over all, above 0; ``first`` columns of the person's first row, ``last`` ones of its last row that has them."""
+    paid = rows.where(F.col(points) > 0)
+    each = [F.max(F.when(F.col(leg) == v, F.col(points))).alias(f"leg_{v.lower()}") for v in legs]
+    scores = paid.groupBy(*keys, *event).agg(*each, F.max(points).alias("combined"))
+    has = lambda c: F.nullif(F.col(c).cast("string"), F.lit("")).isNotNull()
+    newest = [F.max_by(F.when(has(c), F.col(c)), F.when(has(c), F.col(order))).alias(c) for c in last]
+    meta = paid.groupBy(*keys).agg(F.min_by(F.struct(*first), order).alias("_m"), *newest)
+    return scores.join(meta.select(*keys, "_m.*", *last), list(keys))
+
+
+def keys_by(rows: DataFrame, key: str, by: str) -> DataFrame:
+    """Distinct keys by group, in order."""
+    return rows.groupBy(by).agg(F.count_distinct(key).alias("n_keys")).orderBy(by)
+
+
+def names_by(rows: DataFrame, name: str, by: Sequence[str]) -> DataFrame:
+    """The set of names (trimmed, small letters) of each group, in order. For lists of bounded size."""
+    return rows.groupBy(*by).agg(F.array_sort(F.collect_set(F.trim(F.lower(name)))).alias("names"))
+
+
+def athlete_sheet(rows: DataFrame, keys: Sequence[Column], info: Sequence[str], place: Sequence[str], events: dict[str, Column], time: str, shown: str, order: str) -> DataFrame:
+    """One row a person, a column an event with the text of its least time, as sheets have it.
+
+    ``info`` and ``place`` are of the person's first row; a person whose first row has
+    no ``place`` (city first) takes all of them from the first that has one. ``events``
+    maps column to condition. One aggregate, no pass to look for events.
+    """
+    blank = F.nullif(F.trim(F.col(place[0]).cast("string")), F.lit(""))
+    named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
+    with_place = F.when(blank.isNotNull(), F.col(order))
+    best = [F.min_by(F.when(c, F.col(shown)), F.when(c & F.col(time).isNotNull(), F.struct(time, order))).alias(e) for e, c in events.items()]
+    grouped = rows.groupBy(*named).agg(
+        F.min_by(F.struct(*info, *place), order).alias("_i"), F.min_by(F.struct(*place), with_place).alias("_p"), *best
+    )
+    kept = {c: F.when(F.nullif(F.trim(F.col(f"_i.{place[0]}").cast("string")), F.lit("")).isNull() & F.col("_p").isNotNull(), F.col(f"_p.{c}")).otherwise(F.col(f"_i.{c}")) for c in place}
+    return grouped.select(*(F.col(f"_i.{c}").alias(c) for c in info), *(v.alias(c) for c, v in kept.items()), *events)
+
+
+def quality_report(rows: DataFrame, checks: dict[str, tuple[str, Column]], norm, order: str) -> DataFrame:
+    """(``check``, ``value``): values that a check (column, condition) flags, once for each lookup form, its first spelling to arrive."""
+    each = None
+    for check, (column, flag) in checks.items():
+        found = rows.where(flag).groupBy(norm(F.col(column)).alias("_k")).agg(F.min_by(column, order).alias("value")).select(F.lit(check).alias("check"), "value")
+        each = found if each is None else each.unionByName(found)
+    return each.orderBy("check", F.lower("value"), "value")

@@ -64,3 +64,51 @@ def pending(starts: DataFrame, results: DataFrame, event: Sequence[str], gender:
     done = results.crossJoin(total).where(F.col(seq) == F.col("_max")).select(*person, *event).distinct().withColumn("_done", F.lit(True))
     joined = left.join(active, list(event), "left").join(done, [*person, *event], "left")
     return joined.where(~(F.coalesce("_active", F.lit(False)) & F.coalesce("_done", F.lit(False)))).drop("_active", "_done")
+
+
+DECISIONS = ("same_person", "different_person")
+
+
+def resolve_conflicts(events: DataFrame, decisions: DataFrame, key: str, status: str, at: str, pending: str = "pending") -> DataFrame:
+    """The events and one for each decision on a conflict that is pending; others (unknown word, unknown or settled conflict) go.
+
+    ``decisions`` has the events' columns; of several on one conflict the first by ``at`` counts.
+    """
+    known = decisions.where(F.col(status).isin(*DECISIONS))
+    first = known.groupBy(key).agg(F.min_by(F.struct(*[c for c in known.columns if c != key]), at).alias("_d")).select(key, "_d.*")
+    valid = first.join(conflict_status(events, key, status, at, pending).select(key), key, "left_semi")
+    return events.unionByName(valid, allowMissingColumns=True)
+
+
+def find(rows: DataFrame, **values) -> DataFrame:
+    """Rows whose columns equal the values; a null value finds nulls."""
+    for column, value in values.items():
+        rows = rows.where(F.col(column).eqNullSafe(F.lit(value)))
+    return rows
+
+
+def create(table: DataFrame, rows: DataFrame, id_col: str) -> DataFrame:
+    """The table and the rows, each with an identifier above all others; unique, with gaps, so nothing is sorted."""
+    top = table.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("long").alias("_top"))
+    new = rows.withColumn("_n", F.monotonically_increasing_id()).crossJoin(top)  # one row
+    return table.unionByName(new.withColumn(id_col, F.col("_top") + F.col("_n") + 1).drop("_top", "_n"), allowMissingColumns=True)
+
+
+def update(table: DataFrame, id_col: str, value, **columns) -> DataFrame:
+    """The table with columns of one row set."""
+    return table.withColumns({c: F.when(F.col(id_col) == value, F.lit(v)).otherwise(F.col(c)) for c, v in columns.items()})
+
+
+def upsert_unmatched(old: DataFrame, new: DataFrame, key: Sequence[str], time: str, order: str) -> DataFrame:
+    """As ``upsert_min``, but a row with a null in its key equals no other, so all of those stay."""
+    both = old.unionByName(new, allowMissingColumns=True)
+    whole = F.lit(True)
+    for c in key:
+        whole = whole & F.col(c).isNotNull()
+    return upsert_min(old.where(whole), new.where(whole), key, time, order).unionByName(both.where(~whole))
+
+
+def add_override(overrides: DataFrame, new: DataFrame, key: Sequence[str], id_col: str) -> DataFrame:
+    """Overrides with new ones in place of those of their key; null keys are one key, so open ones don't pile up."""
+    both = overrides.unionByName(new, allowMissingColumns=True)
+    return latest_by(both, key, id_col)

@@ -136,6 +136,17 @@ def list_results(spark, sf_dir):
     return out.select("meet", "name", "birth_year", "gender", "stroke", "distance", "cents")
 
 
+@query("""SELECT key, min(y) AS "YB", min(cents) FILTER (stroke = 'Serbest' AND distance = 50) AS free_50, min(cents) FILTER (stroke = 'Karışık' AND distance = 400) AS medley_400 FROM (
+SELECT name_raw AS key, lpad(CAST(birth_year % 100 AS VARCHAR), 2, '0') AS y, cents, stroke, distance FROM swims) GROUP BY key""")
+def results_sheet(spark, sf_dir):
+    """The sheet's row a person; two of the 17 event columns are shown, as hundredths."""
+    from ..sinks import layouts
+
+    rich = meet.enrich_results(swims(spark, sf_dir).withColumns({"source": F.lit("lenex"), "participant_type": F.lit(None).cast("string"), "pdf_seq": F.lit(None).cast("long")}), *_dims(spark, sf_dir))
+    sheet = layouts.results_sheet(rich, "seq")
+    return sheet.select(F.col("Ad Soyad").alias("key"), "YB", times.parse_time(F.col("Serbest_50m")).alias("free_50"), times.parse_time(F.col("Karışık_400m")).alias("medley_400"))
+
+
 def _file(spark, sf_dir):
     """An override for each athlete of a segment; the spelling differs in case and blanks."""
     k = F.col("c_custkey")

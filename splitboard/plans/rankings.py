@@ -315,3 +315,36 @@ def output_rows(spark, sf_dir):
     return out.select(
         "athlete", "grp", "place", "selected", "selected_label", "top3", "qualifies", "tied", *lists, "top3_f", "top3_o", shown("first_place", "leg", "event"), shown("pending_events", "event", "entry")
     )
+
+
+@query("""SELECT athlete, event, max(points) FILTER (leg = 'F') AS leg_f, max(points) FILTER (leg = 'O') AS leg_o, max(points) FILTER (leg = 'P') AS leg_p, max(points) AS combined,
+any_value(g) AS grp, any_value(l) AS leg FROM scored JOIN (SELECT athlete AS a, arg_min(grp, seq) AS g, arg_max(leg, seq) AS l FROM scored WHERE points > 0 GROUP BY 1) ON a = athlete WHERE points > 0 GROUP BY athlete, event""")
+def leg_map(spark, sf_dir):
+    return report.leg_map(b.scored(spark, sf_dir), ["athlete"], ["event"], "leg", b.LEGS, "points", "seq", ["grp"], ["leg"])
+
+
+@query("""SELECT athlete, grp, string_agg(event || ':' || points, ',' ORDER BY event) AS scores FROM (SELECT athlete, grp, event, max(points) AS points FROM scored WHERE points > 0 GROUP BY ALL) GROUP BY ALL""")
+def event_map(spark, sf_dir):
+    out = report.event_map(b.scored(spark, sf_dir), ["athlete"], ["event"], "points", ["grp"])
+    entries = F.array_sort(F.transform(F.map_entries("scores"), lambda e: F.concat_ws(":", e["key"]["event"], e["value"].cast("string"))))
+    return out.select("athlete", "grp", F.array_join(entries, ",").alias("scores"))
+
+
+@query("SELECT region, count(DISTINCT name) AS n_keys FROM marks GROUP BY 1")
+def keys_by_region(spark, sf_dir):
+    return report.keys_by(b.marks(spark, sf_dir), "name", "region")
+
+
+@query("SELECT n_regionkey, string_agg(DISTINCT lower(n_name), ',' ORDER BY lower(n_name)) AS names FROM nation GROUP BY 1")
+def exclusion_names(spark, sf_dir):
+    from ..session import table
+
+    return report.names_by(table(spark, sf_dir, "nation"), "n_name", ["n_regionkey"]).select("n_regionkey", F.array_join("names", ",").alias("names"))
+
+
+@query("""SELECT grp, CAST(sum(k) AS BIGINT) AS qualified, CAST(count(*) AS BIGINT) AS total FROM (SELECT grp, CAST(k3 >= 7 AS INT) AS k FROM keyed) GROUP BY 1
+UNION ALL SELECT 'TOPLAM', CAST(sum(CAST(k3 >= 7 AS INT)) AS BIGINT), count(*) FROM keyed""")
+def summary_total(spark, sf_dir):
+    from ..sinks.layouts import summary_sheet
+
+    return summary_sheet(selection_counts(spark, sf_dir), "grp", ["qualified", "total"])

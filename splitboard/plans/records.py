@@ -295,6 +295,31 @@ def numbered_probe(spark, sf_dir):
     return report.before_gap(rows, "n", (F.col("n") <= 7) | (F.col("n") == 30), 5)
 
 
+@query("""SELECT 'digit' AS "check", min(value) AS value FROM (SELECT p_name AS value FROM part WHERE regexp_matches(p_name, '[0-9]')) GROUP BY lower(value)
+UNION ALL SELECT 'brand', arg_min(p_brand, p_partkey) FROM part WHERE regexp_matches(p_brand, '[0-9]') GROUP BY lower(p_brand)
+UNION ALL SELECT 'fused', arg_min(p_brand, p_partkey) FROM part WHERE NOT contains(p_brand, ' ') AND length(p_brand) >= 8 GROUP BY lower(p_brand)""")
+def quality_report(spark, sf_dir):
+    checks = {"digit": ("p_name", text.has_digit(F.col("p_name"))), "brand": ("p_brand", text.has_digit(F.col("p_brand"))), "fused": ("p_brand", text.is_fused_name(F.col("p_brand")))}
+    return report.quality_report(table(spark, sf_dir, "part"), checks, text.normalize_for_lookup, "p_partkey")
+
+
+@query("""SELECT user_id, arg_max(event_type, event_id) AS status FROM events GROUP BY 1 HAVING NOT (arg_max(event_type, event_id) = (SELECT min(event_type) FROM events))
+UNION ALL SELECT user_id, 'same_person' FROM (SELECT user_id, arg_max(event_type, event_id) AS status FROM events GROUP BY 1) WHERE status = (SELECT min(event_type) FROM events)""")
+def resolved_conflicts(spark, sf_dir):
+    """Everyone is decided on; only pending conflicts take the decision."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
+    kind = rows.agg(F.min("event_type")).first()[0]
+    told = rows.groupBy("user_id").agg(F.max("event_id").alias("event_id")).select("user_id", F.lit("same_person").alias("event_type"), (F.col("event_id") + 1_000_000_000).alias("event_id"))
+    done = state.resolve_conflicts(rows, told, "user_id", "event_type", "event_id", kind)
+    return done.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("status"))
+
+
+@query("SELECT page_id, '' AS title, '' AS location, '' AS date FROM pages")
+def meet_meta(spark, sf_dir):
+    """These pages have no table, so no meta; pages with one are tested by hand."""
+    return pages_html.meet_meta(table(spark, sf_dir, "pages"), "page_id", "html")
+
+
 # Set operations and streams.
 @query("SELECT s_nationkey AS n FROM supplier UNION ALL SELECT c_nationkey FROM customer")
 def union_all(spark, sf_dir):

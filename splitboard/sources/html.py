@@ -51,6 +51,21 @@ def page_meta(pages: DataFrame, key: str, html: str) -> DataFrame:
     )
 
 
+def meet_meta(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, title, location, date) of the first table's first two rows.
+
+    The first row has title and location; a second row's first cell is the location
+    instead, its second the date. What is missing is ''.
+    """
+    table = F.regexp_extract(F.col(html), r"(?is)<table\b.*?(?:</table>|$)", 0)
+    rows = F.regexp_extract_all(table, F.lit(r"(?is)<tr\b.*?(?=<tr\b|</tr>|</table>|$)"), F.lit(0))
+    cells = lambda n: F.regexp_extract_all(F.coalesce(F.get(rows, F.lit(n)), F.lit("")), F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)(?=<t[dh]\b|</t[dh]>|</tr>|$)"), F.lit(1))
+    cell = lambda n, i: strip_tags(F.get(cells(n), F.lit(i)))
+    return pages.select(
+        key, F.coalesce(cell(0, 0), F.lit("")).alias("title"), F.coalesce(cell(1, 0), cell(0, 1), F.lit("")).alias("location"), F.coalesce(cell(1, 1), F.lit("")).alias("date")
+    )
+
+
 def file_hints(rows: DataFrame, events: DataFrame, file: str, on: str = "file") -> DataFrame:
     """Each file's event and its trailing number."""
     number = F.regexp_extract(F.col(file), r"(\d+)\.\w+$", 1).try_cast("long")
