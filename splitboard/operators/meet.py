@@ -47,7 +47,7 @@ def club_lookup(rows: DataFrame, club: str, stored: DataFrame, sheet: DataFrame)
     values = ["club", "city", "region"]
     dim = lambda df, key, name, last: one_per_key(df.select(key.alias(name), *values, "at"), name, "at", last).select(name, *values)
     tight = F.replace("key", F.lit(" "), F.lit(""))
-    keyed = rows.withColumn("_key", text.normalize_for_lookup(F.col(club))).withColumn("_tight", F.replace("_key", F.lit(" "), F.lit("")))
+    keyed = text.settled(rows, _key=text.normalize_for_lookup(F.col(club))).withColumn("_tight", F.replace("_key", F.lit(" "), F.lit("")))
     stages = [
         ("_key", dim(stored, F.col("key"), "k1", True), "k1"),
         ("_key", dim(sheet, F.col("key"), "k2", False), "k2"),
@@ -65,7 +65,7 @@ def enrich_results(raw: DataFrame, overrides: DataFrame, stored: DataFrame, shee
     or region replaces all three and leaves the lookup's alone; empty texts and region
     0 count as none. A looked-up club in small letters only is shown as the row has it.
     """
-    keyed = raw.withColumn("name_normalized", text.normalize_for_lookup(F.col("name_raw")))
+    keyed = text.settled(raw, name_normalized=text.normalize_for_lookup(F.col("name_raw")))
     renamed = overrides.select("name_normalized", "birth_year", "id", *(F.col(c).alias(f"o_{c}") for c in ("club_override", "city", "region", "display_name")))
     seen = wildcard_override(keyed, renamed, "name_normalized", "birth_year", "id", ["o_club_override", "o_city", "o_region", "o_display_name"])
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
@@ -94,15 +94,16 @@ def merge_abbreviations(rows: DataFrame, by: Sequence[str], order: str) -> DataF
     """
     short = F.col("name_raw").rlike(r"^\p{Lu}\.\s+\S")
     words = F.split(text.squeeze(F.col("name_raw")), " ")
-    keyed = rows.withColumns({"_short": short, "_last": text.normalize_for_lookup(F.element_at(words, -1)), "_club": text.normalize_for_lookup(F.col("club_raw"))})
+    keyed = text.settled(rows, _short=short, _last=text.normalize_for_lookup(F.element_at(words, -1)), _club=text.normalize_for_lookup(F.col("club_raw")))
     full = keyed.where(~F.col("_short") & (F.size(words) >= 2)).groupBy(*by, "_last", "_club", "birth_year").agg(F.max_by(F.struct("name_raw", "name"), order).alias("_full"))
-    right = full.select(*(F.col(c).alias(f"_r{i}") for i, c in enumerate([*by, "_last", "_club", "birth_year"])), "_full")
-    # Only a short name may find a full one, so the rest need no shuffle key of their own.
-    on = [F.col(c).eqNullSafe(F.col(f"_r{i}")) for i, c in enumerate([*by, "_last", "_club", "birth_year"])]
-    few = keyed.where("_short").join(right, on, "left")
-    taken = F.upper(F.substring(F.col("_full.name_raw"), 1, 1)) == F.substring("name_raw", 1, 1)
-    few = few.withColumn("_full", F.when(taken, F.col("_full"))).withColumns({c: F.coalesce(F.col(f"_full.{c}"), F.col(c)) for c in ("name_raw", "name")})
-    return keyed.where("NOT _short").select(*rows.columns).unionByName(few.select(*rows.columns))
+    # Rows with whole names look for nothing: a key of their own, none of which is found, spreads them.
+    own = F.when(F.col("_short"), F.col("_last")).otherwise(F.concat(F.lit("\0"), F.xxhash64(order).cast("string")))
+    names = [*by, "_last", "_club", "birth_year"]
+    right = full.select(*(F.col(c).alias(f"_r{i}") for i, c in enumerate(names)), "_full")
+    on = [F.col(c).eqNullSafe(F.col(f"_r{i}")) for i, c in enumerate(names)]
+    found = keyed.withColumn("_last", own).join(right, on, "left")
+    taken = F.col("_short") & (F.upper(F.substring(F.col("_full.name_raw"), 1, 1)) == F.substring("name_raw", 1, 1))
+    return found.withColumns({c: F.when(taken, F.col(f"_full.{c}")).otherwise(F.col(c)) for c in ("name_raw", "name")}).select(*rows.columns)
 
 
 def correct_recognised(rows: DataFrame, athletes: DataFrame, cutoff: float = 82.0) -> DataFrame:
@@ -132,7 +133,7 @@ def meet_results(
     if athletes is not None:
         rows = correct_recognised(rows, athletes)
     # Null years are one person's as others are.
-    keyed = rows.withColumns({"_who": text.nospace(F.col("name_raw")), "_year": F.coalesce("birth_year", F.lit(0))})
+    keyed = text.settled(rows, _who=text.nospace(F.col("name_raw")), _year=F.coalesce("birth_year", F.lit(0)))
     best = donor_names(keyed, ["meet", "_who", "_year"], ["stroke", "distance"], "name", "cents", "_at", ["name_raw"])
     dated = best.join(dates.groupBy("meet").agg(F.max("race_date").alias("race_date")), "meet", "left")
     return dated.withColumn("race_date", F.coalesce("race_date", F.lit(""))).select("meet", *ENRICHED, "race_date")

@@ -177,11 +177,15 @@ def donor_names(rows: DataFrame, keys: Sequence[str], event: Sequence[str], name
     """
     good = F.col(name).contains(" ") | (F.char_length(name) < 8)
     what = F.struct(name, *carried)
-    own = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, *event).orderBy(F.asc_nulls_last(time), F.asc(order))))
-    local = rows.groupBy(*keys, *event).agg(F.min_by(F.when(good, what), F.when(good, F.col(order))).alias("_local"))
-    words = F.size(F.split(name, " "))
-    wide = rows.groupBy(*keys).agg(F.min_by(what, F.struct(-words, F.col(order))).alias("_wide"))
-    best = own.where("_n = 1").drop("_n").join(local, [*keys, *event]).join(wide, list(keys))
+    words = F.struct((-F.size(F.split(name, " "))).alias("w"), F.col(order).alias("at"))
+    rest = [c for c in rows.columns if c not in (*keys, *event)]
+    # One pass: an event's best row and donor, and its row with most words; then those of a person's events, which are few.
+    each = rows.groupBy(*keys, *event).agg(
+        F.min_by(F.struct(*rest), F.struct(F.col(time).isNull(), time, order)).alias("_r"), F.min_by(F.when(good, what), F.when(good, F.col(order))).alias("_local"),
+        F.min_by(what, words).alias("_what"), F.min(words).alias("_words"),
+    )
+    wide = each.withColumn("_wide", F.min_by("_what", "_words").over(Window.partitionBy(*keys)))
+    best = wide.select(*keys, *event, "_r.*", "_local", "_wide").select(*rows.columns, "_local", "_wide")
     donor = F.when(good, what).otherwise(F.coalesce("_local", "_wide"))
     out = {c: F.coalesce(donor[c], F.col(c)) for c in (name, *carried)}
     return best.withColumns(out).drop("_local", "_wide")
