@@ -26,36 +26,69 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return _files(spark, path, lambda fs, at: fs.exists(at))
 
 
-def upsert_stream(stream: DataFrame, target: str, key: Sequence[str], time: str, order: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
+def _names(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """The numbers of a folder's parts that are called by the prefix and a number."""
+    found = _files(spark, path, lambda fs, at: [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else [])
+    return sorted(int(n.removeprefix(prefix)) for n in found if n.startswith(prefix))
+
+
+def _states(spark: SparkSession, target: str, before: int | None = None) -> dict[int, list[int]]:
+    """Each bucket's whole versions in order: those that were written to their end, of batches ``before`` one."""
+    out: dict[int, list[int]] = {}
+    for v in _names(spark, target, "v="):
+        if (before is None or v < before) and _exists(spark, f"{target}/v={v}/_SUCCESS"):
+            for bucket in _names(spark, f"{target}/v={v}", "bucket="):
+                out.setdefault(bucket, []).append(v)
+    return out
+
+
+def _read(spark: SparkSession, target: str, at: dict[int, int], schema: StructType) -> DataFrame:
+    paths = [f"{target}/v={v}/bucket={b}" for b, v in sorted(at.items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def upsert_stream(
+    stream: DataFrame, target: str, key: Sequence[str], time: str, order: str, checkpoint: str, interval: str | None = None, buckets: int = 64
+) -> StreamingQuery:
     """Keep the least time for each key in versions of a Parquet table under ``target``.
 
-    Each batch reduces its own rows first, writes the next version and is idempotent:
-    a replayed batch overwrites its version with the same rows. Of older versions the
-    one before is kept, which a replay starts from. A target that has versions is refused
-    with a checkpoint that has none of its progress, as its batches would count from 0
-    again. Without an interval what has arrived is processed and the query ends.
+    Keys are dealt to ``buckets`` by hash. A batch reads and writes the buckets of its
+    own keys only, each whole, as its version; a bucket's newest version is its state. A
+    replayed batch starts from the versions before it and overwrites its own, so it is
+    idempotent. Of a bucket's older versions the one before is kept, which a replay
+    starts from. A target that has versions is refused with a checkpoint that has none
+    of its progress, as its batches would count from 0 again; ``buckets`` must stay the
+    same. Without an interval what has arrived is processed and the query ends.
     """
     if _exists(stream.sparkSession, target) and not _exists(stream.sparkSession, f"{checkpoint}/offsets"):
         raise ValueError(f"{target} has versions, but {checkpoint} is not their checkpoint")
+    schema = stream.schema
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        if number:
-            old = spark.read.parquet(f"{target}/v={number - 1}")
-        else:
-            old = spark.createDataFrame([], batch.schema)
-        upsert_min(old, batch, key, time, order).write.mode("overwrite").parquet(f"{target}/v={number}")
-        if number > 1:
-            _files(spark, f"{target}/v={number - 2}", lambda fs, at: fs.delete(at, True))
+        bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int").alias("bucket")
+        touched = [r[0] for r in batch.select(bucket).distinct().collect()]  # as many as buckets at most
+        states = _states(spark, target, number)
+        old = _read(spark, target, {b: states[b][-1] for b in touched if b in states}, schema)
+        merged = upsert_min(old, batch, key, time, order).select("*", bucket)
+        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/v={number}")
+        for b in touched:
+            for v in states.get(b, [])[:-1]:
+                _files(spark, f"{target}/v={v}/bucket={b}", lambda fs, at: fs.delete(at, True))
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
-def newest_version(spark: SparkSession, target: str) -> DataFrame:
-    """The last version that ``upsert_stream`` wrote."""
-    versions = spark.read.parquet(target)
-    return versions.where(F.col("v") == versions.agg(F.max("v")).first()[0]).drop("v")
+def newest_version(spark: SparkSession, target: str, schema: StructType | None = None) -> DataFrame:
+    """The newest state of each bucket that ``upsert_stream`` wrote. Give the schema if there may be no bucket yet."""
+    at = {b: v[-1] for b, v in _states(spark, target).items()}
+    if schema is None:
+        if not at:
+            raise ValueError(f"{target} has no version yet; give its schema")
+        b, v = next(iter(at.items()))
+        schema = spark.read.parquet(f"{target}/v={v}/bucket={b}").schema
+    return _read(spark, target, at, schema)
 
 
 def tumbling_counts(stream: DataFrame, time: str, width: str, late: str, by: Sequence[str], value: str) -> DataFrame:

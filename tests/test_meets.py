@@ -13,6 +13,7 @@ from splitboard.operators import meet, report, score, state
 from splitboard.sinks import layouts
 from splitboard.sources import dimensions, html, lines
 from splitboard.sources.sheets import sheet_rows
+from splitboard.streaming import live
 
 CLUBS = "key string, club string, city string, region int, at long"
 OVERRIDES = "name_normalized string, birth_year int, club_override string, city string, region int, display_name string, id long"
@@ -137,6 +138,33 @@ def test_reports(spark):
     assert [tuple(r) for r in report.quality_report(rows, checks, normalize_for_lookup, "at").collect()] == [("digit", "C1"), ("digit", "C2"), ("empty", "")]
 
 
+def test_stream_buckets(spark, tmp_path):
+    schema = "k int, t int, n int"
+    at, progress, landed = str(tmp_path / "t"), str(tmp_path / "p"), str(tmp_path / "in")
+
+    def land(*rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(landed)
+        made = live.landing(spark, landed, spark.createDataFrame([], schema).schema)
+        live.upsert_stream(made, at, ["k"], "t", "n", progress, buckets=4).awaitTermination()
+
+    land(*((k, 50, k) for k in range(20)), (None, 9, 99))
+    whole = len(list((tmp_path / "t").glob("v=0/bucket=*")))
+    for n, t in enumerate((40, 30, 60), 1):
+        land((7, t, 100 + n))
+        # Only the bucket of the one key is written.
+        assert len(list((tmp_path / "t").glob(f"v={n}/bucket=*"))) == 1
+    got = {(r.k, r.t) for r in live.newest_version(spark, at).collect()}
+    assert got == {(k, 30 if k == 7 else 50) for k in range(20)} | {(None, 9)}
+    # The newest version of the touched bucket and the one before are kept, the others' only one.
+    assert whole == 4 and len(list((tmp_path / "t").glob("v=*/bucket=*"))) == 5
+    # A version that was not written to its end is no state.
+    (tmp_path / "t" / "v=3" / "_SUCCESS").unlink()
+    assert live.newest_version(spark, at).count() == 21
+    assert live.newest_version(spark, str(tmp_path / "none"), live.landing(spark, landed, spark.createDataFrame([], schema).schema).schema).count() == 0
+    with pytest.raises(ValueError):
+        live.newest_version(spark, str(tmp_path / "none"))
+
+
 def test_workbooks(spark):
     made = raw(spark, ("m", 1, "Ada Test", "X", 2012, "Serbest", 50, 3000, "pdf"), ("m", 2, "ADA TEST", "X", 2012, "Serbest", 50, 2900, "pdf"), ("m", 3, "Can Test", "Y", 2012, "Karışık", 400, 30000, "pdf"), ("m", 4, "Nil Test", "Z", 2012, "Karışık", 100, 7000, "pdf"))
     over = spark.createDataFrame([], OVERRIDES)
