@@ -19,7 +19,7 @@ BROADCAST_ROWS = 50_000
 #: Rows of an Arrow batch that goes to Python.
 BATCH_ROWS = 500
 #: Bytes of an Arrow batch that goes to Python: a batch ends with the row that reaches them.
-BATCH_BYTES = 64 << 20
+BATCH_BYTES = 16 << 20
 #: Bytes of labelled text that a class is learned from: a class ends with the text that reaches them.
 SAMPLE_BYTES = 32 << 20
 

@@ -14,6 +14,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -68,7 +69,7 @@ class Terms:
                 # A word that takes up much of the text, by octaves of its share.
                 at.append(WORDS + _hash(f"<share{int(np.log2(64 * n / len(tokens) + 1))}>", SHAPES))
                 weight.append(n)
-        again = sum(a == b for a, b in zip(tokens, tokens[1:]))
+        again = sum(a == b for a, b in pairwise(tokens))
         if again:
             at.append(WORDS + _hash("<again>", SHAPES))
             weight.append(3 * again)
