@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_documents
+from .byte_bpe import encode_bytes
 from .chat import rotate_perspectives
 from .common import remainder, table
 from .exact_dedup import content_sort
+from .filter_audit import audit_filters
 from .fingerprint import successor_fingerprints
 from .licenses import scan_licenses
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .quality import quality
 from .sharding import shard_records
+from .term_audit import audit_sources
 from .toxicity import toxicity
 
 #: Remainders of crc32(doc_id) that are held out of learning: (modulus, remainder).
@@ -78,6 +81,22 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate_perspectives(table(spark, sf_dir, "conversations"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(table(spark, sf_dir, "documents"), least_docs=3, top=200)
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = encode_bytes(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 ALL = {
     f.__name__: f
     for f in (
@@ -91,5 +110,8 @@ ALL = {
         op8_quality,
         op9_bpe,
         op10_chat,
+        op11_divergence,
+        op12_byte_bpe,
+        op13_filter_audit,
     )
 }
