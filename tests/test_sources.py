@@ -101,11 +101,22 @@ def test_result_line_rules(spark):
     assert got == dict(KEPT)
 
 
+def test_event_in_force(spark):
+    """A glued header begins its event; a note with a distance and stroke begins none."""
+    texts = ["Yarış 7, Erkekler, 50m Serbest", "1. Ali Test 13 Enka 28.51", "Yarış 8, Kızlar, 100mSerbest", "1. Ada Test 13 Enka 1:08.51", "Not: 50m Kelebek barajlı", "2. Ece Test 13 Enka 1:09.00"]
+    df = spark.createDataFrame([("d", 1, i, t) for i, t in enumerate(texts)], "doc string, page int, line_no int, text string")
+    got = [(r.name, r.gender, r.distance, r.stroke) for r in lines.result_lines(df).orderBy("line_no").collect()]
+    assert got == [("Ali Test", "M", 50, "Serbest"), ("Ada Test", "F", 100, "Serbest"), ("Ece Test", "F", 100, "Serbest")]
+
+
 @pytest.mark.parametrize(
     ("text", "want"),
     [
         ("Yarış 100, Erkekler, 50m Serbest", ("M", 50, "Serbest")), ("Yarış 50, Kızlar, 200m Serbest, 11 yaş", ("F", 200, "Serbest")), ("Yarış 3, 100 m Kelebek", ("M", 100, "Kelebek")),
         ("Yarış 3, Kızlar, 500m Serbest", None), ("Kızlar 1000 m Serbest", None), ("Ali 13 50m Serbest 28.55", None),
+        ("Yarış 8, Kızlar, 100mSerbest", ("F", 100, "Serbest")), ("YARIŞ 8,KIZLAR,200mKurbağalama", ("F", 200, "Kurbağalama")), ("Yarış 12 Bayanlar50mSırtüstü, 11 yaş", ("F", 50, "Sırtüstü")),
+        ("Not: 50m Serbest barajlı yarışlar", None), ("Kızlar 50m Serbest baraj 30.00", None), ("Kızlar 200m Serbest", ("F", 200, "Serbest")), ("50m Serbest", None),
+        ("Yarış 9, Oğlanlar, 50m Kelebek 12.04.2026", ("M", 50, "Kelebek")), ("Yarış 9, 50m: Kelebek", None),
     ],
 )
 def test_header(spark, text, want):
