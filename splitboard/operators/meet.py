@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, times
-from .resolve import best_fuzzy, donor_names, fallback_lookup, one_per_key, wildcard_override
+from .fuzzy import best_indel
+from .resolve import donor_names, fallback_lookup, one_per_key, wildcard_override
 
 #: What every reader gives for one result.
 RAW = {
@@ -106,13 +107,30 @@ def merge_abbreviations(rows: DataFrame, by: Sequence[str], order: str) -> DataF
     return found.withColumns({c: F.when(taken, F.col(f"_full.{c}")).otherwise(F.col(c)) for c in ("name_raw", "name")}).select(*rows.columns)
 
 
-def correct_recognised(rows: DataFrame, athletes: DataFrame, cutoff: float = 82.0) -> DataFrame:
-    """Recognised rows (source "ocr") take the name of the most similar athlete (known_name, birth_year, gender) that reaches the cutoff."""
-    read = rows.where("source = 'ocr'")
-    names = read.select("name_raw", "birth_year", "gender").distinct()
-    best = best_fuzzy(names, athletes.select("known_name", "birth_year", "gender").distinct(), ["birth_year", "gender"], "name_raw", "known_name", text.token_sort_ratio, cutoff)
-    mended = read.join(best.drop("similarity"), ["name_raw", "birth_year", "gender"], "left").withColumn("name", F.coalesce("known_name", "name"))
-    return rows.where(~F.col("source").eqNullSafe("ocr")).unionByName(mended.withColumn("name_raw", F.coalesce("known_name", "name_raw")).select(*rows.columns))
+def correct_recognised(rows: DataFrame, athletes: DataFrame, cutoff: float = 82.0, stored: DataFrame | None = None, sheet: DataFrame | None = None) -> DataFrame:
+    """Recognised rows (source "ocr") take the name of the most similar athlete (known_name, birth_year, gender) that reaches the cutoff.
+
+    A name that is the athlete's without its blanks stays. With the club dimensions of
+    ``club_lookup`` a corrected row without a found club takes the club, city and region
+    of the athlete's ``club`` (of several athletes of one name the first by value that
+    has one), if that is found.
+    """
+    group = ["birth_year", "gender"]
+    read = rows.where("source = 'ocr'").withColumn("_seen", F.coalesce("name", "name_raw"))
+    club = F.nullif("club", F.lit("")) if "club" in athletes.columns else F.lit(None).cast("string")
+    known = athletes.groupBy("known_name", *group).agg(F.min(club).alias("_club"))
+    values = ("club", "city", "region")
+    if stored is not None and sheet is not None:
+        clubs = club_lookup(known.select("_club").where("_club IS NOT NULL").distinct(), "_club", stored, sheet).where("stage IS NOT NULL")
+        known = known.join(clubs.select("_club", F.struct(*values).alias("_of")), "_club", "left")
+    best = best_indel(read.select("_seen", *group).distinct(), known, group, "_seen", "known_name", cutoff).drop("similarity")
+    mended = read.join(best.join(known, ["known_name", *group]), ["_seen", *group], "left")
+    changed = F.col("known_name").isNotNull() & (F.lower("known_name") != text.nospace(F.col("_seen")))
+    out = {c: F.when(changed, F.col("known_name")).otherwise(F.col(c)) for c in ("name", "name_raw")}
+    if "_of" in mended.columns:
+        filled = changed & ~F.coalesce("club_found", F.lit(False)) & F.col("_of").isNotNull()
+        out |= {c: F.when(filled, F.col(f"_of.{c}")).otherwise(F.col(c)) for c in values} | {"club_found": F.when(filled, True).otherwise(F.col("club_found"))}
+    return rows.where(~F.col("source").eqNullSafe("ocr")).unionByName(mended.withColumns(out).select(*rows.columns))
 
 
 def meet_results(
@@ -124,14 +142,14 @@ def meet_results(
     All inputs but ``dates`` (meet, race_date) and the dimensions are RAW rows. A meet
     whose archive has results takes those only, any other its lists' (with those of the
     progression report, if given). ``athletes`` turns on the correction of recognised
-    names. A meet without a date has ''. For lists alone give an empty archive and no dates.
+    names and their clubs. A meet without a date has ''. For lists alone give an empty archive and no dates.
     """
     rest = listed if progression is None else listed.unionByName(progression)
     raw = archive.unionByName(rest.join(archive.select("meet").distinct(), "meet", "left_anti"))
     rows = enrich_results(raw, overrides, stored, sheet, dictionary).withColumn("_at", arrival())
     rows = merge_abbreviations(rows, ["meet"], "_at")
     if athletes is not None:
-        rows = correct_recognised(rows, athletes)
+        rows = correct_recognised(rows, athletes, stored=stored, sheet=sheet)
     # Null years are one person's as others are.
     keyed = text.settled(rows, _who=text.nospace(F.col("name_raw")), _year=F.coalesce("birth_year", F.lit(0)))
     best = donor_names(keyed, ["meet", "_who", "_year"], ["stroke", "distance"], "name", "cents", "_at", ["name_raw"])

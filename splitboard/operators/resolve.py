@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .fuzzy import near_pairs, probes, segments
+
 
 def one_per_key(rows: DataFrame, key: str, order: str, last: bool = False) -> DataFrame:
     """The first (or last) row to arrive for each key, so a lookup can't multiply rows."""
@@ -62,20 +64,42 @@ def excluded(rows: DataFrame, names: DataFrame, on: Sequence[str], keep: bool) -
 
 
 def fuzzy_pairs(rows: DataFrame, block: str, text: str, id_col: str, limit: int) -> DataFrame:
-    """Pairs (a, b) of a block whose texts differ by at most ``limit`` edits; each once. The block bounds what is compared."""
-    left = rows.select(F.col(block), F.col(id_col).alias("a"), F.col(text).alias("text_a"))
-    right = rows.select(F.col(block), F.col(id_col).alias("b"), F.col(text).alias("text_b"))
-    near = F.levenshtein("text_a", "text_b", limit)
-    return left.join(right, block).where((F.col("a") < F.col("b")) & (near >= 0)).withColumn("edits", near.cast("long"))
+    """Pairs (a, b) of a block whose texts differ by at most ``limit`` edits; each once, by identifier. Texts are compared once, found by shared segments."""
+    own = rows.select(F.col(block), F.col(text).alias("_t"), F.col(id_col).alias("_id"))
+    near = near_pairs(own, "_t", limit, [block])
+    side = lambda n: own.select(F.col(block), F.col("_t").alias(f"_t{n}"), F.col("_id").alias(f"_id{n}"))
+    texts = near.select(F.col(block), F.col("a").alias("_t1"), F.col("b").alias("_t2"), "edits")
+    pairs = texts.join(side(1), [block, "_t1"]).join(side(2), [block, "_t2"])
+    equal = side(1).join(side(2).withColumnRenamed("_t2", "_t1"), [block, "_t1"]).where("_id1 < _id2").withColumns({"_t2": F.col("_t1"), "edits": F.lit(0).cast("long")})
+    first = F.col("_id1") < F.col("_id2")
+    out = pairs.where("_id1 <> _id2").unionByName(equal)
+    return out.select(
+        F.col(block), F.least("_id1", "_id2").alias("a"), F.when(first, F.col("_t1")).otherwise(F.col("_t2")).alias("text_a"),
+        F.greatest("_id1", "_id2").alias("b"), F.when(first, F.col("_t2")).otherwise(F.col("_t1")).alias("text_b"), "edits",
+    )
 
 
-def deletions(text: Column) -> Column:
-    """The text and what is left of it after one or two deletions: texts within two edits share one."""
-    drop = lambda t: F.when(
-        F.char_length(t) > 0, F.transform(F.sequence(F.lit(1), F.char_length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.char_length(t))))
-    ).otherwise(F.array().cast("array<string>"))
-    once = F.array_distinct(drop(text))
-    return F.array_distinct(F.concat(F.array(text), once, F.flatten(F.transform(once, drop))))
+def _near_surnames(named: DataFrame) -> DataFrame:
+    """(sn1, sn2, ns1, ns2): names of surnames within 2 edits, the earlier surname first, that may be within 3.
+
+    The opening of the first name before its surname is found again in the second
+    name, with 3 edits at most, so one of its four segments is there. An opening of
+    three letters or less has none: those are compared with names of like length.
+    """
+    surnames = named.select("_sn", "seen").distinct()
+    order = lambda n, c: surnames.select(F.col("_sn").alias(c), F.col("seen").alias(f"seen{n}"))
+    close = near_pairs(surnames, "_sn", 2).join(order("a", "a"), "a").join(order("b", "b"), "b")
+    first = F.col("seena") < F.col("seenb")
+    close = close.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("sn1"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("sn2"))
+    one = close.join(named.select(F.col("_sn").alias("sn1"), F.col("_ns").alias("ns1"), F.col("_given").alias("given")), "sn1")
+    two = close.join(named.select(F.col("_sn").alias("sn2"), F.col("_ns").alias("ns2")), "sn2")
+    length = F.char_length("ns2") - F.char_length("sn1")
+    on = ["sn1", "sn2", "_l", "_i", "_part"]
+    found = segments(one, "given", 3).join(probes(two, "ns2", 3, length - 3, length + 3, False), on)
+    short = one.withColumn("_l", F.char_length("given")).where("_l <= 3")
+    like = two.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(3)))).where((F.col("_l") - length).between(-3, 3))
+    cols = ["sn1", "sn2", "ns1", "ns2"]
+    return found.select(cols).unionAll(short.join(like, ["sn1", "sn2", "_l"]).select(cols)).where("ns1 <> ns2")
 
 
 def similar_names(rows: DataFrame, name: str, norm: Column, order: str, event: Sequence[str], carried: Sequence[str]) -> DataFrame:
@@ -84,28 +108,31 @@ def similar_names(rows: DataFrame, name: str, norm: Column, order: str, event: S
     A name is its normalised form without spaces. Pairs are, in this order, each
     once: of equal surnames (last words) within 3 edits; spaced otherwise (one pair
     for each name, without shared events); of surnames within 2 edits and names
-    within 3. Surnames are found by shared deletions, so not all are compared. Rows
+    within 3. Rows
     stand for their name by arrival (``order``, unique): the first, in the third pass
     the last. Names without a common event are likely the same.
+
+    Names of one surname end alike, so only their openings are compared; all passes
+    find their pairs by segments (``near_pairs``), none joins on a surname alone.
     """
     keyed = rows.withColumn("_norm", norm).withColumn("_ns", F.replace("_norm", F.lit(" "), F.lit(""))).withColumn("_sn", F.element_at(F.split("_norm", " "), -1))
     row = F.struct(F.col(order).alias("at"), F.col(name).alias("name"), *carried)
     named = keyed.where("_sn <> ''").groupBy("_sn", "_ns").agg(F.min_by(row, order).alias("first"), F.max_by(row, order).alias("last"))
     seen = named.groupBy("_sn").agg(F.min("first.at").alias("seen"))
     named = named.join(seen, "_sn")
-    side = lambda df, n, r: df.select(F.col("_sn").alias(f"sn{n}"), F.col("seen").alias(f"seen{n}"), F.col("_ns").alias(f"ns{n}"), F.col("first.at").alias(f"at{n}"), F.col(r).alias(f"r{n}"))
-    cols = ["rank", "ns1", "ns2", "r1", "r2", "edits"]
+    named = named.withColumn("_given", F.substr("_ns", F.lit(1), F.char_length("_ns") - F.char_length("_sn")))
+    side = lambda n, r: named.select(F.col("_sn").alias(f"sn{n}"), F.col("seen").alias(f"seen{n}"), F.col("_ns").alias(f"ns{n}"), F.col("_given").alias(f"given{n}"), F.col("first.at").alias(f"at{n}"), F.col(r).alias(f"r{n}"))
 
     def near(pairs: DataFrame, step: int) -> DataFrame:
-        found = pairs.where("ns1 <> ns2").withColumn("edits", F.levenshtein("ns1", "ns2", 3).cast("long")).where("edits >= 0")
-        return found.withColumn("rank", F.struct(F.lit(step).alias("step"), "seen1", "seen2", "at1", "at2")).select(cols)
-
-    a, b = side(named, 1, "first"), side(named, 2, "first")
-    same = near(a.join(b, F.col("sn1") == F.col("sn2")).where("at1 < at2"), 1)
-    surnames = seen.select("_sn", "seen", F.explode(deletions(F.col("_sn"))).alias("part"))
-    left, right = (surnames.select(F.col("_sn").alias(f"sn{n}"), F.col("seen").alias(f"seen{n}"), "part") for n in (1, 2))
-    close = left.join(right, "part").where("seen1 < seen2").select("sn1", "sn2").distinct().where(F.levenshtein("sn1", "sn2", 2) >= 0)
-    other = near(close.join(side(named, 1, "last"), "sn1").join(side(named, 2, "last"), "sn2"), 3)
+        rank = F.struct(F.lit(step).alias("step"), "seen1", "seen2", "at1", "at2")
+        return pairs.select(rank.alias("rank"), "ns1", "ns2", "r1", "r2", "edits")
+
+    given = near_pairs(named, "_given", 3, ["_sn"]).select(F.col("_sn").alias("sn1"), F.col("_sn").alias("sn2"), F.col("a").alias("given1"), F.col("b").alias("given2"), "edits")
+    # Each pair of openings both ways: the name that arrived first comes first.
+    given = given.unionAll(given.select("sn1", "sn2", F.col("given2").alias("given1"), F.col("given1").alias("given2"), "edits"))
+    same = near(given.join(side(1, "first"), ["sn1", "given1"]).join(side(2, "first"), ["sn2", "given2"]).where("at1 < at2"), 1)
+    close = _near_surnames(named).withColumn("edits", F.levenshtein("ns1", "ns2", 3).cast("long")).where("edits >= 0").distinct()
+    other = near(close.join(side(1, "last"), ["sn1", "ns1"]).join(side(2, "last"), ["sn2", "ns2"]), 3)
     pair = [F.least("ns1", "ns2").alias("ns1"), F.greatest("ns1", "ns2").alias("ns2")]
     best = same.unionAll(other).groupBy(*pair).agg(F.min_by(F.struct("r1", "r2", "edits", F.col("ns1").alias("n1"), F.col("ns2").alias("n2")), "rank").alias("_p")).select("_p.*")
     events = keyed.groupBy(F.col("_ns")).agg(F.collect_set(F.struct(*event)).alias("events"))
@@ -144,13 +171,6 @@ def abbreviation_pairs(rows: DataFrame, last: str, first: str, by: Sequence[str]
     return joined.where(F.upper(F.substring("full_first", 1, 1)) == F.upper(F.substring(first, 1, 1)))
 
 
-def best_fuzzy(rows: DataFrame, names: DataFrame, block: Sequence[str], text: str, candidate: str, ratio, cutoff: float, allowed: Column | None = None) -> DataFrame:
-    """The candidate of the block with the highest similarity, if it reaches the cutoff; ``allowed`` says which pairs may be taken."""
-    pairs = rows.join(names, list(block)).where(F.lit(True) if allowed is None else allowed).withColumn("similarity", ratio(F.col(text), F.col(candidate))).where(F.col("similarity") >= cutoff)
-    best = pairs.groupBy(*rows.columns).agg(F.max_by(F.struct(candidate, "similarity"), F.struct("similarity", F.col(candidate))).alias("_b"))
-    return best.select(*rows.columns, "_b.*")
-
-
 def roster_compare(a: DataFrame, b: DataFrame, on: Sequence[str], value: str, same=None) -> DataFrame:
     """Full outer join with ``status``: both, differs, only_a, only_b."""
     left = a.select(*on, F.col(value).alias("value_a"), F.lit(True).alias("_a"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text, times
-from ..operators import report, resolve, state
+from ..operators import fuzzy, report, resolve, state
 from ..session import table
 from ..sources import html as pages_html
 from . import binding as b
@@ -95,13 +95,37 @@ def fuzzy_pairs(spark, sf_dir):
     return pairs.select(F.split_part("block", F.lit("|"), F.lit(1)).alias("p_type"), "a", "b", "edits")
 
 
-@query()
+_SPELLED = r"trim(regexp_replace(regexp_replace(lower(p_name), '[,;:()/_#!?-]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(f"""WITH k AS (SELECT p_partkey AS pos, p_name AS name, p_type, p_brand, {_SPELLED} AS norm, replace({_SPELLED}, ' ', '') AS ns, split_part({_SPELLED}, ' ', -1) AS sn FROM part),
+n AS (SELECT sn, ns, min(pos) AS pos, arg_min(name, pos) AS n1, arg_min(p_brand, pos) AS b1, arg_max(name, pos) AS n3, arg_max(p_brand, pos) AS b3 FROM k WHERE sn <> '' GROUP BY sn, ns),
+m AS (SELECT *, min(pos) OVER (PARTITION BY sn) AS seen FROM n),
+near AS (
+  SELECT row(1, a.seen, b.seen, a.pos, b.pos) AS rank, a.ns AS ns1, b.ns AS ns2, a.n1 AS name1, b.n1 AS name2, a.b1 AS p_brand1, b.b1 AS p_brand2
+  FROM m a JOIN m b ON a.sn = b.sn AND a.pos < b.pos
+  UNION ALL SELECT row(3, a.seen, b.seen, a.pos, b.pos), a.ns, b.ns, a.n3, b.n3, a.b3, b.b3
+  FROM m a JOIN m b ON a.seen < b.seen AND levenshtein(a.sn, b.sn) <= 2 AND a.ns <> b.ns
+), best AS (
+  SELECT *, levenshtein(ns1, ns2) AS edits FROM near WHERE levenshtein(ns1, ns2) <= 3
+  QUALIFY row_number() OVER (PARTITION BY least(ns1, ns2), greatest(ns1, ns2) ORDER BY rank) = 1
+), e AS (SELECT ns, list(DISTINCT p_type) AS t FROM k GROUP BY ns), s AS (
+  SELECT *, row_number() OVER (PARTITION BY ns ORDER BY pos) AS i FROM (SELECT ns, norm, min(pos) AS pos, arg_min(name, pos) AS name, arg_min(p_brand, pos) AS b FROM k GROUP BY ns, norm)
+)
+SELECT name1, name2, CAST(edits AS BIGINT) AS edits, array_to_string(list_sort(list_intersect(x.t, y.t)), ',') AS shared_events, len(list_intersect(x.t, y.t)) = 0 AS likely_same, p_brand1, p_brand2
+FROM best JOIN e x ON x.ns = ns1 JOIN e y ON y.ns = ns2
+UNION ALL SELECT a.name, b.name, 0, '', true, a.b, b.b FROM s a JOIN s b ON a.ns = b.ns AND a.i = 1 AND b.i = 2""")
 def similar_names(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    return resolve.similar_names(part, "p_name", text.normalize_for_lookup(F.col("p_name")), "p_partkey", ["p_type"], ["p_brand"])
+    found = resolve.similar_names(part, "p_name", text.normalize_for_lookup(F.col("p_name")), "p_partkey", ["p_type"], ["p_brand"])
+    return found.withColumn("shared_events", F.array_join(F.transform("shared_events", lambda e: e["p_type"]), ","))
 
 
-@query()
+@query(r"""WITH r AS (SELECT p_partkey AS pos, p_brand, p_size, CASE WHEN p_partkey % 5 = 0 THEN p_name[1] || '. ' || split_part(p_name, ' ', -1) ELSE p_name END AS seen FROM part),
+k AS (SELECT *, regexp_matches(seen, '^[A-Za-z]{1,2}\. ') AS short, lower(split_part(seen, ' ', -1)) AS sn, lower(CASE WHEN regexp_matches(seen, '^[A-Za-z]{1,2}\. ') THEN split_part(seen, '.', 1) ELSE seen[1] END) AS initial FROM r WHERE contains(seen, ' ')),
+o AS (SELECT short, sn, initial, seen, min(pos) AS pos, arg_min(p_brand, pos) AS club, arg_min(p_size, pos) AS year FROM k GROUP BY ALL)
+SELECT a.seen AS abbrev_name, b.seen AS full_name, a.club AS abbrev_club, b.club AS full_club, a.year IS NOT DISTINCT FROM b.year AS year_match
+FROM o a JOIN o b ON a.short AND NOT b.short AND a.sn = b.sn AND a.initial = b.initial""")
 def abbreviation_report(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     seen = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.substring("p_name", 1, 1), F.lit(". "), F.split_part("p_name", F.lit(" "), F.lit(-1)))).otherwise(F.col("p_name"))
@@ -123,7 +147,7 @@ def best_fuzzy(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     rows = part.select("p_partkey", "p_brand", "p_size", F.col("p_name").alias("seen"))
     names = part.select("p_brand", "p_size", F.col("p_name").alias("known")).distinct()
-    return resolve.best_fuzzy(rows, names, ["p_brand", "p_size"], "seen", "known", text.token_sort_ratio, 82.0, F.col("seen") != F.col("known"))
+    return fuzzy.best_indel(rows, names, ["p_brand", "p_size"], "seen", "known", 82.0, F.col("seen") != F.col("known"))
 
 
 @query("""SELECT o_custkey, o_orderpriority, cents, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY cents, o_orderkey) AS n

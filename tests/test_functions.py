@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from splitboard.functions import text, times
-from splitboard.operators import rank, report, resolve, score, state
+from splitboard.operators import fuzzy, rank, report, resolve, score, state
 
 
 def one(spark, column):
@@ -237,7 +237,7 @@ def test_token_sort_ratio(spark):
     assert all(abs(r.r - want(r.a, r.b)) < 1e-9 for r in both.select("a", "b", text.token_sort_ratio(F.col("a"), F.col("b")).alias("r")).collect())
     df = spark.createDataFrame([(1, "x", "ada civlek"), (2, "x", "mehmet oz")], "i long, block string, seen string")
     names = spark.createDataFrame([("x", "civelek ada"), ("x", "ali kaya")], "block string, known string")
-    got = resolve.best_fuzzy(df, names, ["block"], "seen", "known", text.token_sort_ratio, 82.0).collect()
+    got = fuzzy.best_indel(df, names, ["block"], "seen", "known", 82.0).collect()
     assert [(r.i, r.known, round(r.similarity, 4)) for r in got] == [(1, "civelek ada", round(200 * 10 / 21, 4))]
     one = spark.createDataFrame([("abcd", "abcde")], "a string, b string").select(text.token_sort_ratio(F.col("a"), F.col("b"))).first()[0]
     assert abs(one - 88.8889) < 0.001
