@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 KEYS = ("k3", "k4", "k5", "k6")
 
 
@@ -32,16 +34,12 @@ def _peers(by: Sequence[str]) -> Column:
     return F.sum("_size").over(Window.partitionBy(*by, *KEYS))
 
 
-def _number(by: Sequence[str], name: str, only: Column | None = None) -> Column:
-    """The row's number among its peers by name, from 0. Rows outside ``only`` are spread, as their number is not used."""
-    spread = [] if only is None else [F.when(only, F.lit(0)).otherwise(F.xxhash64(name))]
-    return F.row_number().over(Window.partitionBy(*by, *KEYS, *spread).orderBy(name)) - 1
-
-
 def ranked(rows: DataFrame, by: Sequence[str], name: str, out: str = "place") -> DataFrame:
-    """Add the place in each group by the cumulative keys, then name. Only equal keys are sorted together."""
+    """Add the place in each group by the cumulative keys, then name. Equal keys are numbered over ranges of names, so no task has all of them."""
     placed = _by_cells(rows, [*by, *KEYS], lambda cells: cells.withColumn("_rank", _first(by)))
-    return placed.withColumn(out, (F.col("_rank") + _number(by, name)).cast("long")).drop("_rank")
+    peers = [*by, *KEYS]
+    counted = scan.numbered(scan.ranged(placed, peers, [name]), peers, [name], "_number")
+    return scan.plain(counted.withColumn(out, F.col("_rank") + F.col("_number") - 1)).drop("_rank", "_number")
 
 
 def quota_with_ties(rows: DataFrame, by: Sequence[str], quota: Column, name: str, eligible: Column | None = None) -> DataFrame:
@@ -49,7 +47,7 @@ def quota_with_ties(rows: DataFrame, by: Sequence[str], quota: Column, name: str
 
     The first ``quota`` rows are chosen and with them all that equal the last of
     them; those are tied if some equal lies outside the quota. The quota is one of the
-    group. Only chosen rows are numbered.
+    group.
     """
     usable = rows.withColumns({"_e": F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False)), "_quota": quota})
     group = [*by, "_e"]
@@ -59,9 +57,11 @@ def quota_with_ties(rows: DataFrame, by: Sequence[str], quota: Column, name: str
         chosen = F.col("_e") & (F.col("_rank") <= F.col("_quota"))
         return placed.withColumns({"chosen": F.coalesce(chosen, F.lit(False)), "tied": F.coalesce(chosen & (F.col("_rank") + F.col("_n") - 1 > F.col("_quota")), F.lit(False))}).drop("_n")
 
-    out = _by_cells(usable, [*by, "_e", "_quota", *KEYS], decide)
-    slot = F.when(F.col("chosen"), (F.col("_rank") + _number(group, name, F.col("chosen"))).cast("long"))
-    return out.withColumn("slot", slot).drop("_e", "_quota", "_rank")
+    peers = [*group, *KEYS]
+    out = scan.ranged(_by_cells(usable, [*by, "_e", "_quota", *KEYS], decide), peers, [name])
+    out = scan.plain(scan.numbered(out, peers, [name], "_number"))
+    slot = F.when(F.col("chosen"), (F.col("_rank") + F.col("_number") - 1).cast("long"))
+    return out.withColumn("slot", slot).drop("_e", "_quota", "_rank", "_number")
 
 
 def select_group(
@@ -74,7 +74,8 @@ def select_group(
     ``slot`` and ``region_place``. The national quota asks for points above 0, the
     regional ones for ``least``; region 1 has its own quota, a null or 0 region none.
     Quotas are numbers, or columns of the group as ``with_quotas`` adds them. All is
-    decided over distinct keys; rows are only numbered among their equals.
+    decided over distinct keys; rows are only numbered among their equals, over ranges of
+    names (one range serves both numbers, as equals in a region are equals in the group).
     """
     r = F.col(region)
     marked = athletes.withColumn("_x", F.coalesce(excluded, F.lit(False))).withColumn(region, F.coalesce(region, F.lit(0)))
@@ -94,13 +95,15 @@ def select_group(
         tied = (F.col("_tr") & beyond("_rank", "_n", "_national")) | (taken & beyond("_place", "_m", "_regional"))
         return cells.withColumns({"selected": status, "tied": tied}).drop("_n", "_m")
 
-    out = _by_cells(marked, [*by, region, "_x", "_national", "_least", "_regional", *KEYS], decide)
+    out = scan.ranged(_by_cells(marked, [*by, region, "_x", "_national", "_least", "_regional", *KEYS], decide), [*whole, *KEYS], [name])
+    out = scan.numbered(out, [*whole, *KEYS], [name], "_number")
+    out = scan.plain(scan.numbered(out, [*local, *KEYS], [name], "_local"))
     out = out.withColumns({
-        "place": F.when(F.col("_x"), F.lit(0).cast("long")).otherwise((F.col("_rank") + _number(whole, name)).cast("long")),
-        "region_place": F.when(F.col("_rest"), (F.col("_place") + _number(local, name, F.col("_rest"))).cast("long")),
+        "place": F.when(F.col("_x"), F.lit(0).cast("long")).otherwise((F.col("_rank") + F.col("_number") - 1).cast("long")),
+        "region_place": F.when(F.col("_rest"), (F.col("_place") + F.col("_local") - 1).cast("long")),
     })
     slot = F.when(F.col("selected") == "TR", F.col("place")).when(F.col("selected") == "BÖLGE", F.col("region_place"))
-    return out.withColumn("slot", slot).drop("_x", "_national", "_least", "_regional", "_rank", "_tr", "_rest", "_place")
+    return out.withColumn("slot", slot).drop("_x", "_national", "_least", "_regional", "_rank", "_tr", "_rest", "_place", "_number", "_local")
 
 
 def with_quotas(rows: DataFrame, quotas: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -112,9 +115,10 @@ def with_quotas(rows: DataFrame, quotas: DataFrame, on: Sequence[str]) -> DataFr
 
 def violations(rows: DataFrame, by: Sequence[str], place: str = "place") -> DataFrame:
     """Rows whose keys rise against the row before them in rank."""
-    w = Window.partitionBy(*by).orderBy(place)
-    own, before = F.struct(*KEYS), F.lag(F.struct(*KEYS)).over(w)
-    return rows.where(F.col(place) > 0).withColumn("_bad", own > before).where("_bad").drop("_bad")
+    own = F.struct(*KEYS)
+    placed = scan.ranged(rows.where(F.col(place) > 0), by, [place])
+    seen = scan.plain(scan.neighbours(placed, by, [place], own, "_before", "_after"))
+    return seen.where(own > F.col("_before")).drop("_before", "_after")
 
 
 def passed_over(rows: DataFrame, by: Sequence[str], region: str, least: int) -> DataFrame:
@@ -139,12 +143,13 @@ def validate(
     region is better. Rows without a place (0) are listed, not ranked: only the last
     three kinds look at them.
     """
-    w = Window.partitionBy(*by).orderBy(place)
     own = F.struct(*KEYS)
-    seen = rows.where(F.col(place) > 0).withColumns({
-        "order": (F.lag(place).over(w) == F.col(place) - 1) & (own > F.lag(own).over(w)),
-        "total": F.col("k3") > F.lag("k3").over(w),
-    })
+    placed = scan.ranged(rows.where(F.col(place) > 0), by, [place])
+    seen = scan.plain(scan.neighbours(placed, by, [place], F.struct(F.col(place).alias("place"), own.alias("keys")), "_before", "_after"))
+    seen = seen.withColumns({
+        "order": (F.col("_before.place") == F.col(place) - 1) & (own > F.col("_before.keys")),
+        "total": F.col("k3") > F.col("_before.keys.k3"),
+    }).drop("_before", "_after")
     seen = seen.unionByName(rows.where(F.col(place) == 0), allowMissingColumns=True)
     taken = F.col("selected").isin("TR", "BÖLGE")
     left = rows.where((F.col("selected") == "-") & (F.col("k3") >= least)).groupBy(*by, F.coalesce(region, F.lit(0)).alias("_region")).agg(F.max(own).alias("_left"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 
 def tally_sets(rows: DataFrame, value: str, group: str, flags: dict[str, Column]) -> DataFrame:
     """Counts of each flag by value and by (group, value) in one pass; a blank value is called by name."""
@@ -34,10 +36,9 @@ def unpivot(rows: DataFrame, keys: Sequence[str], columns: dict[str, str], event
 
 
 def neighbour_anomalies(rows: DataFrame, by: Sequence[str], time: str, order: Sequence[str], ratio: float = 1.45, low: float = 0.6, high: float = 3.0) -> DataFrame:
-    """Times far from the mean of both neighbours or from the group's median; groups of three at least."""
-    timed = rows.where(F.col(time) > 0)
-    w = Window.partitionBy(*by).orderBy(*order)
-    near = (F.lag(time).over(w) + F.lead(time).over(w)) / 2
+    """Times far from the mean of both neighbours or from the group's median; groups of three at least. A group is spread over ranges of ``order``."""
+    timed = scan.neighbours(scan.ranged(rows.where(F.col(time) > 0), by, order), by, order, time, "_before", "_after")
+    near = (F.col("_before") + F.col("_after")) / 2
     t = F.col(time)
     # One row for each group; a percentile's partial states hold distinct times, not rows.
     whole = timed.groupBy(*(F.col(c).alias(f"_b{i}") for i, c in enumerate(by))).agg(F.median(time).alias("_median"), F.count(F.lit(1)).alias("_n"))
@@ -76,15 +77,31 @@ def top_of_group(rows: DataFrame, by: Sequence[str], order: Sequence[Column], n:
     return rows.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= n)
 
 
-def carry_forward(rows: DataFrame, by: Sequence[str], order: Sequence[str], header: Column, out: str, seed: Column | None = None) -> DataFrame:
-    """Add the last header at or before each row, else the seed."""
+def _spread(rows: DataFrame, by: Sequence[str], order: Sequence[str], spread: str) -> DataFrame:
+    """The rows with the part of their group that a task takes.
+
+    "ranges": by size, whatever the groups are, at the price of a written table.
+    "pages": by the values of the first column of ``order``. A third way, "whole", is
+    for groups that are known to be small, as a document's lines are.
+    """
+    if spread == "ranges":
+        return scan.ranged(rows, by, order)
+    return rows.withColumns({"_part": F.col(order[0]), "_tie": F.lit(0)})
+
+
+def carry_forward(rows: DataFrame, by: Sequence[str], order: Sequence[str], header: Column, out: str, seed: Column | None = None, spread: str = "ranges") -> DataFrame:
+    """Add the last header at or before each row, else the seed. ``spread`` says how a group is dealt to tasks."""
+    if spread != "whole":
+        return scan.plain(scan.carried(_spread(rows, by, order, spread), by, order, header, out, seed))
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     last = F.last(header, ignorenulls=True).over(w)
     return rows.withColumn(out, last if seed is None else F.coalesce(last, seed))
 
 
-def blocks(rows: DataFrame, by: Sequence[str], order: Sequence[str], starts: Column, out: str = "block") -> DataFrame:
-    """Number the blocks that begin at each start row; rows before the first are block 0."""
+def blocks(rows: DataFrame, by: Sequence[str], order: Sequence[str], starts: Column, out: str = "block", spread: str = "ranges") -> DataFrame:
+    """Number the blocks that begin at each start row; rows before the first are block 0. ``spread`` as in ``carry_forward``."""
+    if spread != "whole":
+        return scan.plain(scan.counted(_spread(rows, by, order, spread), by, order, starts, out))
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn(out, F.sum(F.when(starts, 1).otherwise(0)).over(w).cast("long"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +49,18 @@ def shared_dir(spark: SparkSession) -> str:
     own = tempfile.mkdtemp(prefix="splitboard-")
     spark.conf.set("spark.checkpoint.dir", own)
     return own
+
+
+def files(spark: SparkSession, path: str, do):
+    """What ``do`` returns for the path's file system and path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return do(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows, written once to the shared folder and read back; the files go when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/splitboard-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    files(spark, path, lambda fs, at: fs.deleteOnExit(at))
+    return spark.read.schema(df.schema).parquet(path)

@@ -11,24 +11,20 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators.state import upsert_min
+from ..session import files
 
 
-def landing(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", files: int = 10) -> DataFrame:
-    return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files).load(path)
-
-
-def _files(spark: SparkSession, path: str, do):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return do(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at)
+def landing(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", most: int = 10) -> DataFrame:
+    return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", most).load(path)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    return _files(spark, path, lambda fs, at: fs.exists(at))
+    return files(spark, path, lambda fs, at: fs.exists(at))
 
 
 def _names(spark: SparkSession, path: str, prefix: str) -> list[int]:
     """The numbers of a folder's parts that are called by the prefix and a number."""
-    found = _files(spark, path, lambda fs, at: [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else [])
+    found = files(spark, path, lambda fs, at: [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else [])
     return sorted(int(n.removeprefix(prefix)) for n in found if n.startswith(prefix))
 
 
@@ -74,7 +70,7 @@ def upsert_stream(
         merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/v={number}")
         for b in touched:
             for v in states.get(b, [])[:-1]:
-                _files(spark, f"{target}/v={v}/bucket={b}", lambda fs, at: fs.delete(at, True))
+                files(spark, f"{target}/v={v}/bucket={b}", lambda fs, at: fs.delete(at, True))
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
