@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, ship
 
 #: Counters that are buffered before they go into tries, and that tries have before they are emitted.
-BUFFERED, HELD = 100_000, 200_000
+BUFFERED, HELD = 300_000, 600_000
 #: Cells that a traversal takes together, pairs of cells that are computed together, and sums of pairs that are held.
 CELLS, PAIRS, SUMS = 20_000, 2_000_000, 200_000
 #: What each byte counts as: separators are blanks, A-Z are lower-cased. Bytes from 0x80 on belong to terms.
@@ -103,19 +103,36 @@ class Tries:
 
     def emit(self, least_docs: int = 0) -> Iterator[pa.RecordBatch]:
         """The leaves, by language and byte order; afterwards there are none."""
-        rows: list[tuple] = []
         for lang in sorted(self.by_lang):
+            terms, docs, sources, counts, ends = [], [], [], [], [0]
             for term, node in self.by_lang[lang].leaves():
-                if node.docs >= least_docs:
-                    rows.append((lang, term, node.docs, list(node.counts), list(node.counts.values())))
-                if len(rows) >= CELLS:
-                    yield _batch(rows, LEAVES)
-                    rows = []
-        if rows:
-            yield _batch(rows, LEAVES)
+                if node.docs < least_docs:
+                    continue
+                terms.append(term)
+                docs.append(node.docs)
+                sources += node.counts
+                counts += node.counts.values()
+                ends.append(len(counts))
+                if len(terms) >= CELLS:
+                    yield _leaves(lang, terms, docs, sources, counts, ends)
+                    terms, docs, sources, counts, ends = [], [], [], [], [0]
+            if terms:
+                yield _leaves(lang, terms, docs, sources, counts, ends)
         self.__init__()
 
 
+def _leaves(lang: str, terms: list, docs: list, sources: list, counts: list, ends: list) -> pa.RecordBatch:
+    """Leaves of one language; their sources and counts are laid end to end."""
+    ends = pa.array(ends, pa.int32())
+    lists = (pa.ListArray.from_arrays(ends, pa.array(flat, kind)) for flat, kind in ((sources, pa.string()), (counts, pa.int64())))
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(terms), pa.string()), pa.array(terms, pa.binary()), pa.array(docs, pa.int64()), *lists], schema=LEAVES)
+
+
+def _values(column: pa.Array) -> list:
+    """Python values of a flat column without nulls."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*rows), schema)], schema=schema)
 
@@ -148,8 +165,7 @@ def count_terms():
             seen.clear()
 
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), texts):
+            for lang, source, text in zip(*(_values(batch.column(c)) for c in ("lang", "source")), batch.column("text").cast(pa.binary())):
                 terms = text.as_py().translate(AS_TERM).split()
                 counts[lang, source].update(terms)
                 seen[lang].update(set(terms))
@@ -167,21 +183,28 @@ def merge_tries(least_docs: int):
     """Merge the tries of a range, sorted by (lang, term); only terms of enough documents stay."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries, last = Tries(), None
+        tries, last, node = Tries(), (None, b""), None
         for batch in batches:
-            for lang, term, docs, sources, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                if (lang, term) != last:
+            lang, term, docs, sources, counts = batch.columns
+            ends, documents = sources.offsets.to_numpy(), _values(docs)
+            ends = (ends - ends[0]).tolist()
+            sources, counts = _values(sources.flatten()), _values(counts.flatten())
+            for row, own in enumerate(zip(_values(lang), _values(term))):
+                if own != last:
                     # A term's leaves are neighbours, so the tries are whole here.
                     if tries.held >= HELD:
                         yield from tries.emit(least_docs)
-                    last = (lang, term)
-                node = tries.by_lang[lang].leaf(term)
-                node.docs += docs
+                    last, node = own, tries.by_lang[own[0]].leaf(own[1])
+                    tries.held += 1
+                node.docs += documents[row]
                 held = node.counts
-                before = len(held)
-                for source, n in zip(sources, counts):
-                    held[source] = held.get(source, 0) + n
-                tries.held += len(held) - before
+                for i in range(ends[row], ends[row + 1]):
+                    source = sources[i]
+                    if source in held:
+                        held[source] += counts[i]
+                    else:
+                        held[source] = counts[i]
+                        tries.held += 1
         yield from tries.emit(least_docs)
 
     return merge
@@ -199,7 +222,7 @@ def traverse(top: int):
         best: dict[tuple, list] = defaultdict(list)
 
         def visit(table: pa.Table) -> None:
-            lang, term, source = (table.column(c).to_pylist() for c in ("lang", "term", "source"))
+            lang, term, source = (table.column(c).to_numpy().tolist() for c in ("lang", "term", "source"))
             p, zero, whole = (table.column(c).to_numpy() for c in ("p", "zero", "whole"))
             known: dict[tuple, int] = {}
             group = np.array([known.setdefault(g, len(known)) for g in zip(lang, source)])
