@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+import struct
 from collections.abc import Iterable, Iterator
 from itertools import takewhile
 
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 from .bpe import NEW_LETTERS, NEW_NUMBERS, Bpe
 from .common import ship
 
-#: States that a transducer holds, and pieces that a worker remembers, at most.
-STATES, REMEMBERED = 100_000, 300_000
+#: States that a transducer holds, and pieces that a worker remembers in each of two generations, at most.
+STATES, REMEMBERED = 150_000, 300_000
 #: Tokens that the decoder takes together.
 CHUNK = 4096
 
@@ -112,20 +114,26 @@ class Transducer:
         return found
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple]:
-        after = []
+        children, token, follow = self.children, self.token, self.ranks.can_follow
+        after, whole = [], False
         for last, node, had in self.configs[state]:
-            node = self.children[node].get(byte)
+            node = children[node].get(byte)
             if node is None:
                 continue
-            if self.children[node]:
+            if children[node]:
                 after.append((last, node, had))
-            token = self.token[node]
-            if token >= 0 and (last < 0 or self.ranks.can_follow(last, token)):
-                after.append((token, 0, (*had, token)))
-        had = [c[2] for c in after]
-        shared = sum(1 for _ in takewhile(lambda column: len(set(column)) == 1, zip(*had)))
-        out = had[0][:shared]
-        configs = tuple((last, node, own[shared:]) for last, node, own in after)
+            # An opening has one encoding, so one token at most ends here.
+            if not whole and token[node] >= 0 and (last < 0 or follow(last, token[node])):
+                whole = True
+                after.append((token[node], 0, (*had, token[node])))
+        out = after[0][2]
+        for _, _, had in after:
+            if out != had[: len(out)]:
+                out = tuple(t for t, _ in takewhile(lambda pair: pair[0] == pair[1], zip(out, had)))
+            if not out:
+                break
+        shared = len(out)
+        configs = tuple((last, node, had[shared:]) for last, node, had in after) if shared else tuple(after)
         if len(self.configs) >= self.limit and configs not in self.number:
             for table in (self.configs, self.number, self.moves, self.rest):
                 table.clear()
@@ -134,6 +142,17 @@ class Transducer:
         move = self.moves[state][byte] = (self._state(configs), out)
         return move
 
+    def encode(self, piece: bytes) -> list[int]:
+        """Token numbers of a whole piece."""
+        state, moves, taken = 0, self.moves, []
+        for byte in piece:
+            move = moves[state].get(byte) or self._move(state, byte)
+            state = move[0]
+            if move[1]:
+                taken += move[1]
+        taken += self.rest[state]
+        return taken
+
     def stream(self, piece: Iterable[int]) -> Iterator[int]:
         """Token numbers as soon as no reading of the bytes so far has another token."""
         state = 0
@@ -249,8 +268,9 @@ class ByteBpe:
     def _begin(self) -> None:
         self.transducer = Transducer(self.ranks)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.split = regex.compile(self.pattern)
-        self.new = regex.compile(f"[{NEW_LETTERS}{NEW_NUMBERS}]")
+        self.new = re.compile(f"[{NEW_LETTERS}{NEW_NUMBERS}]")
 
     def __getstate__(self):
         return self.ranks, self.pattern
@@ -261,25 +281,33 @@ class ByteBpe:
 
     def pieces(self, text: str) -> list[str]:
         """The pattern's matches, by the letters and numbers of Unicode 16."""
-        if text.isascii() or not self.new.search(text):
+        try:
+            text.encode("latin-1")
             return self.split.findall(text)
+        except UnicodeEncodeError:
+            if not self.new.search(text):
+                return self.split.findall(text)
         # Newer letters and numbers are neither to the library, as private characters are.
         return [text[m.start() : m.end()] for m in self.split.finditer(self.new.sub("\ue000", text))]
 
     def _piece(self, piece: str) -> bytes:
-        raw = piece.encode("utf-8", "replace")
-        whole = self.ranks.tokens.get(raw)
-        ids = [whole] if whole is not None else [self.ranks.ids[n] for n in self.transducer.stream(raw)]
-        out = np.array(ids, "<u4").tobytes()
+        out = self.older.get(piece)
+        if out is None:
+            raw = piece.encode("utf-8", "replace")
+            whole = self.ranks.tokens.get(raw)
+            ids = [whole] if whole is not None else [self.ranks.ids[n] for n in self.transducer.encode(raw)]
+            out = struct.pack(f"<{len(ids)}I", *ids)
         if len(self.known) >= REMEMBERED:
+            # What has not been met since the last time goes.
+            self.older = dict(self.known)
             self.known.clear()
         self.known[piece] = out
         return out
 
     def encode(self, text: str) -> bytes:
         """Token ids as little-endian unsigned 32-bit integers."""
-        known = self.known
-        return b"".join([known.get(p) or self._piece(p) for p in self.pieces(text)])
+        known = self.known.get
+        return b"".join([known(p) or self._piece(p) for p in self.pieces(text)])
 
 
 class ByteDecoder:
