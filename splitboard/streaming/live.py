@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators.state import upsert_min
-from ..session import files
+from ..session import files, shared_dir
 
 
 def landing(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", most: int = 10) -> DataFrame:
@@ -68,9 +68,14 @@ def upsert_stream(
         old = _read(spark, target, {b: states[b][-1] for b in touched if b in states}, schema)
         merged = upsert_min(old, batch, key, time, order).select("*", bucket)
         merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/v={number}")
+        old_versions = {v for b in touched for v in states.get(b, [])[:-1]}
         for b in touched:
             for v in states.get(b, [])[:-1]:
                 files(spark, f"{target}/v={v}/bucket={b}", lambda fs, at: fs.delete(at, True))
+        # A version without buckets goes, so there are never more versions than twice the buckets.
+        for v in old_versions:
+            if not _names(spark, f"{target}/v={v}", "bucket="):
+                files(spark, f"{target}/v={v}", lambda fs, at: fs.delete(at, True))
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
@@ -97,9 +102,47 @@ def tumbling_counts(stream: DataFrame, time: str, width: str, late: str, by: Seq
     )
 
 
-def run_to_memory(df: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a streaming query over what has arrived, to its end, into an in-memory table. For results of bounded size."""
-    name = f"live_{uuid.uuid4().hex}"
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def session_counts(stream: DataFrame, time: str, gap: str, late: str, by: Sequence[str], value: str) -> DataFrame:
+    """Counts and sums of runs of rows without a longer gap between them; a run comes out once the watermark has passed its end."""
+    return (
+        stream.withWatermark(time, late)
+        .groupBy(F.session_window(time, gap).alias("w"), *by)
+        .agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(value), 4).alias("total"))
+        .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, "n", "total")
+    )
+
+
+def started_and_finished(starts: DataFrame, results: DataFrame, key: Sequence[str], time: str, within: str, late: str) -> DataFrame:
+    """Every start with its results of the next ``within``, and starts without any once none can come.
+
+    ``time`` is a column of both; the results' comes out as ``finished``, null for a
+    start that is still pending when the watermark has passed its time and ``within``.
+    Rows that no later row can match leave the state.
+    """
+    left = starts.withWatermark(time, late)
+    names = {c: f"_{c}" for c in key}
+    right = results.withColumnsRenamed({**names, time: "finished"}).withWatermark("finished", late)
+    on = [F.col(c) == F.col(names[c]) for c in key]
+    on += [F.col("finished") >= F.col(time), F.col("finished") <= F.col(time) + F.expr(f"INTERVAL {within}")]
+    return left.join(right, on, "left_outer").drop(*names.values())
+
+
+def run_to_table(df: DataFrame, mode: str = "append", checkpoint: str | None = None, target: str | None = None) -> DataFrame:
+    """Run a streaming query over what has arrived, to its end, and read what it wrote.
+
+    What is appended goes through the file sink, each row once; a complete result is
+    written anew by each batch. Nothing passes through the driver. Give ``checkpoint``
+    and ``target`` to go on with an earlier run; else both are new folders in the
+    shared one.
+    """
+    spark = df.sparkSession
+    root = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
+    checkpoint, target = checkpoint or f"{root}/progress", target or f"{root}/table"
+    files(spark, root, lambda fs, at: fs.deleteOnExit(at))
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").start(target)
+    else:
+        query = writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(target)).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    return spark.read.schema(df.schema).parquet(target)
