@@ -366,7 +366,7 @@ def stream_tumbling(spark, sf_dir):
 
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = live.run_to_memory(live.tumbling_counts(stream, "ts", "1 day", "0 seconds", ["event_type"], "value"))
+    out = live.run_to_table(live.tumbling_counts(stream, "ts", "1 day", "0 seconds", ["event_type"], "value"), "complete")
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 

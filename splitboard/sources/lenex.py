@@ -1,120 +1,44 @@
-"""Lenex meets: ZIP or XML bytes to results, entries and the meet's date."""
+"""Lenex meets: results, entries and dates from the rows that ``archive`` parses."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-from xml.etree import ElementTree
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import DISTANCES, STROKES
 from ..functions.times import lenex_time, parse_birthdate, race_date
+from . import archive
 
 
-def archive_text(content: pd.Series) -> pd.Series:
-    """XML text of each archive (its first .lef or .xml member) or of plain XML; null if it is neither.
-
-    A real parser reads the document in its own encoding; it is written out again in one
-    form (double quotes, entities resolved, no namespaces or comments), from which the
-    expressions below take elements and attributes.
-    """
-
-    def one(raw: bytes | None) -> str | None:
-        try:
-            if raw and raw[:2] == b"PK":
-                with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                    name = next((n for n in z.namelist() if n.lower().endswith((".lef", ".xml"))), None)
-                    raw = z.read(name) if name else None
-            if not raw:
-                return None
-            root = ElementTree.fromstring(raw)
-            for element in root.iter():
-                element.tag = element.tag.rpartition("}")[2]
-            return ElementTree.tostring(root, encoding="unicode")
-        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, LookupError, ValueError):
-            return None
-
-    return content.map(one)
-
-
-def read_meets(spark: SparkSession, path: str) -> DataFrame:
-    """(path, xml) of the files of a landing folder."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.pandas_udf(archive_text, "string")("content").alias("xml")).where("xml IS NOT NULL")
-
+def read_meets(spark: SparkSession, path: str, rows: str = "results") -> DataFrame:
+    """Rows of the files of a landing folder, by the data source; ``rows`` as there."""
+    archive.register(spark)
+    return spark.read.format("meet_archive").option("rows", rows).load(path)
 
-def _elements(xml: Column, tag: str) -> Column:
-    return F.regexp_extract_all(xml, F.lit(rf"(?s)<{tag}\b[^>]*?(?:/>|>.*?</{tag}>)"), F.lit(0))
 
-
-def _open(element: Column) -> Column:
-    return F.regexp_extract(element, r"^<[^>]*>", 0)
-
-
-def _attribute(element: Column, name: str) -> Column:
-    value = F.regexp_extract(_open(element), rf'\b{name}="([^"]*)"', 1)
-    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#09;", " "), ("&#10;", " "), ("&#13;", " "), ("&amp;", "&")):
-        value = F.replace(value, F.lit(entity), F.lit(sign))
-    return value
-
-
-def events(meets: DataFrame) -> DataFrame:
-    """(path, eventid, stroke, distance) without relays and unknown styles."""
-    each = meets.select("path", F.explode(_elements(F.col("xml"), "EVENT")).alias("e"))
-    style = F.regexp_extract("e", r"<SWIMSTYLE\b[^>]*>", 0)
+def _valid(swims: DataFrame) -> DataFrame:
+    """Individual swims of known styles and distances, with the person's columns. A gender other than a woman's counts as M."""
     names = F.create_map(*[F.lit(x) for pair in STROKES.items() for x in pair])
-    rows = each.select(
-        "path",
-        _attribute(F.col("e"), "eventid").alias("eventid"),
-        names[_attribute(style, "stroke")].alias("stroke"),
-        _attribute(style, "distance").try_cast("int").alias("distance"),
-        (F.col("e").contains("<RELAY") | (F.upper(_attribute(style, "relay")) == "YES") | (F.coalesce(_attribute(style, "relaycount").try_cast("int"), F.lit(1)) > 1)).alias("relay"),
-    )
-    return rows.where(~F.col("relay") & F.col("stroke").isNotNull() & F.col("distance").isin(*DISTANCES)).drop("relay")
-
-
-def athletes(meets: DataFrame) -> DataFrame:
-    """(path, club, athlete element, name, gender, birth year): three nested explodes, each a narrow row."""
-    clubs = meets.select("path", F.explode(_elements(F.col("xml"), "CLUB")).alias("c"))
-    people = clubs.select("path", _attribute(F.col("c"), "name").alias("club"), F.explode(_elements(F.col("c"), "ATHLETE")).alias("a"))
-    return people.select(
-        "path",
-        "club",
-        "a",
-        F.trim(F.concat_ws(" ", _attribute(F.col("a"), "firstname"), _attribute(F.col("a"), "lastname"))).alias("name"),
-        _attribute(F.col("a"), "gender").alias("gender"),
-        parse_birthdate(_attribute(F.col("a"), "birthdate")).alias("birth_year"),
-    )
+    woman = F.upper("gender").isin("F", "FEMALE", "W")
+    out = swims.where(~F.col("relay") & names[F.col("stroke")].isNotNull() & F.col("distance").isin(*DISTANCES))
+    return out.withColumns({"stroke": names[F.col("stroke")], "gender": F.when(woman, "F").otherwise("M"), "birth_year": parse_birthdate(F.col("birthdate")), "cents": lenex_time(F.col("time"))})
 
 
-def results(meets: DataFrame) -> DataFrame:
-    """One row per valid individual result; unmatched events, disqualifications and times under a second go."""
-    each = athletes(meets).select("*", F.explode(_elements(F.col("a"), "RESULT")).alias("r")).drop("a")
-    timed = each.select(
-        "path", "club", "name", "gender", "birth_year",
-        _attribute(F.col("r"), "eventid").alias("eventid"),
-        F.upper(_attribute(F.col("r"), "status")).alias("status"),
-        lenex_time(_attribute(F.col("r"), "swimtime")).alias("cents"),
-    )
-    valid = timed.where(~F.col("status").isin("DSQ", "DQ", "DNS", "DNF") & (F.col("cents") >= 100)).drop("status")
-    return valid.join(events(meets), ["path", "eventid"]).withColumn("source", F.lit("lenex"))
+def results(swims: DataFrame) -> DataFrame:
+    """One row per valid individual result of a club; unmatched events, disqualifications and times under a second go."""
+    valid = _valid(swims).where((F.col("club") != "") & ~F.upper("status").isin("DSQ", "DQ", "DNS", "DNF") & (F.col("cents") >= 100))
+    return valid.select("path", "event_id", "club", "name", "gender", "birth_year", "cents", "stroke", "distance", F.lit("lenex").alias("source"))
 
 
-def entries(meets: DataFrame) -> DataFrame:
+def entries(swims: DataFrame) -> DataFrame:
     """One row per individual entry of an athlete with a birth year; the time may be null."""
-    each = athletes(meets).where("birth_year IS NOT NULL").select("*", F.explode(_elements(F.col("a"), "ENTRY")).alias("r")).drop("a")
-    timed = each.select("path", "club", "name", "gender", "birth_year", _attribute(F.col("r"), "eventid").alias("eventid"), lenex_time(_attribute(F.col("r"), "entrytime")).alias("entry_cents"))
-    return timed.join(events(meets), ["path", "eventid"])
+    valid = _valid(swims).where("birth_year IS NOT NULL")
+    return valid.select("path", "event_id", "club", "name", "gender", "birth_year", F.col("cents").alias("entry_cents"), "stroke", "distance")
 
 
 def meet_dates(meets: DataFrame) -> DataFrame:
     """(path, race_date): the meet's start, else its first session."""
-    start = _attribute(F.regexp_extract("xml", r"<MEET\b[^>]*>", 0), "startdate")
-    session = _attribute(F.regexp_extract("xml", r"<SESSION\b[^>]*>", 0), "date")
-    return meets.select("path", race_date(F.coalesce(F.nullif(start, F.lit("")), session)).alias("race_date"))
+    return meets.select("path", race_date(F.coalesce(F.nullif("start", F.lit("")), "session")).alias("race_date"))
 
 
 def first_accepted(candidates: DataFrame, key: str, priority: str, content: str) -> DataFrame:

@@ -76,7 +76,8 @@ def pending_changes(starts: DataFrame, results: DataFrame, event: Sequence[str],
     starts of it are over at once.
     """
     columns = ["kind", *event, gender, person, "list_no", "list_clock"]
-    clock = F.timestamp_seconds(F.col(seq).cast("long"))
+    # A clock that stands at 0 drops what isn't later, so number 0 is second 1.
+    clock = F.timestamp_seconds(F.col(seq).cast("long") + 1)
     one = starts.select(F.lit("start").alias("kind"), *event, F.coalesce(gender, F.lit("")).alias(gender), F.col(person).cast("string").alias(person), F.lit(None).cast("long").alias("list_no"), F.lit(None).cast("timestamp").alias("list_clock"))
     two = results.select(F.lit("result").alias("kind"), *event, F.coalesce(gender, F.lit("")).alias(gender), F.col(person).cast("string").alias(person), F.col(seq).cast("long").alias("list_no"), clock.alias("list_clock"))
     both = one.select(columns).unionByName(two.select(columns)).withWatermark("list_clock", f"{late} seconds")
@@ -114,7 +115,7 @@ def pending_changes(starts: DataFrame, results: DataFrame, event: Sequence[str],
                     if not self.first.containsKey((g,)) or n < self.first.getValue((g,))[0]:
                         self.first.updateValue((g,), (n,))
                         # Just after its number: a later one has come when the clock passes it.
-                        self.handle.registerTimer(n * 1000 + 1)
+                        self.handle.registerTimer(_closes(n))
                     self.done.updateValue((who,), (True,))
                     for state in [s for s in self.starts.keys() if s[0] == who]:
                         found.append((state[1], who, "done"))
@@ -123,7 +124,7 @@ def pending_changes(starts: DataFrame, results: DataFrame, event: Sequence[str],
 
         def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             at = expiredTimerInfo.getExpiryTimeInMs()
-            closed = {g for (g,), (n,) in self.first.iterator() if n * 1000 + 1 <= at}
+            closed = {g for (g,), (n,) in self.first.iterator() if _closes(n) <= at}
             for g in closed:
                 self.over.updateValue((g,), (True,))
             found = []
@@ -140,6 +141,11 @@ def pending_changes(starts: DataFrame, results: DataFrame, event: Sequence[str],
     return both.groupBy(*event).transformWithStateInPandas(Pending(), outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
+def _closes(n: int) -> int:
+    """The clock's millisecond just after a number."""
+    return (n + 1) * 1000 + 1
+
+
 _STATUS = StructType().add("status", "string").fields
 
 

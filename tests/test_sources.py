@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from splitboard.functions.text import normalize_for_lookup
 from splitboard.sinks import files
-from splitboard.sources import html, lenex, lines, sheets
+from splitboard.sources import archive, html, lenex, lines, sheets
 from splitboard.streaming import live
 
 MEET = """<?xml version="1.0"?><LENEX><MEETS><MEET startdate="2026-01-02"><SESSIONS><SESSION date="2026-01-03"><EVENTS>
@@ -32,13 +32,13 @@ def test_lenex(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "m.lxf", "w") as z:
         z.writestr("m.lef", MEET)
     (tmp_path / "broken.lxf").write_bytes(b"PK\x03\x04nothing")
-    meets = lenex.read_meets(spark, str(tmp_path))
-    rows = lenex.results(meets).collect()
+    rows = lenex.results(lenex.read_meets(spark, str(tmp_path))).collect()
     assert [(r.name, r.birth_year, r.stroke, r.distance, r.cents, r.gender) for r in rows] == [("Ada Deniz", 2013, "Serbest", 50, 3005, "F")]
     assert rows[0].club.startswith("Test & ")
-    assert sorted((r.name, r.entry_cents) for r in lenex.entries(meets).collect() if r.entry_cents) == [("Ada Deniz", 2900)]
-    assert lenex.entries(meets).count() == 2
-    assert lenex.meet_dates(meets).first().race_date == "2026.01.02"
+    entered = lenex.entries(lenex.read_meets(spark, str(tmp_path), "entries"))
+    assert sorted((r.name, r.entry_cents) for r in entered.collect() if r.entry_cents) == [("Ada Deniz", 2900)]
+    assert entered.count() == 2
+    assert lenex.meet_dates(lenex.read_meets(spark, str(tmp_path), "meets")).first().race_date == "2026.01.02"
 
 
 def test_first_accepted(spark):
@@ -128,9 +128,32 @@ def test_meet_documents(spark):
     """Single quotes, entities, encodings, comments and name spaces, by a real parser."""
     body = "<LENEX xmlns='urn:x'><MEETS><MEET startdate='2026-01-02'><!-- <CLUB name='gone'/> --><EVENTS><EVENT eventid='1'><SWIMSTYLE distance='50' stroke='FREE'/></EVENT></EVENTS><CLUBS><CLUB name='M&#252;ller &amp; K\u00f6'><ATHLETES><ATHLETE firstname='A' lastname='B' birthdate='2013-01-01' gender='F'><RESULTS><RESULT eventid='1' swimtime='00:00:30.05'/></RESULTS></ATHLETE></ATHLETES></CLUB></CLUBS></MEET></MEETS></LENEX>"
     raw = [f"<?xml version='1.0' encoding='{e}'?>{body}".encode(e) for e in ("utf-8", "iso-8859-9", "utf-16")] + [b"<broken", b"", b"plain"]
-    texts = spark.createDataFrame([(str(i), t) for i, t in enumerate(lenex.archive_text(pd.Series(raw)))], "path string, xml string").where("xml IS NOT NULL")
-    assert sorted((r.path, r.club, r.cents) for r in lenex.results(texts).collect()) == [(str(i), "M\u00fcller & K\u00f6", 3005) for i in range(3)]
-    assert {r.race_date for r in lenex.meet_dates(texts).collect()} == {"2026.01.02"}
+    files = spark.createDataFrame([(str(i), bytearray(t)) for i, t in enumerate(raw)] + [("none", None)], "path string, content binary")
+    assert sorted((r.path, r.club, r.cents) for r in lenex.results(archive.parsed(files, "results")).collect()) == [(str(i), "M\u00fcller & K\u00f6", 3005) for i in range(3)]
+    assert {r.race_date for r in lenex.meet_dates(archive.parsed(files, "meets")).collect()} == {"2026.01.02"}
+
+
+def test_archive_source(spark, tmp_path):
+    """Files are written by tasks and committed, read by columns and filters, and lost ones are not half there."""
+    archive.register(spark)
+    out = str(tmp_path / "meets")
+    texts = [(f"m{i}.lxf", MEET.replace("Ada", f"Ada{i}")) for i in range(6)]
+    df = spark.createDataFrame(texts, "name string, content string").repartition(3)
+    df.write.format("meet_archive").option("archive", "true").mode("overwrite").save(out)
+    read = spark.read.format("meet_archive").load(out)
+    assert sorted(p.name for p in (tmp_path / "meets").iterdir()) == [n for n, _ in texts] and read.rdd.getNumPartitions() == 6
+    assert {r.path.rsplit("/", 1)[-1] for r in read.where("name = 'Ada3 Deniz' AND distance = 50").collect()} == {"m3.lxf"}
+    some = spark.read.format("meet_archive").schema("club string, distance int").option("names", "m2.lxf,m4.lxf").load(out)
+    assert some.columns == ["club", "distance"] and some.rdd.getNumPartitions() == 2 and 3 * some.count() == read.count()
+    lines_ = spark.createDataFrame([("a.txt", "one\ntwo\n\fthree"), ("b.txt", "")], "name string, content string")
+    lines_.write.format("meet_archive").mode("append").save(str(tmp_path / "lists"))
+    got = spark.read.format("meet_archive").option("rows", "lines").load(str(tmp_path / "lists")).collect()
+    assert [tuple(r) for r in sorted(got)] == [("a", 1, 1, "one"), ("a", 1, 2, "two"), ("a", 2, 1, "three")]
+    broken = df.select("name", F.when(F.col("name") == "m5.lxf", F.raise_error(F.lit("lost"))).otherwise(F.col("content")).cast("string").alias("content"))
+    with pytest.raises(Exception, match="lost"):
+        broken.write.format("meet_archive").mode("append").save(str(tmp_path / "lost"))
+    left = list((tmp_path / "lost").iterdir()) if (tmp_path / "lost").exists() else []
+    assert all(p.name.startswith("_") for p in left) and spark.read.format("meet_archive").load(out).count() == read.count()
 
 
 def test_start_lines(spark):

@@ -39,7 +39,7 @@ def test_pending_events(spark, tmp_path):
     """Lists arrive one after another; an event closes when a later list has come."""
     starts, results, target, progress = (str(tmp_path / x) for x in ("starts", "results", "table", "progress"))
     first = [("free", "F", "ada"), ("free", "F", "ece"), ("free", "", "su"), ("back", "M", "ali"), ("back", "M", "can"), ("fly", "F", "ada")]
-    lists = [[("free", "F", "ada", 1)], [("back", "M", "ali", 2)], [("fly", "F", "eda", 3)]]
+    lists = [[("free", "F", "ada", 0)], [("back", "M", "ali", 2)], [("fly", "F", "eda", 3)]]
     s_schema, r_schema = "event string, gender string, person string", "event string, gender string, person string, seq long"
     _land(spark.createDataFrame(first, s_schema), starts)
     spark.createDataFrame([], r_schema).write.parquet(results)
