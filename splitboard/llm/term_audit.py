@@ -16,9 +16,11 @@ have the term, is summed over terms.
 
 from __future__ import annotations
 
+import gc
 import heapq
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, ship
 
-#: Counters that are buffered before they go into tries, and that tries have before they are emitted.
-BUFFERED, HELD = 300_000, 600_000
+#: Counters that a partition gathers before they go into tries and out, and that merged tries have before they are emitted.
+BUFFERED, HELD = 900_000, 600_000
 #: Cells that a traversal takes together, pairs of cells that are computed together, and sums of pairs that are held.
 CELLS, PAIRS, SUMS = 20_000, 2_000_000, 200_000
 #: What each byte counts as: separators are blanks, A-Z are lower-cased. Bytes from 0x80 on belong to terms.
@@ -128,6 +130,16 @@ def _leaves(lang: str, terms: list, docs: list, sources: list, counts: list, end
     return pa.RecordBatch.from_arrays([pa.array([lang] * len(terms), pa.string()), pa.array(terms, pa.binary()), pa.array(docs, pa.int64()), *lists], schema=LEAVES)
 
 
+@contextmanager
+def _without_cycles() -> Iterator[None]:
+    """Tries have no cycles; looking for some takes as long as building them."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def _values(column: pa.Array) -> list:
     """Python values of a flat column without nulls."""
     return column.to_numpy(zero_copy_only=False).tolist()
@@ -141,28 +153,24 @@ def count_terms():
     """Tries of a partition of (lang, source, text), as leaves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries = Tries()
         counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
         seen: dict[str, Counter] = defaultdict(Counter)
 
-        def insert() -> None:
-            for lang, docs in seen.items():
-                trie = tries.by_lang[lang]
-                own = {}
-                for term, n in docs.items():
-                    own[term] = node = trie.leaf(term)
-                    node.docs += n
-                for (of, source), counter in counts.items():
-                    if of == lang:
-                        for term, n in counter.items():
-                            held = own[term].counts
-                            if source in held:
-                                held[source] += n
-                            else:
-                                held[source] = n
-                                tries.held += 1
-            counts.clear()
-            seen.clear()
+        def grown() -> Iterator[pa.RecordBatch]:
+            tries = Tries()
+            with _without_cycles():
+                for lang, docs in seen.items():
+                    trie, own = tries.by_lang[lang], {}
+                    # In order, a term's path was just walked by the one before.
+                    for term in sorted(docs):
+                        own[term] = node = trie.leaf(term)
+                        node.docs = docs[term]
+                    for of, source in list(counts):
+                        if of == lang:
+                            for term, n in counts.pop((of, source)).items():
+                                own[term].counts[source] = n
+                seen.clear()
+                yield from tries.emit()
 
         for batch in batches:
             for lang, source, text in zip(*(_values(batch.column(c)) for c in ("lang", "source")), batch.column("text").cast(pa.binary())):
@@ -170,11 +178,8 @@ def count_terms():
                 counts[lang, source].update(terms)
                 seen[lang].update(set(terms))
             if sum(map(len, counts.values())) >= BUFFERED:
-                insert()
-                if tries.held >= HELD:
-                    yield from tries.emit()
-        insert()
-        yield from tries.emit()
+                yield from grown()
+        yield from grown()
 
     return run
 
@@ -184,28 +189,29 @@ def merge_tries(least_docs: int):
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries, last, node = Tries(), (None, b""), None
-        for batch in batches:
-            lang, term, docs, sources, counts = batch.columns
-            ends, documents = sources.offsets.to_numpy(), _values(docs)
-            ends = (ends - ends[0]).tolist()
-            sources, counts = _values(sources.flatten()), _values(counts.flatten())
-            for row, own in enumerate(zip(_values(lang), _values(term))):
-                if own != last:
-                    # A term's leaves are neighbours, so the tries are whole here.
-                    if tries.held >= HELD:
-                        yield from tries.emit(least_docs)
-                    last, node = own, tries.by_lang[own[0]].leaf(own[1])
-                    tries.held += 1
-                node.docs += documents[row]
-                held = node.counts
-                for i in range(ends[row], ends[row + 1]):
-                    source = sources[i]
-                    if source in held:
-                        held[source] += counts[i]
-                    else:
-                        held[source] = counts[i]
+        with _without_cycles():
+            for batch in batches:
+                lang, term, docs, sources, counts = batch.columns
+                ends, documents = sources.offsets.to_numpy(), _values(docs)
+                ends = (ends - ends[0]).tolist()
+                sources, counts = _values(sources.flatten()), _values(counts.flatten())
+                for row, own in enumerate(zip(_values(lang), _values(term))):
+                    if own != last:
+                        # A term's leaves are neighbours, so the tries are whole here.
+                        if tries.held >= HELD:
+                            yield from tries.emit(least_docs)
+                        last, node = own, tries.by_lang[own[0]].leaf(own[1])
                         tries.held += 1
-        yield from tries.emit(least_docs)
+                    node.docs += documents[row]
+                    held = node.counts
+                    for i in range(ends[row], ends[row + 1]):
+                        source = sources[i]
+                        if source in held:
+                            held[source] += counts[i]
+                        else:
+                            held[source] = counts[i]
+                            tries.held += 1
+            yield from tries.emit(least_docs)
 
     return merge
 
