@@ -11,7 +11,7 @@ from pathlib import Path
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a per-group table may be broadcast; beyond it a salted join is used.
@@ -59,7 +59,7 @@ class Scratch:
 
     def __exit__(self, *_) -> None:
         for path in self.passing:
-            _folder(self.spark, path, lambda fs, p: fs.delete(p, True))
+            discard(self.spark, path)
 
     def keep(self, df: DataFrame) -> DataFrame:
         return cut(df)
@@ -78,13 +78,18 @@ def _folder(spark: SparkSession, path: str, do) -> None:
     do(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at)
 
 
+def discard(spark: SparkSession, path: str, at_exit: bool = False) -> None:
+    """Delete a folder, now or when the application ends."""
+    _folder(spark, path, lambda fs, p: fs.deleteOnExit(p) if at_exit else fs.delete(p, True))
+
+
 def cut(df: DataFrame, passing: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, see ``Scratch``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/splitboard-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if passing is None:
-        _folder(spark, path, lambda fs, p: fs.deleteOnExit(p))
+        discard(spark, path, at_exit=True)
     else:
         passing.append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -104,12 +109,13 @@ def fitted(
 ) -> Any:
     """``fit`` of at most ``per_class`` (text, label) rows of each class 0 and 1, run in one task.
 
-    The identifiers are chosen first, by hash, from the narrow label table; whole
-    texts are then read for those alone. A label is the largest its document has, and
-    of several texts under one identifier the least counts; null labels and null
-    identifiers are left out. A class's texts are taken in the order of the hash until
-    ``SAMPLE_BYTES`` are reached, so the task is bounded, and reruns fit the same model.
-    Only the model comes to the driver. ``fit`` is a function of this package.
+    The identifiers are chosen first, by hash, from the narrow label table. Of those,
+    in the order of the hash, as many are taken as have ``SAMPLE_BYTES`` of text in
+    their class, by the lengths alone; whole texts are then read for these, so what the
+    task gets is bounded, and reruns fit the same model. A label is the largest its
+    document has, and of several texts under one identifier the least counts (the
+    longest for its length); null labels and null identifiers are left out. Only the
+    model comes to the driver. ``fit`` is a function of this package.
     """
     own = labels.where(learnable & F.col(label).isin(0, 1) & F.col(id_col).isNotNull())
     own = own.groupBy(id_col).agg(F.max(label).cast("int").alias("label"))
@@ -118,17 +124,16 @@ def fitted(
         part = own.where(F.col("label") == value).orderBy(F.xxhash64(id_col), id_col).limit(per_class)
         chosen = part if chosen is None else chosen.unionAll(part)
     chosen = chosen.select(F.col(id_col).alias("id"), "label")
-    # At most 2 * per_class narrow rows, so the broadcast has a fixed bound.
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body")).join(F.broadcast(chosen), "id")
-    rows = rows.groupBy("id", "label").agg(F.min("body").alias("body")).repartition(1).sortWithinPartitions(F.xxhash64("id"), "id")
+    # At most 2 * per_class narrow rows, so both broadcasts have a fixed bound.
+    bodies = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    lengths = bodies.select("id", F.octet_length("body").cast("long").alias("n")).join(F.broadcast(chosen), "id")
+    lengths = lengths.groupBy("id", "label").agg(F.max("n").alias("n"))
+    before = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, -1)
+    taken = lengths.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") < SAMPLE_BYTES).select("id", "label")
+    rows = bodies.join(F.broadcast(taken), "id").groupBy("id", "label").agg(F.min("body").alias("body")).repartition(1).sortWithinPartitions(F.xxhash64("id"), "id")
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sample, held = [], [0, 0]
-        for batch in batches:
-            for body, value in zip(batch["body"], batch["label"]):
-                if held[value] < SAMPLE_BYTES:
-                    held[value] += len(body.encode("utf-8", "replace"))
-                    sample.append((body, int(value)))
+        sample = [(body, int(value)) for batch in batches for body, value in zip(batch["body"], batch["label"])]
         yield pd.DataFrame({"model": [pickle.dumps(fit(sample))]})
 
     ship(docs.sparkSession)

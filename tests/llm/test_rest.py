@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 from itertools import combinations
 
 import corpus_pipeline
 from pyspark.sql import functions as F
-from splitboard.llm import license_texts, licenses
+from splitboard.llm import license_texts, licenses, queries
 from splitboard.llm.chat import BLOCK, rotate_perspectives
 from splitboard.llm.licenses import scan_licenses
 from splitboard.llm.mixing import mix_sources
@@ -96,6 +97,45 @@ def test_whole_licences(spark):
     assert rows[1].inherited_from == "m" and rows[7].inherited_from == "o"
 
 
+def test_marked_licence_files(spark, odd):
+    """A column says which files speak for their directory; it may have any name."""
+    df = spark.createDataFrame([(1, "a/terms", True, "Released under the MIT License."), (2, "a/f.py", False, "x"), (3, "a/LICENSE", None, "Licensed under CC BY-NC 4.0."), (4, None, True, "Released under the MIT License.")], "doc_id long, p string, speaks boolean, text string")
+    rows = {r.doc_id: (r.licence, r.inherited_from) for r in scan_licenses(df, F.col("p"), F.col("speaks")).collect()}
+    assert rows == {1: ("MIT", None), 2: ("MIT", "a"), 3: ("CC-BY-NC-4.0", None), 4: ("MIT", None)}
+    got = scan_licenses(odd, F.col("source"), F.col("label") == "clash").collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(r.doc_id) for r in odd.collect()) and not any(r.licence for r in got)
+
+
+def test_op4_against_plain_cosines(spark, sf):
+    """Every document's parts against every template by cosines written out, with frequencies counted here."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    find = re.compile(licenses.WORD).findall
+    known = [(n, Counter(find(t.lower())), short) for short, group in ((True, licenses.TEMPLATES), (False, licenses.TEXTS)) for n, t in group]
+    bags = {d: set(find(t.lower())) for d, t in docs.items()}
+    inside = {w for _, bag, _ in known for w in bag}
+    often = {w: sum(w in b for b in bags.values()) for w in inside}
+    weight = lambda w: math.log((1 + len(docs)) / (1 + often.get(w, 1))) + 1
+
+    def cosine(a, b):
+        norm = lambda x: math.sqrt(sum((n * weight(w)) ** 2 for w, n in x.items()))
+        return sum(n * b[w] * weight(w) ** 2 for w, n in a.items() if w in b) / (norm(a) * norm(b)) if a and b else 0.0
+
+    rows = {r.doc_id: r for r in queries.op4_licenses(spark, sf).collect()}
+    assert set(rows) == set(docs) and any(r.declared for r in rows.values())
+    for d, text in docs.items():
+        lines = text.lower().splitlines()
+        top = [Counter(find("\n".join(p))) for p in licenses.header(lines)]
+        wholes = [Counter(find(text.lower())), *top, sum(top, Counter())]
+        best = 0.0
+        for parts, texts_too in (([Counter(find(x)) for x in lines], False), (wholes, True)):
+            for part in parts:
+                best = max([best, *(cosine(part, bag) for _, bag, short in known if short or texts_too)])
+        if abs(best - licenses.THRESHOLD) > 1e-9:
+            assert (rows[d].declared is not None) == (best >= licenses.THRESHOLD), d
+            if rows[d].declared:
+                assert abs(rows[d].similarity - best) < 1e-9
+
+
 def test_pipeline(spark, sf):
     """Each stage on what the stage before kept."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
