@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splitboard.llm.bpe import encode_documents
-from splitboard.llm.common import shared_dir, table
+from splitboard.llm.common import discard, shared_dir, table
 from splitboard.llm.exact_dedup import content_sort
 from splitboard.llm.minhash import near_duplicates
 from splitboard.llm.mixing import mix_sources
@@ -23,7 +23,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts as good."""
+    """Documents that the quality classifier predicts as good.
+
+    Each row is judged by its text alone: null and empty texts by the score of no
+    terms, repeated rows alike, and a score of just 0.3 stays.
+    """
     scored = quality(docs, table(spark, sf_dir, "labels"), held_out(QUALITY_HELD_OUT))
     return scored.where("predicted = 1").select(*COLUMNS)
 
@@ -62,7 +66,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document of the mix."""
+    """Token ids of every document of the mix, one row for each copy; a null or empty text has none, a null identifier stays null."""
     return encode_documents(docs, vocabulary())
 
 
@@ -79,10 +83,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written to the shared folder and read again.
+
+    A stage's folder is deleted once the next one is written, the last one's when the
+    application ends.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            discard(spark, before)
+        before = path
+    discard(spark, before, at_exit=True)
     return docs
