@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .score import threshold_join
+
 
 def upsert_min(old: DataFrame, new: DataFrame, key: Sequence[str], time: str, order: str) -> DataFrame:
     """The row with the least time for each key; null loses, an equal time keeps the older row. No retraction."""
@@ -66,6 +68,17 @@ def pending(starts: DataFrame, results: DataFrame, event: Sequence[str], gender:
     return joined.where(~(F.coalesce("_active", F.lit(False)) & F.coalesce("_done", F.lit(False)))).drop("_active", "_done")
 
 
+def with_entry_points(starts: DataFrame, thresholds: DataFrame, event: Sequence[str], gender: str, time: str) -> DataFrame:
+    """Add ``entry_points``: what the entry time of a start would earn; 0 without one. A start without gender is scored as M.
+
+    ``thresholds`` has the event's columns, the gender, points and limit.
+    """
+    known = F.when(F.coalesce(gender, F.lit("")) == "", "M").otherwise(F.col(gender))
+    on = [*event, "_gender"]
+    scored = threshold_join(starts.withColumn("_gender", known), thresholds.withColumnRenamed(gender, "_gender"), on, time)
+    return scored.withColumn("entry_points", F.when(F.col(time) > 0, F.col("points")).otherwise(0)).drop("_gender", "points")
+
+
 DECISIONS = ("same_person", "different_person")
 
 

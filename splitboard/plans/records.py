@@ -174,6 +174,38 @@ def replace_partition(spark, sf_dir):
     return state.replace_partition(rows.where("o_orderkey % 3 = 0"), rows.where("o_orderstatus = 'F' AND o_orderkey % 2 = 0"), "o_orderstatus")
 
 
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT o_orderkey, -o_custkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
+def replace_on_storage(spark, sf_dir):
+    """All orders in a table by status; those of one status are replaced in it."""
+    import uuid
+
+    from ..session import files, shared_dir
+    from ..sinks import tables
+
+    path = f"{shared_dir(spark)}/orders-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    tables.write_table(rows, path, ["o_orderstatus"])
+    files(spark, path, lambda fs, at: fs.deleteOnExit(at))
+    tables.replace_partitions(rows.where("o_orderstatus = 'F'").withColumn("o_custkey", -F.col("o_custkey")), path, ["o_orderstatus"])
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+# Starts without gender count as M; the thresholds are those of the marks, by group.
+@query(""", v AS (SELECT *, seq // 500 AS ev FROM marks), r AS (SELECT * FROM v WHERE leg = 'F' AND ev % 2 = 0), s AS (SELECT athlete, ev, grp, seq, cents, points FROM (SELECT *, seq // 500 AS ev FROM scored) WHERE leg = 'O'),
+m AS (SELECT max(ev) AS mx FROM r), e AS (SELECT ev, grp, min(ev) AS sq FROM r GROUP BY 1, 2),
+o AS (SELECT ev, grp FROM e, m WHERE sq < mx), act AS (SELECT DISTINCT ev FROM e, m WHERE sq = mx), done AS (SELECT DISTINCT athlete, ev FROM r, m WHERE ev = mx)
+SELECT athlete, ev, grp, seq, CASE WHEN seq % 3 = 0 THEN 0 ELSE points END AS entry_points FROM s WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.ev = s.ev AND o.grp = s.grp)
+AND NOT (EXISTS (SELECT 1 FROM act WHERE act.ev = s.ev) AND EXISTS (SELECT 1 FROM done WHERE done.athlete = s.athlete AND done.ev = s.ev))""", marks=True)
+def pending_points(spark, sf_dir):
+    """What is pending, with what its entry time would earn; every third has none."""
+    rows = b.marks(spark, sf_dir).withColumn("ev", F.floor(F.col("seq") / 500))
+    results = rows.where("leg = 'F' AND ev % 2 = 0").withColumn("pdf_seq", F.col("ev"))
+    starts = rows.where("leg = 'O'").select("athlete", "ev", "grp", "seq", F.when(F.col("seq") % 3 != 0, F.col("cents")).alias("entry"))
+    steps = rows.select("ev", "grp").distinct().withColumn("_s", F.explode(F.array(*(F.struct(F.lit(p).alias("points"), F.lit(t).cast("long").alias("limit")) for p, t in b.LIMITS)))).select("ev", "grp", "_s.*")
+    left = state.pending(starts, results, ["ev"], "grp", ["athlete"], "pdf_seq")
+    return state.with_entry_points(left, steps, ["ev"], "grp", "entry").select("athlete", "ev", "grp", "seq", "entry_points")
+
+
 @query("""SELECT user_id, status, created FROM (SELECT user_id, arg_max(event_type, event_id) AS status, min(event_id) AS created FROM events GROUP BY user_id)
 WHERE status = (SELECT min(event_type) FROM events)""")
 def pending_conflicts(spark, sf_dir):

@@ -22,7 +22,7 @@ EVENTS = (
 # Headings of a meet's sheet.
 BASE = ("Ad Soyad", "YB", "Kulüp", "Şehir", "Bölge", "Yaş", "Cinsiyet")
 # Headings of a roster comparison, and its colours with their meaning.
-ROSTER = ("Antalya - Sporcu", "Antalya - Kulüp", "Doğum Yılı", "Cinsiyet", "Edirne - Sporcu", "Edirne - Kulüp")
+ROSTER = ("{0} - Sporcu", "{0} - Kulüp", "Doğum Yılı", "Cinsiyet", "{1} - Sporcu", "{1} - Kulüp")
 COLOURS = {"both": "E8F5E9", "differs": "FADBD8", "only_a": "FFF3CD", "only_b": "D1ECF1"}
 MEANING = {
     "both": ("Yeşil", "Her iki yarışta da var, kulüp eşleşiyor"), "differs": ("Kırmızı", "Her iki yarışta da var, kulüp farklı"),
@@ -73,10 +73,14 @@ def ranking_sheet(rows: DataFrame, scores: DataFrame, legs: tuple[str, str], key
     return rows.join(wide, keys, "left").select(*keys, *base, *(h for *_, h in headed)).orderBy("Sıra", "Ad Soyad")
 
 
-def roster_sheet(compared: DataFrame) -> DataFrame:
+def roster_headings(legs: tuple[str, str]) -> list[str]:
+    return [h.format(*legs) for h in ROSTER]
+
+
+def roster_sheet(compared: DataFrame, legs: tuple[str, str]) -> DataFrame:
     """The six columns of a comparison (``roster_compare`` by name, birth_year and gender of name_a, name_b and clubs) and its status, by name."""
     shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    cells = [shown(c).alias(h) for h, c in zip(ROSTER, ("name_a", "value_a", "birth_year", "gender", "name_b", "value_b"))]
+    cells = [shown(c).alias(h) for h, c in zip(roster_headings(legs), ("name_a", "value_a", "birth_year", "gender", "name_b", "value_b"))]
     return compared.select(*cells, "status").orderBy(F.coalesce("name_a", "name_b"), "birth_year")
 
 
@@ -112,11 +116,11 @@ def summary_sheet(tally: DataFrame, group: str, counts: list[str]) -> DataFrame:
     return rows.orderBy("_t", group).select(name.alias(group), *counts)
 
 
-def roster_workbook(compared: DataFrame, most: int = SHEET_ROWS) -> bytes:
+def roster_workbook(compared: DataFrame, legs: tuple[str, str], most: int = SHEET_ROWS) -> bytes:
     """The comparison with a colour for each status, and a sheet that says what they mean."""
-    rows = _rows(roster_sheet(compared), most)
+    rows = _rows(roster_sheet(compared, legs), most)
     legend = [MEANING[s] for s in MEANING]
     return workbook(
-        {"Sporcu Karşılaştırma": (list(ROSTER), [tuple(r)[:-1] for r in rows]), "Açıklama": (["Renk", "Anlam"], legend)},
+        {"Sporcu Karşılaştırma": (roster_headings(legs), [tuple(r)[:-1] for r in rows]), "Açıklama": (["Renk", "Anlam"], legend)},
         fills={"Sporcu Karşılaştırma": [COLOURS[r["status"]] for r in rows], "Açıklama": [COLOURS[s] for s in MEANING]},
     )

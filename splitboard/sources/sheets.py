@@ -15,15 +15,28 @@ from pyspark.sql import functions as F
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 
 
-def sheet_rows(raw: bytes, sheet: int = 1) -> list[dict[str, str]]:
-    """Rows of a sheet as {column letter: text}."""
+def _member(z: zipfile.ZipFile, sheet: int | str) -> str | None:
+    """The file of a sheet by its number or name."""
+    if isinstance(sheet, int):
+        return f"xl/worksheets/sheet{sheet}.xml"
+    found = [s for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{{{_NS['m']}}}sheet") if s.get("name") == sheet]
+    link = next((v for s in found for k, v in s.attrib.items() if k.endswith("}id")), None)
+    targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+    return f"xl/{targets[link].removeprefix('/xl/')}" if link in targets else None
+
+
+def sheet_rows(raw: bytes, sheet: int | str = 1) -> list[dict[str, str]]:
+    """Rows of a sheet as {column letter: text}; none if there is no sheet of that name."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        member = _member(z, sheet)
+        if member is None:
+            return []
         shared: list[str] = []
         if "xl/sharedStrings.xml" in z.namelist():
             for item in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS):
                 shared.append("".join(t.text or "" for t in item.iter(f"{{{_NS['m']}}}t")))
         out = []
-        for row in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{sheet}.xml")).iter(f"{{{_NS['m']}}}row"):
+        for row in ElementTree.fromstring(z.read(member)).iter(f"{{{_NS['m']}}}row"):
             cells = {}
             for cell in row.findall("m:c", _NS):
                 value, inline = cell.find("m:v", _NS), cell.find("m:is", _NS)
@@ -36,14 +49,25 @@ def sheet_rows(raw: bytes, sheet: int = 1) -> list[dict[str, str]]:
         return out
 
 
-def read_sheet(spark: SparkSession, path: str, columns: dict[str, str], first_row: int = 2, sheet: int = 1) -> DataFrame:
-    """Columns (letter -> name) of a sheet from ``first_row`` on, as strings, with ``path`` and ``row_no``. Whole files go to Python by Arrow."""
+def read_sheet(spark: SparkSession, path: str, columns: dict[str, str], first_row: int = 2, sheet: int | str = 1, header_row: int | None = None) -> DataFrame:
+    """Columns of a sheet from ``first_row`` on, as strings, with ``path`` and ``row_no``. Whole files go to Python by Arrow.
+
+    ``columns`` maps letters to names; with ``header_row`` it maps that row's headings
+    instead, wherever they stand (the last of equal ones counts, a missing one is null).
+    ``sheet`` is a number from 1 or a name; a file without a sheet of that name has no rows.
+    """
     schema = "path string, row_no int, " + ", ".join(f"`{n}` string" for n in columns.values())
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at, raw in zip(batch["path"], batch["content"]):
-                found = [(at, i, *(r.get(c) for c in columns)) for i, r in enumerate(sheet_rows(raw, sheet), 1) if i >= first_row]
+                held = sheet_rows(raw, sheet)
+                letters = list(columns)
+                if header_row is not None:
+                    heads = held[header_row - 1] if len(held) >= header_row else {}
+                    place = {str(text).strip(): letter for letter, text in heads.items()}
+                    letters = [place.get(c) for c in columns]
+                found = [(at, i, *(r.get(c) for c in letters)) for i, r in enumerate(held, 1) if i >= first_row]
                 yield pd.DataFrame(found, columns=["path", "row_no", *columns.values()])
 
     files = spark.read.format("binaryFile").load(path)
@@ -60,6 +84,27 @@ def club_mapping(sheet: DataFrame, norm) -> DataFrame:
     return keyed.groupBy("key").agg(F.min_by(F.struct("club", "city", "region"), "row_no").alias("r")).select("key", "r.*")
 
 
+def sync_clubs(stored: DataFrame, sheet: DataFrame, norm, shown=lambda c: c) -> tuple[DataFrame, DataFrame]:
+    """(clubs, loaded): the stored clubs (key, alt, club, city, region) with the sheet's in their place, and the sheet's rows that count.
+
+    A row of ``sheet`` (alt, canonical, city, region, row_no) needs a city, a whole
+    region and a name. It stands under the key of its other spelling, or of its
+    canonical one without it, and under that of the canonical one too. Of rows that
+    share a key the last wins. ``shown`` gives the canonical name's display form.
+    """
+    text = lambda c: F.nullif(F.trim(c), F.lit(""))
+    canonical, alt = shown(text(F.col("canonical"))), text(F.col("alt"))
+    rows = sheet.select(alt.alias("alt"), F.when(text(F.col("canonical")).isNotNull(), canonical).alias("club"), text(F.col("city")).alias("city"), F.col("region").try_cast("int").alias("region"), "row_no")
+    rows = rows.withColumns({"_name": F.coalesce("alt", "club")}).withColumns({"_key": norm(F.col("_name")), "_own": norm(F.col("club"))})
+    loaded = rows.where("city IS NOT NULL AND region IS NOT NULL AND _name IS NOT NULL AND _key <> ''")
+    spelled = F.array(F.struct(F.col("_key").alias("key"), F.col("_name").alias("a"), F.lit(0).alias("o")), F.struct(F.col("_own").alias("key"), F.col("club").alias("a"), F.lit(1).alias("o")))
+    each = loaded.select(F.explode(spelled).alias("s"), "club", "city", "region", "row_no").where("s.key <> ''")
+    newest = each.groupBy("s.key").agg(F.max_by(F.struct(F.col("s.a").alias("alt"), "club", "city", "region"), F.struct("row_no", "s.o")).alias("_r"))
+    new = newest.select("key", "_r.*")
+    kept = stored.join(new.select("key"), "key", "left_anti")
+    return kept.unionByName(new, allowMissingColumns=True), loaded.select("alt", "club", "city", "region", "row_no")
+
+
 def sync_report(before: DataFrame, loaded: DataFrame, started: Column) -> DataFrame:
     """One log row: rows read, loaded and skipped, and when."""
     return before.agg(F.count(F.lit(1)).alias("read")).crossJoin(loaded.agg(F.count(F.lit(1)).alias("loaded"))).withColumns(  # one row each
@@ -67,7 +112,7 @@ def sync_report(before: DataFrame, loaded: DataFrame, started: Column) -> DataFr
     )
 
 
-OVERRIDES = "club_aliases array<struct<raw: string, canonical: string, city: string, region: int>>, name_overrides array<struct<name: string, birth_year: int, gender: string, resolution: string, canonical_name: string, canonical_club: string, canonical_city: string>>"
+OVERRIDES = "club_aliases array<struct<raw: string, canonical: string, city: string, region: int>>, name_overrides array<struct<name: string, birth_year: int, gender: string, resolution: string, canonical_name: string, canonical_club: string, canonical_city: string, canonical_region: int>>"
 
 
 def read_overrides(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

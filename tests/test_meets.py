@@ -182,7 +182,7 @@ def test_workbooks(spark):
     with pytest.raises(ValueError):
         layouts.results_workbook(rich, "line_no", most=1)
     compared = spark.createDataFrame([("A", "X", 2012, "F", "A", "X", "both"), ("B", "X", 2012, "F", None, None, "only_a"), (None, None, 2011, "M", "C", "Y", "only_b")], "name_a string, value_a string, birth_year int, gender string, name_b string, value_b string, status string")
-    book = layouts.roster_workbook(compared)
+    book = layouts.roster_workbook(compared, ("Bahar", "Güz"))
     assert [r.get("A") for r in sheet_rows(book)][1:] == ["A", "B", ""] and len(sheet_rows(book, 2)) == 5
     with zipfile.ZipFile(io.BytesIO(book)) as z:
         styles = z.read("xl/styles.xml").decode()
