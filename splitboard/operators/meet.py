@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, times
+from ..session import written
+from ..sources import html, lenex
+from ..sources import lines as line_reader
 from .fuzzy import best_indel
 from .resolve import donor_names, fallback_lookup, one_per_key, wildcard_override
 
@@ -146,7 +149,8 @@ def meet_results(
     """
     rest = listed if progression is None else listed.unionByName(progression)
     raw = archive.unionByName(rest.join(archive.select("meet").distinct(), "meet", "left_anti"))
-    rows = enrich_results(raw, overrides, stored, sheet, dictionary).withColumn("_at", arrival())
+    # Written once: names are looked for in the same rows that take them, and readers are dear. Few small inputs would else stay few partitions.
+    rows = written(enrich_results(raw, overrides, stored, sheet, dictionary).withColumn("_at", arrival()))
     rows = merge_abbreviations(rows, ["meet"], "_at")
     if athletes is not None:
         rows = correct_recognised(rows, athletes, stored=stored, sheet=sheet)
@@ -157,6 +161,32 @@ def meet_results(
     return dated.withColumn("race_date", F.coalesce("race_date", F.lit(""))).select("meet", *ENRICHED, "race_date")
 
 
+def landed_lists(pages: DataFrame, lines: DataFrame, spread: str = "whole") -> DataFrame:
+    """RAW rows of the result lists that index pages link.
+
+    ``pages`` has (meet, html), ``lines`` (meet, file, page, line_no, text), ``file`` as
+    the page's link ends. A page's table says which event a file is; that holds until
+    a header in the file says otherwise. A file that no page names has headers alone.
+    """
+    found = html.event_map(pages, "meet", "html")
+    events = html.propagate_start_lists(html.event_map(pages, "meet", "html", "StartList"), found, "meet")
+    hints = events.select("meet", "file", F.struct("gender", "distance", "stroke").alias("hint"))
+    named = lines.join(hints, ["meet", "file"], "left").withColumn("doc", F.struct("meet", "file"))
+    read = line_reader.result_lines(named, F.col("hint"), spread=spread)
+    number = F.regexp_extract("doc.file", r"(\d+)\.\w+$", 1).try_cast("long")
+    return conform(read.withColumns({"meet": F.col("doc.meet"), "pdf_seq": number}), name_raw="name", club_raw="club")
+
+
+def landed_archives(swims: DataFrame, names: Column) -> DataFrame:
+    """RAW rows of archives (``archive`` rows of kind results); ``names`` gives a path's meet."""
+    return conform(lenex.results(swims).withColumn("meet", names), name_raw="name", club_raw="club")
+
+
+def landed_dates(pages: DataFrame) -> DataFrame:
+    """(meet, race_date) of the pages' first tables."""
+    return html.meet_meta(pages, "meet", "html").select("meet", times.race_date(F.col("date")).alias("race_date"))
+
+
 def manual_overrides(rows: DataFrame, overrides: DataFrame) -> DataFrame:
     """Rows with the club, city, region and name that the override file has for a name, year and gender.
 

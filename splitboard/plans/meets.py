@@ -6,12 +6,15 @@ lines of text can be made from them and read back; SQL states the expected rows
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, times
 from ..operators import meet
-from ..session import table
+from ..session import files, shared_dir, table
+from ..sources import archive, lenex
 from ..sources import lines as line_reader
 
 QUERIES, ORACLES = {}, {}
@@ -175,3 +178,94 @@ def scored_cohort(spark, sf_dir):
     thresholds = spark.createDataFrame(steps, "birth_year int, gender string, stroke string, distance int, points int, max_cs long")
     out = meet.scored_cohort(rows, YEARS, GENDERS, _file(spark, sf_dir), thresholds)
     return out.select("seq", "gender", "birth_year", "club", "points")
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    files(spark, path, lambda fs, at: fs.deleteOnExit(at))
+    return path
+
+
+def _land(rows: DataFrame, path: str, archived: bool) -> str:
+    """Files (name, content) of a folder, written by tasks."""
+    archive.register(rows.sparkSession)
+    rows.write.format("meet_archive").option("archive", str(archived).lower()).mode("append").save(path)
+    return path
+
+
+def _marked(value: Column) -> Column:
+    return F.replace(F.replace(value, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))
+
+
+def _archives(spark: SparkSession, rows: DataFrame) -> str:
+    """A meet's swims as archives, one for each club: an entry for every swim, a result for those that were swum."""
+    codes = F.create_map(*[F.lit(x) for code, name in text.STROKES.items() for x in (name, code)])
+    event = F.concat(codes[F.col("stroke")], F.col("distance").cast("string"))
+    time = F.concat(F.lit("00:00:"), F.lpad(F.floor(F.col("cents") / 100).cast("string"), 2, "0"), F.lit("."), F.lpad((F.col("cents") % 100).cast("string"), 2, "0"))
+    swum = F.format_string('<RESULT eventid="%s" swimtime="%s" status="%s"/>', event, time, F.when(F.col("seq") % 7 == 0, "DSQ").otherwise(""))
+    entered = F.format_string('<ENTRY eventid="%s" entrytime="%s"/>', event, F.when(F.col("seq") % 5 == 0, "NT").otherwise(time))
+    style = F.format_string('<EVENT eventid="%s"><SWIMSTYLE distance="%d" stroke="%s"/></EVENT>', event, F.col("distance"), codes[F.col("stroke")])
+    # One athlete has one event and few swims; a file is one club's meet.
+    each = rows.where("cents < 6000").groupBy("meet", "club_raw", "name_raw", "birth_year", "gender").agg(F.array_join(F.sort_array(F.collect_list(swum)), "").alias("r"), F.array_join(F.sort_array(F.collect_list(entered)), "").alias("e"), F.max(style).alias("style"))
+    person = F.format_string('<ATHLETE firstname="%s" lastname="%s" birthdate="%d-05-05" gender="%s"><RESULTS>%s</RESULTS><ENTRIES>%s</ENTRIES></ATHLETE>', F.split_part("name_raw", F.lit(" "), F.lit(1)), F.split_part("name_raw", F.lit(" "), F.lit(2)), "birth_year", "gender", "r", "e")
+    clubs = each.groupBy("meet", "club_raw").agg(F.array_join(F.collect_set("style"), "").alias("events"), F.array_join(F.sort_array(F.collect_list(person)), "").alias("people"))
+    content = F.format_string('<?xml version="1.0" encoding="UTF-8"?><LENEX><MEETS><MEET startdate="2026-01-02"><EVENTS>%s</EVENTS><CLUBS><CLUB name="%s"><ATHLETES>%s</ATHLETES></CLUB></CLUBS></MEET></MEETS></LENEX>', "events", _marked(F.col("club_raw")), "people")
+    name = F.concat("meet", F.lit("~"), F.replace("club_raw", F.lit(" "), F.lit("_")), F.lit(".lxf"))
+    return _land(clubs.select(name.alias("name"), content.alias("content")), _folder(spark, "archives"), True)
+
+
+def _meet_of(path: Column) -> Column:
+    return F.split_part(F.element_at(F.split(path, "/"), -1), F.lit("~"), F.lit(1))
+
+
+@query("SELECT meet, club_raw AS club, name_raw AS name, gender, birth_year, stroke, distance, cents, 'lenex' AS source FROM swims WHERE cents < 6000 AND seq % 7 <> 0")
+def archive_results(spark, sf_dir):
+    """Archives are written from the swims and read back: disqualified swims go."""
+    swims_read = lenex.read_meets(spark, _archives(spark, swims(spark, sf_dir)))
+    return lenex.results(swims_read).select(_meet_of(F.col("path")).alias("meet"), "club", "name", "gender", "birth_year", "stroke", "distance", "cents", "source")
+
+
+@query("SELECT meet, name_raw AS name, gender, birth_year, stroke, distance, CASE WHEN seq % 5 <> 0 THEN cents END AS entry_cents, '2026.01.02' AS race_date FROM swims WHERE cents < 6000")
+def archive_entries(spark, sf_dir):
+    """Entries of the same archives, with the meets' dates; NT is no time."""
+    folder = _archives(spark, swims(spark, sf_dir))
+    dates = lenex.meet_dates(lenex.read_meets(spark, folder, "meets"))
+    entered = lenex.entries(lenex.read_meets(spark, folder, "entries")).join(dates, "path")
+    return entered.select(_meet_of(F.col("path")).alias("meet"), "name", "gender", "birth_year", "stroke", "distance", "entry_cents", "race_date")
+
+
+def _files_of(rows: DataFrame) -> DataFrame:
+    """Swims with the list that they are in: one for each event (gender, distance, stroke) of a meet."""
+    codes = F.create_map(*[F.lit(x) for i, name in enumerate(STROKES) for x in (name, i)])
+    number = codes[F.col("stroke")] * 8 + F.array_position(F.array(*map(F.lit, DISTANCES)), F.col("distance")).cast("int") * 2 + F.when(F.col("gender") == "M", 1).otherwise(0)
+    return rows.withColumns({"number": number, "file": F.format_string("ResultList_%d.pdf", number)})
+
+
+@query(f"""SELECT meet, name_raw AS name, birth_year, club_raw AS club, gender, stroke, distance, min(cents) AS cents, CASE WHEN meet = '{ARCHIVED}' THEN 'lenex' ELSE 'pdf' END AS source, '2026.01.0' || meet[1] AS race_date
+FROM swims WHERE meet <> '{ARCHIVED}' OR (cents < 6000 AND seq % 7 <> 0) GROUP BY ALL""")
+def landed_meets(spark, sf_dir):
+    """Index pages, lists and archives are landed from the swims, then read as one plan: pages say what a list's event is, half of the lists have no header."""
+    rows = _files_of(swims(spark, sf_dir))
+    words = F.when(F.col("gender") == "M", "Erkekler").otherwise("Kızlar")
+    label = F.concat(words, F.lit(" "), F.col("distance").cast("string"), F.lit("m "), "stroke")
+    linked = rows.groupBy("meet", "file").agg(F.min(label).alias("label"), F.min("number").alias("number"))
+    line = F.format_string('<tr><td>%s</td><td><a href="pdf/%s">r</a></td></tr>', "label", "file")
+    day = F.format_string("<tr><td>Meet</td><td>Ankara</td></tr><tr><td>Ankara</td><td>0%s / 01 / 2026</td></tr>", F.substring("meet", 1, 1))
+    # A meet has few dozen lists, so a page is one small row.
+    pages = linked.groupBy("meet").agg(F.array_join(F.sort_array(F.collect_list(line)), "").alias("rows")).select("meet", F.concat(F.lit("<html><table>"), day, "rows", F.lit("</table></html>")).alias("html"))
+    year = F.lpad(F.pmod("birth_year", F.lit(100)).cast("string"), 2, "0")
+    swim = F.concat_ws(" ", F.lit("1."), "name_raw", year, "club_raw", times.display_time(F.col("cents")))
+    # A list is a file: a page of it for each hundred athletes of the event.
+    page = F.floor(F.col("c_custkey") / 2000)
+    sheets = rows.groupBy("meet", "file", "number", label.alias("label"), page.alias("page")).agg(F.array_join(F.sort_array(F.collect_list(swim)), "\n").alias("lines"))
+    head = F.when(F.col("number") % 2 == 0, F.concat(F.lit("Yarış 7, "), F.regexp_replace("label", "m ", "m"), F.lit("\n"))).otherwise("")
+    whole = sheets.groupBy("meet", "file", "number", "label").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "lines"))), lambda s: s["lines"]), "\f").alias("body"))
+    lists = whole.select(F.concat("meet", F.lit("~"), F.regexp_replace("file", "pdf$", "txt")).alias("name"), F.concat(head, "body").alias("content"))
+    folder = _land(lists, _folder(spark, "lists"), False)
+    read = spark.read.format("meet_archive").option("rows", "lines").load(folder)
+    lines = read.select(F.split_part("doc", F.lit("~"), F.lit(1)).alias("meet"), F.concat(F.split_part("doc", F.lit("~"), F.lit(2)), F.lit(".pdf")).alias("file"), "page", "line_no", "text")
+    archived = lenex.read_meets(spark, _archives(spark, rows.where(F.col("meet") == ARCHIVED)))
+    raw = meet.landed_archives(archived, _meet_of(F.col("path")))
+    dims = _dims(spark, sf_dir)
+    out = meet.meet_results(raw, meet.landed_lists(pages, lines), meet.landed_dates(pages), *(d.limit(0) for d in dims))
+    return out.select("meet", "name", "birth_year", "club", "gender", "stroke", "distance", "cents", "source", "race_date")
