@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import text, times
 from ..operators import meet
 from ..session import files, shared_dir, table
-from ..sources import archive, lenex
+from ..sinks import layouts
+from ..sources import archive, lenex, sheets
 from ..sources import lines as line_reader
 
 QUERIES, ORACLES = {}, {}
@@ -143,8 +144,6 @@ def list_results(spark, sf_dir):
 SELECT name_raw AS key, lpad(CAST(birth_year % 100 AS VARCHAR), 2, '0') AS y, cents, stroke, distance FROM swims) GROUP BY key""")
 def results_sheet(spark, sf_dir):
     """The sheet's row a person; two of the 17 event columns are shown, as hundredths."""
-    from ..sinks import layouts
-
     rich = meet.enrich_results(swims(spark, sf_dir).withColumns({"source": F.lit("lenex"), "participant_type": F.lit(None).cast("string"), "pdf_seq": F.lit(None).cast("long")}), *_dims(spark, sf_dir))
     sheet = layouts.results_sheet(rich, "seq")
     return sheet.select(F.col("Ad Soyad").alias("key"), "YB", times.parse_time(F.col("Serbest_50m")).alias("free_50"), times.parse_time(F.col("Karışık_400m")).alias("medley_400"))
@@ -269,3 +268,20 @@ def landed_meets(spark, sf_dir):
     dims = _dims(spark, sf_dir)
     out = meet.meet_results(raw, meet.landed_lists(pages, lines), meet.landed_dates(pages), *(d.limit(0) for d in dims))
     return out.select("meet", "name", "birth_year", "club", "gender", "stroke", "distance", "cents", "source", "race_date")
+
+
+_EVENTS = [(s, d) for s, d in layouts.EVENTS]
+_TEXTS = ", ".join(f"min(t) FILTER (stroke = '{s}' AND distance = {d}) AS e{i}" for i, (s, d) in enumerate(_EVENTS))
+
+
+@query(f"""SELECT meet, name_raw AS name, any_value(lpad(CAST(birth_year % 100 AS VARCHAR), 2, '0')) AS yb, club_raw AS club, CASE gender WHEN 'M' THEN 'Erkek' ELSE 'Kız' END AS gender, {_TEXTS}
+FROM (SELECT *, (cents // 100) || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') AS t FROM swims) GROUP BY meet, name_raw, club_raw, gender""")
+def results_books(spark, sf_dir):
+    """A workbook for each meet is written by tasks and read back by its headings: a person a row, all 17 events."""
+    rows = swims(spark, sf_dir).withColumns({"source": F.lit("lenex"), "participant_type": F.lit(None).cast("string"), "pdf_seq": F.lit(None).cast("long"), "cents": F.when(F.col("cents") < 6000, F.col("cents"))})
+    rich = meet.enrich_results(rows, *(d.limit(0) for d in _dims(spark, sf_dir)))
+    folder = _folder(spark, "books")
+    layouts.write_results(rich, "seq", folder, "meet", F.col("meet"))
+    heads = {"Ad Soyad": "name", "YB": "yb", "Kulüp": "club", "Cinsiyet": "gender"} | {layouts.event_column(*e): f"e{i}" for i, e in enumerate(_EVENTS)}
+    read = sheets.read_sheet(spark, folder, heads, header_row=1)
+    return read.select(F.regexp_extract("path", r"([^/]+)\.xlsx$", 1).alias("meet"), *heads.values())

@@ -1,11 +1,7 @@
-"""Files that reports are published as: nested JSON, a script wrapper, CSV and XLSX."""
+"""Files that reports are published as: nested JSON, a script wrapper and CSV; workbooks are in ``books``."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-from xml.sax.saxutils import escape
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,66 +25,3 @@ def write_script(rows: DataFrame, json: str, path: str, variable: str = "RESULTS
 
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
-
-
-def _letter(n: int) -> str:
-    out = ""
-    while n:
-        n, r = divmod(n - 1, 26)
-        out = chr(65 + r) + out
-    return out
-
-
-def _styles(colours: list[str], main: str) -> str:
-    """A style sheet whose n-th cell format is filled with the n-th colour; format 0 is plain."""
-    fills = '<fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>'
-    fills += "".join(f'<fill><patternFill patternType="solid"><fgColor rgb="FF{c}"/></patternFill></fill>' for c in colours)
-    formats = "".join(f'<xf numFmtId="0" fontId="0" fillId="{n}" borderId="0" xfId="0" applyFill="1"/>' for n in (0, *range(2, len(colours) + 2)))
-    return (
-        f'<styleSheet xmlns="{main}"><fonts count="1"><font/></fonts><fills count="{len(colours) + 2}">{fills}</fills><borders count="1"><border/></borders>'
-        f'<cellStyleXfs count="1"><xf numFmtId="0" fontId="0" fillId="0" borderId="0"/></cellStyleXfs><cellXfs count="{len(colours) + 1}">{formats}</cellXfs></styleSheet>'
-    )
-
-
-def workbook(sheets: dict[str, tuple[list[str], list[tuple]]], titles: dict[str, str] | None = None, fills: dict[str, list[str | None]] | None = None) -> bytes:
-    """An XLSX file of named sheets (columns, rows). For reports: the rows are few and on the driver.
-
-    ``titles`` puts a line above a sheet's header; ``fills`` colours its rows (RRGGBB).
-    """
-    colours = sorted({c for rows in (fills or {}).values() for c in rows if c})
-    style = {c: i for i, c in enumerate(colours, 1)}
-    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
-    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        parts = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i in range(1, len(sheets) + 1))
-        parts += f'<Override PartName="/xl/styles.xml" ContentType="{kind}.styles+xml"/>'
-        z.writestr("[Content_Types].xml", f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>{parts}</Types>')
-        z.writestr("_rels/.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        names = "".join(f'<sheet name="{escape(n[:31])}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(sheets, 1))
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>{names}</sheets></workbook>')
-        targets = "".join(f'<Relationship Id="r{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1))
-        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{targets}<Relationship Id="s1" Type="{rel}/styles" Target="styles.xml"/></Relationships>')
-        z.writestr("xl/styles.xml", _styles(colours, main))
-        for i, (name, (columns, rows)) in enumerate(sheets.items(), 1):
-            above = [(titles[name],)] if name in (titles or {}) else []
-            painted = [None] * (len(above) + 1) + (fills or {}).get(name, [])
-            body = []
-            for r, row in enumerate([*above, columns, *rows], 1):
-                s = style.get(painted[r - 1], 0) if r <= len(painted) else 0
-                cells = "".join(f'<c r="{_letter(c)}{r}" s="{s}" t="inlineStr"><is><t>{escape(str(v))}</t></is></c>' for c, v in enumerate(row, 1) if v is not None)
-                body.append(f'<row r="{r}">{cells}</row>')
-            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{main}"><sheetData>{"".join(body)}</sheetData></worksheet>')
-    return out.getvalue()
-
-
-def report_workbook(reports: dict[str, DataFrame], most: int = 100_000) -> bytes:
-    """A workbook of report tables; one above ``most`` rows is refused, as a sheet could not hold it."""
-    sheets = {}
-    for name, df in reports.items():
-        rows = df.limit(most + 1).collect()
-        if len(rows) > most:
-            raise ValueError(f"{name} has more than {most} rows; write it as CSV")
-        sheets[name] = (df.columns, [tuple(r) for r in rows])
-    return workbook(sheets)

@@ -1,17 +1,19 @@
 """Workbooks in their fixed layouts: a meet's results, rankings, and the comparison of two rosters.
 
 Each layout is a DataFrame first (``*_sheet``), so that it can be written in any
-form; a workbook is only for what a sheet holds.
+form; ``write_*`` gives workbooks, which tasks write (``books``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_for_lookup
 from ..operators import report
-from .files import workbook
+from .books import Layout, Style, sheet_rows, write_books
 
 # Events in the order of the sheets' columns.
 EVENTS = (
@@ -33,7 +35,16 @@ RANKING = (
     ("Sıra", "place"), ("Ad Soyad", "name"), ("Kulüp", "club"), ("Şehir", "city"), ("Bölge", "region"), ("Seçim", "selected_label"), ("Eşit", "tied"), ("Top3 {0}", "top3_{0}"),
     ("Top3 {1}", "top3_{1}"), ("Top3", "top3"), ("Dizi", "seq_display"), ("Bölge sıra", "region_place"),
 )
-SHEET_ROWS = 1_000_000
+# Colours, letters and widths of the sheets.
+RESULT_STYLES = {
+    "head": Style("1F4E79", "FFFFFF", True, 10, True, True), "sub": Style("2E75B6", "FFFFFF", True, 9, True, True), "left": Style(border=True), "mid": Style(centre=True, border=True),
+    "left2": Style("F2F2F2", border=True), "mid2": Style("F2F2F2", centre=True, border=True),
+}
+RESULT_WIDTHS = [28, 5, 32, 14, 7, 5, 9] + [9] * len(EVENTS)
+SELECTED = {"MULTINATIONS": "7B4F00", "TR": "1B5E20", "BÖLGE": "0D47A1", "tied": "4A235A"}
+RANKING_STYLES = {k: Style(c, "FFFFFF", True, 10) for k, c in SELECTED.items()} | {"title": Style("1A237E", "FFFFFF", True, 10), "header": Style("263238", "FFFFFF", True, 10, True), "plain": Style(None, "1A1A1A", False, 10)}
+RANKING_WIDTHS = [6, 26, 26, 12, 5, 14, 5, 7, 7, 7, 16, 6] + [5] * 3 * len(EVENTS)
+ROSTER_WIDTHS = [32, 48, 12, 10, 32, 48]
 
 
 def event_column(stroke: str, distance: int) -> str:
@@ -44,21 +55,21 @@ def _is(stroke: str, distance: int) -> Column:
     return (F.col("stroke") == stroke) & (F.col("distance") == distance)
 
 
-def results_sheet(rows: DataFrame, order: str) -> DataFrame:
-    """A meet's 24 columns: a person (name and club by lookup form) a row, by city, club and name; who has no city or club comes last.
+def results_sheet(rows: DataFrame, order: str, by: Sequence[str] = ()) -> DataFrame:
+    """After the columns ``by`` (of a meet, where rows are of several) a meet's 24 columns: a person (name and club by lookup form) a row, by city, club and name; who has no city or club comes last.
 
     City, region and club of a person whose first row has no city are those of the
     first row with one. ``order`` is the rows' arrival, unique.
     """
     gender = F.when(F.col("gender") == "M", "Erkek").when(F.col("gender") == "F", "Kız").otherwise(F.col("gender"))
     named = rows.withColumn("gender", gender)
-    keys = [normalize_for_lookup(F.col("name")), normalize_for_lookup(F.coalesce("club", "club_raw"))]
+    keys = [*map(F.col, by), normalize_for_lookup(F.col("name")), normalize_for_lookup(F.coalesce("club", "club_raw"))]
     events = {event_column(*e): _is(*e) for e in EVENTS}
-    out = report.athlete_sheet(named, keys, ["name", "yb", "age", "gender"], ["city", "region", "club"], events, "cents", "time_text", order)
+    out = report.athlete_sheet(named, keys, [*by, "name", "yb", "age", "gender"], ["city", "region", "club"], events, "cents", "time_text", order)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     base = [text(c).alias(h) for h, c in zip(BASE, ("name", "yb", "club", "city", "region", "age", "gender"))]
     last = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("ZZZ"))
-    return out.select(*base, *events).orderBy(last("Şehir"), last("Kulüp"), "Ad Soyad")
+    return out.select(*by, *base, *events).orderBy(*by, last("Şehir"), last("Kulüp"), "Ad Soyad")
 
 
 def ranking_sheet(rows: DataFrame, scores: DataFrame, legs: tuple[str, str], keys: list[str]) -> DataFrame:
@@ -84,16 +95,14 @@ def roster_sheet(compared: DataFrame, legs: tuple[str, str]) -> DataFrame:
     return compared.select(*cells, "status").orderBy(F.coalesce("name_a", "name_b"), "birth_year")
 
 
-def _rows(sheet: DataFrame, most: int) -> list:
-    rows = sheet.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} rows; write the sheet as CSV")
-    return rows
-
-
-def results_workbook(rows: DataFrame, order: str, most: int = SHEET_ROWS) -> bytes:
-    sheet = results_sheet(rows, order)
-    return workbook({"Sonuçlar": (sheet.columns, [tuple(r) for r in _rows(sheet, most)])})
+def write_results(rows: DataFrame, order: str, path: str, meet: str, name: Column) -> None:
+    """A workbook for each meet: ``results_sheet`` with coloured headings, every second row grey, the headings and base columns standing. ``name`` gives a meet's file."""
+    sheet = results_sheet(rows, order, [meet])
+    last = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("ZZZ"))
+    n = len(BASE)
+    cells = sheet_rows(sheet, name, F.lit("Sonuçlar"), [last("Şehir"), last("Kulüp"), F.col("Ad Soyad")], header=f"head:{n},sub", hidden=(meet,))
+    painted = F.when(F.col("row") == 1, F.col("style")).when(F.col("row") % 2 == 0, f"left2:{n},mid2").otherwise(f"left:{n},mid")
+    write_books(cells.withColumn("style", painted), path, None, RESULT_STYLES, {"": Layout(RESULT_WIDTHS, "H2", 30)})
 
 
 def results_name(race_date: str, made: str) -> str:
@@ -101,12 +110,21 @@ def results_name(race_date: str, made: str) -> str:
     return f"{race_date}_Yaris_Sonuclari_{made}.xlsx" if race_date else f"Yaris_Sonuclari_{made}.xlsx"
 
 
-def ranking_workbook(groups: dict[str, DataFrame], titles: dict[str, str], clubs: DataFrame, summary: DataFrame, most: int = SHEET_ROWS) -> bytes:
-    """A sheet a group with its quotas above, one of clubs, and a summary whose last row is the total (TOPLAM)."""
-    sheets = {n[:31]: (df.columns, [tuple(r) for r in _rows(df, most)]) for n, df in groups.items()}
-    for name, df in (("Kulüpler", clubs), ("Özet", summary)):
-        sheets[name] = (df.columns, [tuple(r) for r in _rows(df, most)])
-    return workbook(sheets, {n[:31]: t for n, t in titles.items()})
+def write_ranking(ranked: DataFrame, group: Column, title: Column, clubs: DataFrame, summary: DataFrame, path: str, book: str, keys: Sequence[str]) -> None:
+    """A workbook with a sheet for each group (its quotas above, rows coloured by selection), one of clubs, and a summary whose last row is the total (TOPLAM).
+
+    ``ranked`` is a ``ranking_sheet``, whose ``keys`` are not shown.
+    """
+    style = F.when(F.col("Eşit").cast("boolean"), "tied").otherwise(F.col("Seçim"))
+    style = F.when(style.isin(*SELECTED), style).otherwise("plain")
+    rows = sheet_rows(ranked, F.lit(book), group, [F.col("Sıra"), F.col("Ad Soyad")], title, style=style, hidden=tuple(keys))
+    for name, table in (("Kulüpler", clubs), ("Özet", summary)):
+        first = [(F.col(table.columns[0]) == "TOPLAM"), F.col(table.columns[0])]
+        rows = rows.unionByName(sheet_rows(table, F.lit(book), F.lit(name), first))
+    layouts = {"": Layout(RANKING_WIDTHS, "A3"), "Kulüpler": Layout([34, *[8] * (len(clubs.columns) - 1)], "A2"), "Özet": Layout()}
+    # Groups come first: the two others are put after them.
+    rows = rows.withColumn("sheet", F.when(F.col("sheet").isin("Kulüpler", "Özet"), F.col("sheet")).otherwise(F.concat(F.lit(" "), "sheet")))
+    write_books(rows, path, None, RANKING_STYLES, layouts)
 
 
 def summary_sheet(tally: DataFrame, group: str, counts: list[str]) -> DataFrame:
@@ -116,11 +134,13 @@ def summary_sheet(tally: DataFrame, group: str, counts: list[str]) -> DataFrame:
     return rows.orderBy("_t", group).select(name.alias(group), *counts)
 
 
-def roster_workbook(compared: DataFrame, legs: tuple[str, str], most: int = SHEET_ROWS) -> bytes:
+def write_roster(compared: DataFrame, legs: tuple[str, str], path: str, book: str) -> None:
     """The comparison with a colour for each status, and a sheet that says what they mean."""
-    rows = _rows(roster_sheet(compared, legs), most)
-    legend = [MEANING[s] for s in MEANING]
-    return workbook(
-        {"Sporcu Karşılaştırma": (roster_headings(legs), [tuple(r)[:-1] for r in rows]), "Açıklama": (["Renk", "Anlam"], legend)},
-        fills={"Sporcu Karşılaştırma": [COLOURS[r["status"]] for r in rows], "Açıklama": [COLOURS[s] for s in MEANING]},
-    )
+    sheet = roster_sheet(compared, legs)
+    named = F.coalesce(F.nullif(F.col(roster_headings(legs)[0]), F.lit("")), F.col(roster_headings(legs)[4]))
+    first, second = "Sporcu Karşılaştırma", "Açıklama"
+    rows = sheet_rows(sheet, F.lit(book), F.lit(first), [named, F.col(roster_headings(legs)[2])], style=F.col("status"), hidden=("status",))
+    legend = compared.sparkSession.createDataFrame([(i, s, *MEANING[s]) for i, s in enumerate(MEANING)], "place int, status string, Renk string, Anlam string")
+    rows = rows.unionByName(sheet_rows(legend, F.lit(book), F.lit(second), [F.col("place")], style=F.col("status"), hidden=("place", "status"), header="bold"))
+    styles = {s: Style(c) for s, c in COLOURS.items()} | {"header": Style("1F3864", "FFFFFF", True, 11, True), "bold": Style(bold=True)}
+    write_books(rows, path, {first: 0, second: 1}, styles, {first: Layout(ROSTER_WIDTHS, "A2", 28), second: Layout([12, 55])})

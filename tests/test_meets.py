@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -165,7 +166,7 @@ def test_stream_buckets(spark, tmp_path):
         live.newest_version(spark, str(tmp_path / "none"))
 
 
-def test_workbooks(spark):
+def test_workbooks(spark, tmp_path):
     made = raw(spark, ("m", 1, "Ada Test", "X", 2012, "Serbest", 50, 3000, "pdf"), ("m", 2, "ADA TEST", "X", 2012, "Serbest", 50, 2900, "pdf"), ("m", 3, "Can Test", "Y", 2012, "Karışık", 400, 30000, "pdf"), ("m", 4, "Nil Test", "Z", 2012, "Karışık", 100, 7000, "pdf"))
     over = spark.createDataFrame([], OVERRIDES)
     rich = meet.enrich_results(made, over, spark.createDataFrame([("y", "Y", "Bolu", 3, 1)], CLUBS), spark.createDataFrame([], CLUBS))
@@ -176,13 +177,20 @@ def test_workbooks(spark):
     assert [(r["Ad Soyad"], r["Şehir"], r["Bölge"], r["Cinsiyet"], r["Serbest_50m"], r["Karışık_400m"]) for r in sheet.collect()] == [
         ("Ada Test", "Ankara", "2", "Kız", "29.00", None), ("Can Test", "Bolu", "3", "Kız", None, "5:00.00"), ("Nil Test", "", "", "Kız", None, None)
     ]
-    read = sheet_rows(layouts.results_workbook(rich, "line_no"))
-    assert read[0]["A"] == "Ad Soyad" and read[1]["A"] == "Ada Test" and len(read) == 4
+    layouts.write_results(rich, "line_no", str(tmp_path / "r"), "meet", F.concat(F.lit("book_"), "meet"))
+    raw_book = (tmp_path / "r" / "book_m.xlsx").read_bytes()
+    read = sheet_rows(raw_book)
+    assert read[0]["A"] == "Ad Soyad" and read[1]["A"] == "Ada Test" and len(read) == 4 and [p.name for p in (tmp_path / "r").iterdir()] == ["book_m.xlsx"]
+    with zipfile.ZipFile(io.BytesIO(raw_book)) as z:
+        body, styles = z.read("xl/worksheets/sheet1.xml").decode(), z.read("xl/styles.xml").decode()
+        ElementTree.fromstring(styles)
+    assert 'topLeftCell="H2"' in body and 'width="28"' in body and 'ht="30"' in body and "1F4E79" in styles and "F2F2F2" in styles
+    assert '<c r="A1" s="1"' in body and '<c r="H1" s="2"' in body and '<c r="A2" s="5"' in body and '<c r="A3" s="3"' in body
     assert layouts.results_name("2026.01.02", "t").startswith("2026.01.02_") and not layouts.results_name("", "t").startswith("_")
-    with pytest.raises(ValueError):
-        layouts.results_workbook(rich, "line_no", most=1)
     compared = spark.createDataFrame([("A", "X", 2012, "F", "A", "X", "both"), ("B", "X", 2012, "F", None, None, "only_a"), (None, None, 2011, "M", "C", "Y", "only_b")], "name_a string, value_a string, birth_year int, gender string, name_b string, value_b string, status string")
-    book = layouts.roster_workbook(compared, ("Bahar", "Güz"))
+    layouts.write_roster(compared, ("Bahar", "Güz"), str(tmp_path / "c"), "roster")
+    book = (tmp_path / "c" / "roster.xlsx").read_bytes()
+    assert sheet_rows(book)[0]["A"] == "Bahar - Sporcu"
     assert [r.get("A") for r in sheet_rows(book)][1:] == ["A", "B", ""] and len(sheet_rows(book, 2)) == 5
     with zipfile.ZipFile(io.BytesIO(book)) as z:
         styles = z.read("xl/styles.xml").decode()
@@ -194,5 +202,6 @@ def test_workbooks(spark):
     scores = spark.createDataFrame([("p", "Serbest", 50, 5, 6, 6)], "who string, stroke string, distance int, leg_f int, leg_o int, combined int")
     wide = layouts.ranking_sheet(ranked, scores, ("f", "o"), ["who"])
     assert len(wide.columns) == 1 + 12 + 3 * 17 and wide.first()["Serbest_50m o"] == 6
-    book = layouts.ranking_workbook({"13 Kadın": wide.drop("who")}, {"13 Kadın": "TR: 20"}, tally, summary)
-    assert sheet_rows(book)[0] == {"A": "TR: 20"} and sheet_rows(book, 3)[-1]["A"] == "TOPLAM"
+    layouts.write_ranking(wide, F.lit("13 Kadın"), F.lit("TR: 20"), tally, summary, str(tmp_path / "k"), "ranking", ["who"])
+    book = (tmp_path / "k" / "ranking.xlsx").read_bytes()
+    assert sheet_rows(book)[0] == {"A": "TR: 20"} and sheet_rows(book)[1]["B"] == "Ad Soyad" and sheet_rows(book)[2]["B"] == "P" and sheet_rows(book, "Özet")[-1]["A"] == "TOPLAM"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import json
 import zipfile
 
@@ -11,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from splitboard.functions.text import normalize_for_lookup
-from splitboard.sinks import files
+from splitboard.sinks import books, files
 from splitboard.sources import archive, html, lenex, lines, sheets
 from splitboard.streaming import live
 
@@ -194,9 +193,9 @@ def test_first_source(spark):
     assert sorted(r.v for r in lines.first_source(df, "doc", "p").collect()) == ["b", "c"]
 
 
-def test_sheets(spark, tmp_path):
+def test_sheets(spark, tmp_path, workbook):
     rows = [("A", None, "C", None, "E", None, "G")] * 3 + [("Ank SK", None, "Ankara SK", None, "Ankara", None, "4"), ("x", None, None, None, None, None, "4"), ("Bursa", None, None, None, "Bursa", None, "iki")]
-    (tmp_path / "map.xlsx").write_bytes(files.workbook({"s": (list("ABCDEFG"), rows)}))
+    (tmp_path / "map.xlsx").write_bytes(workbook({"s": (list("ABCDEFG"), rows)}))
     sheet = sheets.read_sheet(spark, str(tmp_path / "map.xlsx"), {"A": "alt", "C": "canonical", "E": "city", "G": "region"}, first_row=5)
     assert sheet.count() == 3
     mapping = sheets.club_mapping(sheet, normalize_for_lookup).collect()
@@ -221,10 +220,28 @@ def test_sinks(spark, tmp_path):
     files.write_script(out, "athletes", str(tmp_path / "s"))
     files.write_csv(df, str(tmp_path / "c"))
     assert spark.read.text(str(tmp_path / "s")).first().value.startswith("window.RESULTS = [")
-    book = files.report_workbook({"Liste": df, "Özet": df.groupBy("grp").count()})
-    assert sheets.sheet_rows(book)[1]["A"] == "g" and "xl/worksheets/sheet2.xml" in zipfile.ZipFile(io.BytesIO(book)).namelist()
-    with pytest.raises(ValueError):
-        files.report_workbook({"Liste": df}, most=2)
+    books.write_reports({"Liste": df, "Özet & mehr": df.groupBy("grp").count()}, str(tmp_path / "b"), "report")
+    book = (tmp_path / "b" / "report.xlsx").read_bytes()
+    assert [r["C"] for r in sheets.sheet_rows(book)] == ["event", "e1", "e2", "e1"] and sheets.sheet_rows(book, "Özet & mehr")[1] == {"A": "g", "B": "3"}
+
+
+def test_books(spark, tmp_path, monkeypatch):
+    """Many books of one write, each by one task; a write that fails leaves none."""
+    rows = [(f"b{b}", f"s{s}", r, [f"{b}.{s}.{r}", None, "<&>"], None) for b in range(5) for s in range(2) for r in range(1, 4)]
+    df = spark.createDataFrame(rows, books.SCHEMA).repartition(4)
+    books.write_books(df, str(tmp_path / "b"), {"s1": 0})
+    assert sorted(p.name for p in (tmp_path / "b").iterdir()) == [f"b{i}.xlsx" for i in range(5)]
+    for b in range(5):
+        raw = (tmp_path / "b" / f"b{b}.xlsx").read_bytes()
+        assert [[r["A"] for r in sheets.sheet_rows(raw, n)] for n in (1, 2)] == [[f"{b}.{s}.{r}" for r in range(1, 4)] for s in (1, 0)]
+        assert sheets.sheet_rows(raw, "s0")[0] == {"A": f"{b}.0.1", "C": "<&>"}
+    lost = df.withColumn("style", F.when(F.col("book") == "b4", F.raise_error(F.lit("lost"))).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        books.write_books(lost, str(tmp_path / "lost"))
+    assert not list((tmp_path / "lost").glob("*.xlsx"))
+    monkeypatch.setattr(books, "ROWS", 2)
+    with pytest.raises(Exception, match="more rows than a sheet holds"):
+        books.write_books(df, str(tmp_path / "full"))
 
 
 def test_live_upsert(spark, tmp_path):

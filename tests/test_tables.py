@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from splitboard.functions import text
 from splitboard.operators import meet, state
-from splitboard.sinks import files, tables
+from splitboard.sinks import tables
 from splitboard.sources import sheets
 
 
-def test_sheet_by_name_and_heading(spark, tmp_path):
-    book = files.workbook({"Notes": (["x"], [("y",)]), "Kulüp Listesi": (["Şehir", "Ad", "Boş"], [("Ankara", "A SK", None), ("İzmir", None, "z")])})
+def test_sheet_by_name_and_heading(spark, tmp_path, workbook):
+    book = workbook({"Notes": (["x"], [("y",)]), "Kulüp Listesi": (["Şehir", "Ad", "Boş"], [("Ankara", "A SK", None), ("İzmir", None, "z")])})
     (tmp_path / "a.xlsx").write_bytes(book)
-    (tmp_path / "b.xlsx").write_bytes(files.workbook({"Other": (["Ad"], [("q",)])}))
+    (tmp_path / "b.xlsx").write_bytes(workbook({"Other": (["Ad"], [("q",)])}))
     rows = sheets.read_sheet(spark, str(tmp_path), {"Ad": "name", "Şehir": "city", "Yok": "none"}, sheet="Kulüp Listesi", header_row=1).collect()
     assert [(r.row_no, r.name, r.city, r.none) for r in sorted(rows, key=lambda r: r.row_no)] == [(2, "A SK", "Ankara", None), (3, None, "İzmir", None)]
     by_letter = sheets.read_sheet(spark, str(tmp_path), {"A": "x"}, sheet=1)
