@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import meets, rankings, records, streams
+from . import documents, meets, rankings, records, streams
 
-QUERIES = {**rankings.QUERIES, **records.QUERIES, **meets.QUERIES, **streams.QUERIES}
-ORACLES = {**rankings.ORACLES, **records.ORACLES, **meets.ORACLES, **streams.ORACLES}
+QUERIES = {**rankings.QUERIES, **records.QUERIES, **meets.QUERIES, **streams.QUERIES, **documents.QUERIES}
+ORACLES = {**rankings.ORACLES, **records.ORACLES, **meets.ORACLES, **streams.ORACLES, **documents.ORACLES}

@@ -57,6 +57,7 @@ def test_normalize_for_lookup(spark, raw, want):
         (lambda: text.has_letter_prefix(F.lit("A Ata")), True),
         (lambda: text.has_edge_punctuation(F.lit("-Ata")), True),
         (lambda: text.token_sort_ratio(F.lit("Çelik Ata"), F.lit("ata celik")), 100.0),
+        (lambda: text.strip_diacritics(F.lit("Άδης ᾳ Йогурт ё Ąé")), "Αδης α Иогурт е Ae"),
         (lambda: text.club_match(F.lit("Ankara SK"), F.lit("Ankara Yüzme Kulübü")), True),
         (lambda: text.club_match(F.lit("Ankara SK"), F.lit("Bursa SK")), False),
         (lambda: times.parse_time(F.lit("29.86")), 2986),

@@ -116,3 +116,33 @@ def test_recognised_names_and_clubs(spark):
         ("Ada Civelek", "ocr", 2012, "Enka", 1, True), ("Ada Civvelek", "pdf", 2012, "?", None, False), ("Ada Civvelek", "ocr", 2011, "?", None, False),
         ("Ali Kaya", "ocr", 2012, "Own", 1, True), ("Ali Zorta", "ocr", 2012, "?", None, False), ("ecetest", "ocr", 2012, "?", None, None),
     ])
+
+
+def test_persons(spark):
+    """Against union-find: a long chain, a star, links both ways, links to itself."""
+    from splitboard.operators import persons
+
+    rng = random.Random(8)
+    chain = [(f"c{i:03}", f"c{i + 1:03}") for i in range(90)]
+    star = [("hub", f"s{i}") for i in range(200)]
+    random_ = [(f"r{rng.randrange(150)}", f"r{rng.randrange(150)}") for _ in range(90)]
+    links = [*chain, *star, *random_, ("p", "q"), ("q", "p"), ("z", "z"), (None, "n")]
+    rng.shuffle(links)
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        if a is not None:
+            low, high = sorted((top(a), top(b)))
+            up[high] = low
+        else:
+            top(b)
+    df = spark.createDataFrame(links, "a string, b string")
+    assert {r.name: r.person for r in persons.components(df).collect()} == {x: top(x) for x in up}
+    rows = spark.createDataFrame([(2, "p"), (1, "q"), (3, "c050"), (4, "c000"), (5, "alone"), (6, None)], "n int, name string")
+    got = {r.n: r.canonical for r in persons.one_spelling(rows, df, "name", "n").collect()}
+    assert got == {1: "q", 2: "q", 3: "c050", 4: "c050", 5: "alone", 6: None}
