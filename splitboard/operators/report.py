@@ -106,12 +106,14 @@ def blocks(rows: DataFrame, by: Sequence[str], order: Sequence[str], starts: Col
     return rows.withColumn(out, F.sum(F.when(starts, 1).otherwise(0)).over(w).cast("long"))
 
 
-def before_gap(rows: DataFrame, number: str, filled: Column, most: int) -> DataFrame:
-    """Rows before the first run of ``most`` empty ones, by number; numbers are few (a probe)."""
-    w = Window.partitionBy(F.lit(1)).orderBy(number)
-    run = rows.withColumn("_e", (~filled).cast("int")).withColumn("_s", F.sum("_e").over(w.rowsBetween(-(most - 1), 0)))
-    stop = run.where(F.col("_s") >= most).agg(F.min(number).alias("_stop"))
-    return run.crossJoin(stop).where(F.col("_stop").isNull() | (F.col(number) <= F.col("_stop") - most)).drop("_e", "_s", "_stop")  # one row
+def before_first_gap(rows: DataFrame, by: Sequence[str], number: str, most: int, start: int = 0) -> DataFrame:
+    """Rows of each group up to its first gap of ``most`` missing numbers, counted from ``start``; numbers of any range, spread over tasks."""
+    dealt = scan.ranged(rows.select(*by, number).where(F.col(number) > start).distinct(), by, [number])
+    seen = scan.neighbours(dealt, by, [number], number, "_before", "_after")
+    at = F.when(F.col(number) - F.coalesce("_before", F.lit(start)) > most, F.coalesce("_before", F.lit(start))).when(F.col("_after") - F.col(number) > most, F.col(number))
+    stops = seen.groupBy(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(by))).agg(F.min(at).alias("_stop"))
+    same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)]
+    return rows.join(stops, same).where((F.col(number) > start) & (F.col("_stop").isNull() | (F.col(number) <= F.col("_stop")))).select(*rows.columns)
 
 
 def event_map(rows: DataFrame, keys: Sequence[str], event: Sequence[str], points: str, meta: Sequence[str]) -> DataFrame:

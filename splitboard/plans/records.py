@@ -345,10 +345,14 @@ def props_json(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("SELECT n FROM range(1, 8) t(n)")
+@query("""WITH h AS (SELECT user_id, 1 + date_diff('hour', TIMESTAMP '2024-01-01', ts) AS n, count(*) AS files FROM events GROUP BY ALL),
+l AS (SELECT *, n - coalesce(lag(n) OVER w, 0) > 12 AS late, lag(n) OVER w AS before FROM h WINDOW w AS (PARTITION BY user_id ORDER BY n)), s AS (SELECT user_id, min(n) FILTER (late) AS stop FROM l GROUP BY user_id)
+SELECT user_id, n, files FROM h JOIN s USING (user_id) WHERE stop IS NULL OR n < stop""")
 def numbered_probe(spark, sf_dir):
-    rows = spark.range(1, 60).select(F.col("id").alias("n"))
-    return report.before_gap(rows, "n", (F.col("n") <= 7) | (F.col("n") == 30), 5)
+    """A user's hours stand for numbered files: they are looked for up to the first twelve that are missing."""
+    hour = (F.floor((F.unix_timestamp(F.col("ts").cast("timestamp")) - 1_704_067_200) / 3600) + 1).alias("n")
+    rows = table(spark, sf_dir, "events").groupBy("user_id", hour).agg(F.count(F.lit(1)).alias("files"))
+    return report.before_first_gap(rows, ["user_id"], "n", 12)
 
 
 @query("""SELECT 'digit' AS "check", min(value) AS value FROM (SELECT p_name AS value FROM part WHERE regexp_matches(p_name, '[0-9]')) GROUP BY lower(value)

@@ -80,3 +80,10 @@ def test_header_in_force_over_pages(spark, spread):
     report_ = ["Ankara Spor Kulübü", "Test YÜZÜCÜ, 2012 (14 yas), Erkekler", "50m Serbest 128. 28.43 416 28.00 97%", "Bursa Yüzme Kulübü", "50m Serbest 1. 29.00"]
     df = spark.createDataFrame([("d", i, i, t) for i, t in enumerate(report_)], "doc string, page int, line_no int, text string")
     assert [(r.name, r.club, r.cents) for r in lines.progression_lines(df, spread=spread).collect()] == [("Test YÜZÜCÜ", "Ankara Spor Kulübü", 2843)]
+
+
+def test_before_first_gap(spark):
+    rows = [("a", n) for n in (1, 2, 4, 9, 10, 40)] + [("b", n) for n in (7, 8)] + [(None, n) for n in (3, 3, 0)] + [("c", 1)]
+    got = sorted(map(str, report.before_first_gap(spark.createDataFrame(rows, "g string, n int"), ["g"], "n", 5).collect()))
+    want = [("a", n) for n in (1, 2, 4, 9, 10)] + [(None, 3), (None, 3), ("c", 1)]
+    assert got == sorted(map(str, spark.createDataFrame(want, "g string, n int").collect()))
