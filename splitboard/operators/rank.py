@@ -162,45 +162,63 @@ def validate(
     return seen.select(*by, F.explode(faults).alias("fault"), F.col(name).alias("name"), place)
 
 
-def shown_events(best: DataFrame, keys: Sequence[str], event: str, points: str, restricted: Column, out: str) -> DataFrame:
-    """(keys, out): all events by falling points, each with whether it is restricted and whether it counts among the first three."""
-    from .score import in_top
+def _counts(events: Column):
+    return lambda e: F.struct(e["event"].alias("event"), e["points"].alias("points"), e["restricted"].alias("restricted"), F.array_contains(events, e["event"]).alias("in_top3"))
 
-    flagged = in_top(best, keys, event, points, restricted).withColumn("_r", restricted)
-    each = F.struct((-F.col(points)).alias("o"), F.col(event).alias("event"), F.col(points).alias("points"), F.col("_r").alias("restricted"), F.col("in_top").alias("in_top3"))
-    shown = F.transform(F.array_sort(F.collect_list(each)), lambda e: e.dropFields("o"))
-    return flagged.groupBy(*keys).agg(shown.alias(out))
+
+def shown_events(scores: DataFrame, keys: Sequence[str], event: str, lists: dict[str, str], restricted: Column) -> DataFrame:
+    """(keys, a list of events for each of ``lists``, ``_top_<list>``): events by falling points, each with whether it is restricted and whether it counts among the first three; and the sum of those.
+
+    ``lists`` names a points column of ``scores`` (keys, event, points...) for each; an
+    event without points is in no list. One aggregate makes all lists: a person has few events.
+    """
+    is_r = F.coalesce(restricted, F.lit(False))
+
+    def collected(points: str) -> Column:
+        entry = F.struct((-F.col(points)).alias("o"), is_r.alias("restricted"), F.col(event).alias("event"), F.col(points).alias("points"))
+        return F.array_sort(F.collect_list(F.when(F.col(points).isNotNull(), entry)))
+
+    each = scores.groupBy(*keys).agg(*(collected(points).alias(name) for name, points in lists.items()))
+    shown = {}
+    for name in lists:
+        # The first restricted one is the best of them; free ones come first among equals.
+        one = F.slice(F.filter(name, lambda e: e["restricted"]), 1, 1)
+        top = F.slice(F.array_sort(F.concat(F.filter(name, lambda e: ~e["restricted"]), one)), 1, 3)
+        ordered = F.array_sort(F.transform(name, lambda e: F.struct(e["o"], e["event"], e["points"], e["restricted"])))
+        counted = F.transform(top, lambda e: e["event"])
+        shown[f"_top_{name}"] = F.aggregate(top, F.lit(0).cast("long"), lambda n, e: n + e["points"])
+        shown[f"_shown_{name}"] = F.transform(ordered, _counts(counted))
+    out = each.withColumns(shown)
+    return out.select(*keys, *(F.col(f"_shown_{n}").alias(n) for n in lists), *(f"_top_{n}" for n in lists))
 
 
 def output_rows(
-    ranked: DataFrame, best: DataFrame, legs: dict[str, DataFrame], winners: DataFrame, pending: DataFrame, keys: Sequence[str], gender: str, name: str,
-    event: str, points: str, restricted: Column, labels: dict[str, str], least: int | Column,
+    ranked: DataFrame, scores: DataFrame, legs: Sequence[str], winners: DataFrame, pending: DataFrame, keys: Sequence[str], gender: str, name: str,
+    event: str, restricted: Column, labels: dict[str, str], least: int | Column,
 ) -> DataFrame:
     """One published row for each ranked person.
 
-    ``ranked`` comes from ``select_group`` with ``seq``; ``best`` and each of ``legs``
-    have the best points by keys and event; ``winners`` (leg, gender, event, winner) and
+    ``ranked`` comes from ``select_group`` with ``seq``; ``scores`` has the most points
+    by keys and event, over all (``combined``) and in each of ``legs`` (``leg_<leg>``),
+    as ``leg_scores`` gives them; ``winners`` (leg, gender, event, winner) and
     ``pending`` (keys, event, entry) what was won and what is still to come. Adds
     ``top3``, ``seq_display``, ``selected_label`` (itself if unknown), ``qualifies``,
     ``first_place``, ``events``, ``events_<leg>``, ``top3_<leg>`` and ``pending_events``;
     who has none gets empty arrays and 0.
     """
-    from .score import sequence_display, sequences, top_sum
+    from .score import sequence_display
 
     table = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
     out = ranked.withColumns({
         "top3": F.col("k3"), "seq_display": sequence_display(F.col("seq")), "selected_label": F.coalesce(table[F.col("selected")], F.col("selected")),
         "qualifies": (F.col("k3") >= least) | (F.col("selected") == "MULTINATIONS"),
     })
-    lists = [(shown_events(best, keys, event, points, restricted, "events"), "events")]
-    for leg, rows in legs.items():
-        lists.append((shown_events(rows, keys, event, points, restricted, f"events_{leg}"), f"events_{leg}"))
-        totals = sequences(rows, keys, points, restricted).select(*keys, top_sum(F.col("seq"), 3).alias(f"top3_{leg}"))
-        out = out.join(totals, list(keys), "left").withColumn(f"top3_{leg}", F.coalesce(f"top3_{leg}", F.lit(0).cast("long")))
+    columns = {"events": "combined"} | {f"events_{leg}": f"leg_{leg}" for leg in legs}
+    lists = shown_events(scores, keys, event, columns, restricted)
+    out = out.join(lists, list(keys), "left").withColumns({c: F.coalesce(c, F.array().cast(lists.schema[c].dataType)) for c in columns})
+    out = out.withColumns({f"top3_{leg}": F.coalesce(f"_top_events_{leg}", F.lit(0).cast("long")) for leg in legs}).drop(*(f"_top_{c}" for c in columns))
     won = winners.groupBy(F.col(gender), F.col("winner").alias(name)).agg(F.array_sort(F.collect_list(F.struct("leg", event))).alias("first_place"))
     open_ = pending.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(event, "entry"))).alias("pending_events"))
-    for rows, column in lists:
-        out = _with_list(out, rows, keys, column)
     return _with_list(_with_list(out, won, [gender, name], "first_place"), open_, keys, "pending_events")
 
 

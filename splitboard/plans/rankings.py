@@ -303,12 +303,10 @@ LEFT JOIN (SELECT athlete, string_agg(event || ':' || cents, ',' ORDER BY event,
 def output_rows(spark, sf_dir):
     """The published rows, their lists shown as text."""
     ranked = rank.select_group(b.keyed(spark, sf_dir), ["grp"], "region", "athlete", NATIONAL, FIRST_REGION, OTHER_REGION, LEAST, F.col("athlete") % LISTED == 0)
-    paid = b.scored(spark, sf_dir).where("points > 0")
-    legs = {leg.lower(): paid.where(F.col("leg") == leg).groupBy("athlete", "event").agg(F.max("points").alias("points")) for leg in ("F", "O")}
+    scores = score.leg_scores(b.scored(spark, sf_dir), ["athlete", "event"], "leg", ("F", "O"), "points")
     pending = b.marks(spark, sf_dir).where("leg = 'P'").select("athlete", "event", F.col("cents").alias("entry"))
-    best = b.best(spark, sf_dir).select("athlete", "event", "points")
     out = rank.output_rows(
-        ranked, best, legs, event_winners(spark, sf_dir), pending, ["athlete"], "grp", "athlete", "event", "points", b.restricted(), {"TR": "TR Kadro", "BÖLGE": "Bölge"}, LEAST
+        ranked, scores, ("f", "o"), event_winners(spark, sf_dir), pending, ["athlete"], "grp", "athlete", "event", b.restricted(), {"TR": "TR Kadro", "BÖLGE": "Bölge"}, LEAST
     )
     shown = lambda c, *parts: F.array_join(F.transform(c, lambda e: F.concat_ws(":", *(e[p].cast("string") for p in parts))), ",").alias(c)
     lists = [shown(c, "event", "points", "restricted", "in_top3") for c in ("events", "events_f", "events_o")]
