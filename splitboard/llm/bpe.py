@@ -211,8 +211,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
 
     ``vocabulary`` is the path of a word-end BPE file on the driver; its tables are
     broadcast (their size is the file's). A null text counts as empty and has no
-    tokens. Whole texts are encoded, whatever their length; repeated rows alike. An
-    empty table gives no rows.
+    tokens. Whole texts are encoded, whatever their length; repeated rows alike. Other
+    columns, whatever their names, are not looked at. An empty table gives no rows.
     """
     ship(docs.sparkSession)
     with open(vocabulary, encoding="utf-8") as file:

@@ -99,7 +99,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     """One row per document: id and ``fingerprint`` (hex; null and empty texts: empty).
 
     For a table by itself. The rows are dealt once by a hash of identifier and text;
-    repeated rows are fingerprinted once and all come out. An empty table gives no rows.
+    repeated rows are fingerprinted once and all come out. Other columns, whatever their
+    names, are not looked at. An empty table gives no rows.
     """
     n = 2 * shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body"))

@@ -90,8 +90,9 @@ def mix_sources(
     makes. Every document of a source is taken floor(target / source_size) times,
     and those with the smallest hashes once more; the one that the budget ends in
     is taken if at least half of it fits. Rows with one identifier share a hash and
-    so a decision. Null sources form a source of their own. An empty table gives no
-    rows; a source without words has target 0.
+    so a decision. Null sources form a source of their own. Texts are counted whole,
+    whatever their length, and other columns, whatever their names, are not looked at.
+    An empty table gives no rows; a source without words has target 0.
     """
     sized = cut(
         docs.select(

@@ -44,7 +44,8 @@ def shard_records(
     ``grown`` are the weights after a change (default: one more shard of the last
     weight). A null text has no bytes; a null key is a key like any other. Repeated
     rows share a shard and have slots of their own, in order of key, size and
-    checksum. An empty table gives no rows; other columns are not read.
+    checksum. Texts are measured whole, whatever their length. An empty table gives no
+    rows; other columns, whatever their names, are not read.
     """
     grown = grown if grown is not None else [*weights, weights[-1]]
     key = F.col(id_col)

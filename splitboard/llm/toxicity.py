@@ -193,8 +193,9 @@ def toxicity(
 
     Only labelled rows outside ``held_out`` are learned from, ``per_class`` of each
     class at most; every document is scored over its whole text. Null and empty
-    texts score 0 (nothing is saved). Repeated rows score alike. An empty table gives
-    no rows; without labels all scores are 0.
+    texts score 0 (nothing is saved). Repeated rows score alike. Other columns, whatever
+    their names, are not looked at. An empty table gives no rows; without labels all
+    scores are 0.
     """
     model = fitted(docs, labels, label, ~held_out, per_class, fit, id_col, text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
