@@ -101,7 +101,7 @@ def _by_seq():
 
 
 @query(
-    """WITH s AS (SELECT s_suppkey AS row_no, 'Kulüp ' || translate(CAST(s_suppkey % 40 AS VARCHAR), '0123456789', 'abcdefghij') AS alt, n_name AS club, n_name AS city, CAST(n_regionkey AS INTEGER) AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+    """WITH s AS (SELECT s_suppkey AS row_no, 'Kulüp ' || translate(CAST(s_suppkey % 40 AS VARCHAR), '0123456789', 'acdefghijm') AS alt, n_name AS club, n_name AS city, CAST(n_regionkey AS INTEGER) AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 g AS (SELECT * FROM s WHERE row_no % 11 <> 0), each AS (SELECT lower(translate(alt, 'ü', 'u')) AS key, alt, club, city, region, row_no, 0 AS o FROM g UNION ALL SELECT replace(lower(club), '_', ' '), club, club, city, region, row_no, 1 FROM g)
 SELECT key, arg_max(alt, row_no * 2 + o) AS alt, arg_max(club, row_no * 2 + o) AS club, arg_max(city, row_no * 2 + o) AS city, arg_max(region, row_no * 2 + o) AS region FROM each GROUP BY key
 UNION ALL SELECT 'old ' || lower(r_name), 'Old', 'Old', r_name, 0 FROM region""",
@@ -111,7 +111,7 @@ def club_sync(spark, sf_dir):
     """A mapping sheet is written, read by its name and headings, and upserted: the last row of a key wins; every eleventh has no city."""
     nations = table(spark, sf_dir, "nation")
     rows = table(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
-    alt = F.concat(F.lit("Kulüp "), F.translate((F.col("s_suppkey") % 40).cast("string"), "0123456789", "abcdefghij"))
+    alt = F.concat(F.lit("Kulüp "), F.translate((F.col("s_suppkey") % 40).cast("string"), "0123456789", "acdefghijm"))
     sheet = rows.select(F.col("s_suppkey").alias("no"), alt.alias("Diğer Ad"), F.col("n_name").alias("Kulüp Adı"), F.when(F.col("s_suppkey") % 11 != 0, F.col("n_name")).alias("Şehir"), F.col("n_regionkey").cast("string").alias("Bölge"))
     folder = _folder(spark, "mapping")
     books.write_books(books.sheet_rows(sheet, F.lit("mapping"), F.lit("Kulüpler"), [F.col("no")], hidden=("no",)), folder)
