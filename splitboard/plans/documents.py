@@ -1,6 +1,7 @@
 """Queries over documents made from the tables: entry lists, progression reports, rosters, recognised words, sheets, and the text rules that read them.
 
-The documents are lines, words or files that the swims are written to; SQL states what reading them must give, from the tables alone.
+The documents are lines, words or files that the swims are written to; SQL states what reading them must give, from the tables alone. What stands above the swims has
+numbers below 0, as a swim's number may be 0.
 """
 
 from __future__ import annotations
@@ -44,10 +45,10 @@ def _doc():
 def start_list(spark, sf_dir):
     """Entries of lists whose header has the distance run into the stroke; a lane and a heat come before the name, NT is no time."""
     rows = swims(spark, sf_dir)
-    head = rows.select(_doc(), F.lit(0).cast("long").alias("line_no"), F.concat(F.lit("Yarış 3, "), _words(rows), F.lit(", "), F.col("distance").cast("string"), F.lit("m"), "stroke").alias("text")).distinct()
+    head = rows.select(_doc(), F.lit(-2).cast("long").alias("line_no"), F.concat(F.lit("Yarış 3, "), _words(rows), F.lit(", "), F.col("distance").cast("string"), F.lit("m"), "stroke").alias("text")).distinct()
     time = F.when(F.col("seq") % 3 != 0, times.display_time(F.col("cents"))).otherwise("NT")
     body = rows.select(_doc(), F.col("seq").alias("line_no"), F.concat_ws(" ", F.lit("1 4"), "name_raw", _year(), "club_raw", time).alias("text"))
-    note = head.select("doc", F.lit(1).cast("long").alias("line_no"), F.lit("Not: 50m Kelebek barajlı").alias("text"))
+    note = head.select("doc", F.lit(-1).cast("long").alias("line_no"), F.lit("Not: 50m Kelebek barajlı").alias("text"))
     read = line_reader.start_lines(head.unionByName(note).unionByName(body).withColumn("page", F.lit(1)))
     return read.select(F.split_part("doc", F.lit("|"), F.lit(1)).alias("meet"), "name", "club", "birth_year", "gender", "stroke", "distance", "entry_cents")
 
@@ -70,10 +71,10 @@ def roster_text(spark, sf_dir):
     """Athletes of a meet's rosters, a document for each club: each once, under its club's line."""
     rows = swims(spark, sf_dir)
     doc = F.concat_ws("|", "meet", "club_raw").alias("doc")
-    clubs = rows.select(doc, F.lit(0).cast("long").alias("line_no"), F.col("club_raw").alias("text")).distinct()
+    clubs = rows.select(doc, F.lit(-2).cast("long").alias("line_no"), F.col("club_raw").alias("text")).distinct()
     age = (F.lit(2026) - F.col("birth_year")).cast("string")
     one = F.concat(F.col("name_raw"), F.lit(", "), F.col("birth_year").cast("string"), F.lit(" ("), age, F.lit(" yaş), "), F.when(F.col("gender") == "M", "Erkek").otherwise("Kız"))
-    skip = clubs.select("doc", F.lit(1).cast("long").alias("line_no"), F.lit("Sporcuların İlerlemesi").alias("text"))
+    skip = clubs.select("doc", F.lit(-1).cast("long").alias("line_no"), F.lit("Sporcuların İlerlemesi").alias("text"))
     body = rows.select(doc, F.col("seq").alias("line_no"), one.alias("text"))
     read = line_reader.roster_lines(clubs.unionByName(skip).unionByName(body).withColumn("page", F.lit(1)))
     return read.select(F.split_part("doc", F.lit("|"), F.lit(1)).alias("meet"), "name", "birth_year", "gender", "club")

@@ -70,10 +70,10 @@ swims AS (
 
 
 def lists(rows: DataFrame) -> DataFrame:
-    """The swims as lines of text, one list for each athlete and meet, with its header."""
+    """The swims as lines of text, one list for each athlete and meet, with its header above all of them: a swim's number may be 0."""
     doc = F.concat_ws("|", "meet", "c_custkey")
     words = F.when(F.col("gender") == "M", "Erkekler").otherwise("Kızlar")
-    head = rows.select(doc.alias("doc"), F.lit(0).cast("long").alias("line_no"), F.concat(F.lit("Yarış 7, "), words, F.lit(", "), F.col("distance").cast("string"), F.lit("m "), "stroke").alias("text")).distinct()
+    head = rows.select(doc.alias("doc"), F.lit(-1).cast("long").alias("line_no"), F.concat(F.lit("Yarış 7, "), words, F.lit(", "), F.col("distance").cast("string"), F.lit("m "), "stroke").alias("text")).distinct()
     year = F.pmod("birth_year", F.lit(100)).cast("string")
     body = rows.select(doc.alias("doc"), F.col("seq").alias("line_no"), F.concat_ws(" ", F.lit("1."), "name_raw", year, "club_raw", times.display_time(F.col("cents"))).alias("text"))
     return head.unionByName(body).withColumn("page", F.lit(1))
