@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 # The executors get these functions by value, so they need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Rows of a sheet that a task holds.
+HELD = 5_000
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 
 
@@ -30,50 +32,68 @@ def _member(z: zipfile.ZipFile, sheet: int | str) -> str | None:
     return f"xl/{targets[link].removeprefix('/xl/')}" if link in targets else None
 
 
-def sheet_rows(raw: bytes, sheet: int | str = 1) -> list[dict[str, str]]:
-    """Rows of a sheet as {column letter: text}; none if there is no sheet of that name."""
+def rows_of(raw: bytes, sheet: int | str = 1) -> Iterator[dict[str, str]]:
+    """Rows of a sheet as {column letter: text}, one after another as they are parsed; none if there is no sheet of that name."""
+    main = f"{{{_NS['m']}}}"
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         member = _member(z, sheet)
         if member is None:
-            return []
+            return
         shared: list[str] = []
         if "xl/sharedStrings.xml" in z.namelist():
-            for item in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS):
-                shared.append("".join(t.text or "" for t in item.iter(f"{{{_NS['m']}}}t")))
-        out = []
-        for row in ElementTree.fromstring(z.read(member)).iter(f"{{{_NS['m']}}}row"):
-            cells = {}
-            for cell in row.findall("m:c", _NS):
-                value, inline = cell.find("m:v", _NS), cell.find("m:is", _NS)
-                letter = re.match(r"[A-Z]+", cell.get("r", "A"))[0]
-                if inline is not None:
-                    cells[letter] = "".join(t.text or "" for t in inline.iter(f"{{{_NS['m']}}}t"))
-                elif value is not None and value.text is not None:
-                    cells[letter] = shared[int(value.text)] if cell.get("t") == "s" else value.text
-            out.append(cells)
-        return out
+            with z.open("xl/sharedStrings.xml") as part:
+                for _, item in ElementTree.iterparse(part):
+                    if item.tag == f"{main}si":
+                        shared.append("".join(t.text or "" for t in item.iter(f"{main}t")))
+                        item.clear()
+        with z.open(member) as part:
+            for _, row in ElementTree.iterparse(part):
+                if row.tag != f"{main}row":
+                    continue
+                cells = {}
+                for cell in row.findall("m:c", _NS):
+                    value, inline = cell.find("m:v", _NS), cell.find("m:is", _NS)
+                    letter = re.match(r"[A-Z]+", cell.get("r", "A"))[0]
+                    if inline is not None:
+                        cells[letter] = "".join(t.text or "" for t in inline.iter(f"{main}t"))
+                    elif value is not None and value.text is not None:
+                        cells[letter] = shared[int(value.text)] if cell.get("t") == "s" else value.text
+                # What is left of a row in the tree is its empty element.
+                row.clear()
+                yield cells
+
+
+def sheet_rows(raw: bytes, sheet: int | str = 1) -> list[dict[str, str]]:
+    """All rows of a small sheet, see ``rows_of``."""
+    return list(rows_of(raw, sheet))
 
 
 def read_sheet(spark: SparkSession, path: str, columns: dict[str, str], first_row: int = 2, sheet: int | str = 1, header_row: int | None = None) -> DataFrame:
-    """Columns of a sheet from ``first_row`` on, as strings, with ``path`` and ``row_no``. Whole files go to Python by Arrow.
+    """Columns of a sheet from ``first_row`` on, as strings, with ``path`` and ``row_no``. Files go to Python by Arrow, packed as they are; a task holds ``HELD`` rows of a sheet.
 
     ``columns`` maps letters to names; with ``header_row`` it maps that row's headings
     instead, wherever they stand (the last of equal ones counts, a missing one is null).
+    A heading row below ``first_row`` holds for the rows above it too, which are kept until it comes.
     ``sheet`` is a number from 1 or a name; a file without a sheet of that name has no rows.
     """
+    names = ["path", "row_no", *columns.values()]
     schema = "path string, row_no int, " + ", ".join(f"`{n}` string" for n in columns.values())
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at, raw in zip(batch["path"], batch["content"]):
-                held = sheet_rows(raw, sheet)
-                letters = list(columns)
-                if header_row is not None:
-                    heads = held[header_row - 1] if len(held) >= header_row else {}
-                    place = {str(text).strip(): letter for letter, text in heads.items()}
-                    letters = [place.get(c) for c in columns]
-                found = [(at, i, *(r.get(c) for c in letters)) for i, r in enumerate(held, 1) if i >= first_row]
-                yield pd.DataFrame(found, columns=["path", "row_no", *columns.values()])
+                letters, found = (list(columns) if header_row is None else None), []
+                for i, row in enumerate(rows_of(raw, sheet), 1):
+                    if i == header_row:
+                        place = {str(text).strip(): letter for letter, text in row.items()}
+                        letters = [place.get(c) for c in columns]
+                    if i >= first_row:
+                        found.append((i, row))
+                    if letters is not None and len(found) >= HELD:
+                        yield pd.DataFrame([(at, n, *(r.get(c) for c in letters)) for n, r in found], columns=names)
+                        found = []
+                letters = [None] * len(columns) if letters is None else letters
+                yield pd.DataFrame([(at, n, *(r.get(c) for c in letters)) for n, r in found], columns=names)
 
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", "content").mapInPandas(rows, schema)
