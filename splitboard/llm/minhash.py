@@ -352,9 +352,11 @@ def _postings(rows: DataFrame, percent: int, cut: Scratch) -> DataFrame:
     Let a group's leader have the set L and a node n shingles, p of them in L. Two nodes
     b and c that are linked share at least t (n_b + n_c) shingles, t = percent / (100 +
     percent), and at most min(p_b, p_c) of them in L, so at least
-    e = t (n_b + n_c) - min(p_b, p_c) outside. As sizes may differ by ``percent`` only,
-    e >= percent / 100 n_b - p_b for either node, and it is enough to post the first
-    n_b - p_b - max(1, that) + 1 of its shingles outside L, the rarest in the group first. If e <= 0
+    e = t (n_b + n_c) - min(p_b, p_c) outside. Sizes may differ by ``percent`` only, and
+    of the nodes that b can still be linked with (those of other labels than the leader's,
+    if b has that) the group's least n_c and most p_c are known, so e has a lower bound
+    for each node: who has fewer shingles outside L posts none, and of the others it is
+    enough to post the first n_b - p_b - max(1, that) + 1, the rarest in the group first. If e <= 0
     and they share no shingle outside, then one of them, that is not linked with the
     leader, shares with the other a shingle of L that both lack; those are posted by
     the few nodes whose sizes allow it. Nothing is posted where all have one label.
@@ -368,10 +370,15 @@ def _postings(rows: DataFrame, percent: int, cut: Scratch) -> DataFrame:
         F.max(F.greatest("label", "lead_label")).alias("high"),
         F.min("n").alias("least_n"),
         F.min(F.when(apart, F.col("n"))).alias("apart_n"),
+        F.max("p").alias("most_p"),
+        F.max(F.when(apart, F.col("p"))).alias("apart_p"),
         F.max(F.when(apart, F.col("reach"))).alias("apart_reach"),
     )
     rows = rows.join(bounds.where("low < high").drop("low", "high"), "g")
-    need = F.greatest(F.lit(1).cast("long"), F.ceil(F.lit(percent / 100) * F.col("n") - F.col("p") - 1e-6))
+    # What the other node of a pair has at least and at most: one of the leader's own label needs another's.
+    other_n, other_p = F.when(apart, F.col("least_n")).otherwise(F.col("apart_n")), F.when(apart, F.col("most_p")).otherwise(F.col("apart_p"))
+    least = t * (F.col("n") + F.greatest(other_n, F.lit(percent / 100) * F.col("n"))) - F.least("p", other_p)
+    need = F.greatest(F.lit(1).cast("long"), F.ceil(least - 1e-6))
     eligible = (apart & (F.col("reach") >= F.col("least_n"))) | ((F.col("n") <= F.col("apart_reach")) & (F.col("reach") >= F.col("apart_n")))
     inside = F.when(eligible, F.col("missing")).otherwise(F.array().cast("array<long>"))
     outside = F.when(F.size("extra") >= need, F.col("extra")).otherwise(F.array().cast("array<long>"))
