@@ -52,6 +52,8 @@ BROADCAST_IDS = 1_000_000
 SMALL, POSTED = 16, 8192
 #: Pairs of one leader that come with one copy of its text.
 TOGETHER = 64
+#: Nodes of a group up to which all its differences are counted; of a larger one, one node in so many tells which differences are frequent, and so many of these are told apart.
+COUNTED, ONE_IN, OFTEN = 256, 8, 512
 
 _seeds = np.random.RandomState(20240229)
 _A = (_seeds.randint(0, 1 << 31, HASHES, np.int64).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -356,8 +358,13 @@ def _postings(rows: DataFrame, percent: int, cut: Scratch) -> DataFrame:
     of the nodes that b can still be linked with (those of other labels than the leader's,
     if b has that) the group's least n_c and most p_c are known, so e has a lower bound
     for each node: who has fewer shingles outside L posts none, and of the others it is
-    enough to post the first n_b - p_b - max(1, that) + 1, the rarest in the group first. If e <= 0
-    and they share no shingle outside, then one of them, that is not linked with the
+    enough to post the first n_b - p_b - max(1, that) + 1 in any order that the group's nodes
+    have in common, as the first shingle in that order that b and c share is among those of
+    both. The rarest in the group should come first, so that lists are short. In a group of
+    up to ``COUNTED`` nodes all are counted for that. In a larger one only what is posted
+    leaves its node: shingles go by their hash, and after them those that some of the nodes
+    show to be frequent. Which nodes these are changes the lengths of the lists, not the
+    links. If e <= 0 and they share no shingle outside, then one of them, that is not linked with the
     leader, shares with the other a shingle of L that both lack; those are posted by
     the few nodes whose sizes allow it. Nothing is posted where all have one label.
     """
@@ -373,6 +380,7 @@ def _postings(rows: DataFrame, percent: int, cut: Scratch) -> DataFrame:
         F.max("p").alias("most_p"),
         F.max(F.when(apart, F.col("p"))).alias("apart_p"),
         F.max(F.when(apart, F.col("reach"))).alias("apart_reach"),
+        F.count(F.lit(1)).alias("nodes"),
     )
     rows = rows.join(bounds.where("low < high").drop("low", "high"), "g")
     # What the other node of a pair has at least and at most: one of the leader's own label needs another's.
@@ -380,28 +388,44 @@ def _postings(rows: DataFrame, percent: int, cut: Scratch) -> DataFrame:
     least = t * (F.col("n") + F.greatest(other_n, F.lit(percent / 100) * F.col("n"))) - F.least("p", other_p)
     need = F.greatest(F.lit(1).cast("long"), F.ceil(least - 1e-6))
     eligible = (apart & (F.col("reach") >= F.col("least_n"))) | ((F.col("n") <= F.col("apart_reach")) & (F.col("reach") >= F.col("apart_n")))
-    inside = F.when(eligible, F.col("missing")).otherwise(F.array().cast("array<long>"))
-    outside = F.when(F.size("extra") >= need, F.col("extra")).otherwise(F.array().cast("array<long>"))
+    none = F.array().cast("array<long>")
+    rows = rows.withColumn("need", need).withColumn("x", F.size("extra"))
+    large, able = F.col("nodes") > COUNTED, F.col("x") >= F.col("need")
+    rows = rows.join(_frequent(rows.where(large & able)), "g", "left").withColumn("often", F.coalesce("often", none))
+    late = F.transform(F.array_intersect("extra", "often"), lambda x: F.struct(F.array_position("often", x).alias("at"), x.alias("term")))
+    order = F.concat(F.array_sort(F.array_except("extra", "often")), F.array_sort(late)["term"])
+    first = F.slice(order, F.lit(1), F.greatest(F.col("x") - F.col("need") + 1, F.lit(0)).cast("int"))
+    inside = F.when(eligible, F.col("missing")).otherwise(none)
+    outside = F.when(~able, none).when(large, first).otherwise(F.col("extra"))
     terms = F.concat(
-        F.transform(outside, lambda x: F.struct(F.lit(False).alias("missing"), x.alias("term"))),
-        F.transform(inside, lambda x: F.struct(F.lit(True).alias("missing"), x.alias("term"))),
+        F.transform(outside, lambda x, i: F.struct(F.lit(False).alias("missing"), x.alias("term"), F.when(large, i + 1).alias("at"))),
+        F.transform(inside, lambda x: F.struct(F.lit(True).alias("missing"), x.alias("term"), F.lit(None).cast("int").alias("at"))),
     )
-    each = rows.select("g", "b", "n", "p", "reach", "label", "centre", need.alias("need"), F.size("extra").alias("x"), F.explode(terms).alias("t"))
-    each = each.select("g", "t.missing", "t.term", "b", "n", "p", "reach", "label", "centre", "need", "x")
+    each = rows.select("g", "b", "n", "p", "reach", "label", "centre", "need", "x", F.explode(terms).alias("t"))
+    each = each.select("g", "t.missing", "t.term", "b", "n", "p", "reach", "label", "centre", "need", "x", "t.at")
     key = ["g", "missing", "term"]
     each = cut(each)
-    # Those that one node alone has come first in the order and make no pair.
+    # Those that one node alone has make no pair. Where all are counted they come first in the order.
     common = each.groupBy(*key).agg(F.count(F.lit(1)).alias("common"), F.min("n").alias("smallest")).where("common > 1")
     own = Window.partitionBy("g", "b", "missing")
-    place = F.row_number().over(own.orderBy("common", "term")) + F.col("x") - F.count(F.lit(1)).over(own)
+    place = F.coalesce("at", F.row_number().over(own.orderBy("common", "term")) + F.col("x") - F.count(F.lit(1)).over(own))
     each = each.join(common, key).withColumn("place", place)
     # From its place on a node has x - place + 1 shingles to share, and must share e with any node of the list.
     least = F.ceil(t * (F.col("n") + F.greatest(F.col("smallest"), F.lit(percent / 100) * F.col("n"))) - F.col("p") - 1e-6)
-    posted = cut(each.where(F.col("missing") | (F.col("x") - F.col("place") + 1 >= F.greatest("need", least))).drop("common", "smallest", "need"))
+    posted = cut(each.where(F.col("missing") | (F.col("x") - F.col("place") + 1 >= F.greatest("need", least))).drop("common", "smallest", "need", "at"))
     sizes = posted.groupBy(*key).agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
     return posted.join(sizes.where("low < high").drop("low", "high"), key)
 
 
+def _frequent(rows: DataFrame) -> DataFrame:
+    """(g, often): differences that several of the looked-at nodes of a group have, the most frequent last, at most ``OFTEN``."""
+    some = rows.where(F.pmod(F.xxhash64("b"), F.lit(ONE_IN)) == 0).select("g", F.explode("extra").alias("term"))
+    counts = some.groupBy("g", "term").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    nth = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("times"), "term"))
+    most = counts.withColumn("nth", nth).where(F.col("nth") <= OFTEN)
+    return most.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("times", "term")))["term"].alias("often"))
+
+
 def _posted_links(posted: DataFrame, rows: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) among nodes that are posted under one difference, exactly: both sets' differences from the leader give their overlap."""
     sides = [
